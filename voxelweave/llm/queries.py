@@ -1,11 +1,13 @@
 """The registered corpus queries and, where SQL expresses them, their DuckDB oracles."""
 
-from . import chat
+from . import chat, decontaminate
 
 QUERIES = {
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op10_chat_windows": chat.op10_chat_windows,
 }
 
 SQL = {
+    "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_chat_windows": chat.OP10_SQL,
 }
