@@ -1,8 +1,9 @@
 """The registered corpus queries and, where SQL expresses them, their DuckDB oracles."""
 
-from . import chat, decontaminate
+from . import chat, decontaminate, syncmers
 
 QUERIES = {
+    "op3_syncmer_fingerprints": syncmers.op3_fingerprints,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op10_chat_windows": chat.op10_chat_windows,
 }
