@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from files in the shared checkpoint folder, so that lost executors cost no recomputation.
+    """The rows of df from a table written in the shared checkpoint folder, so that lost executors cost no recomputation.
 
-    The session's spark.checkpoint.dir is used; a folder of this machine only where none is set.
+    Parquet, being compressed, takes a fraction of checkpoint()'s disk. The folder is the one of the session's
+    spark.checkpoint.dir; one of this machine only where none is set.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
         part = np.cumsum(size) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
@@ -59,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in one array and the n+1 offsets of the texts; a null text is empty."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column, "").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, dtype=np.uint8)

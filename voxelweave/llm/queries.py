@@ -1,9 +1,10 @@
 """The registered corpus queries and, where SQL expresses them, their DuckDB oracles."""
 
-from . import chat, decontaminate, syncmers
+from . import chat, decontaminate, simhash, syncmers
 
 QUERIES = {
     "op3_syncmer_fingerprints": syncmers.op3_fingerprints,
+    "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op10_chat_windows": chat.op10_chat_windows,
 }
