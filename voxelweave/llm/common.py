@@ -122,9 +122,10 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            size = max(n, 1 << 16)
-            self.powers = np.concatenate(([1], np.full(size - 1, self.m, dtype=np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64)
-            self.inverses = np.concatenate(([1], np.full(size - 1, self.inverse, dtype=np.uint64))).astype(np.uint64).cumprod(dtype=np.uint64)
+            both = np.empty((2, max(n, 1 << 16)), dtype=np.uint64)
+            both[:, 0] = 1
+            both[0, 1:], both[1, 1:] = self.m, self.inverse
+            self.powers, self.inverses = np.cumprod(both, axis=1, dtype=np.uint64)
 
     def prefix(self, symbols: np.ndarray) -> np.ndarray:
         """n+1 prefix sums; bytes are looked up in a table of random values first."""

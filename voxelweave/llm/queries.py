@@ -1,8 +1,9 @@
 """The registered corpus queries and, where SQL expresses them, their DuckDB oracles."""
 
-from . import chat, decontaminate, simhash, syncmers
+from . import chat, decontaminate, rlz, simhash, syncmers
 
 QUERIES = {
+    "op1_rlz_dedup": rlz.op1_rlz_dedup,
     "op3_syncmer_fingerprints": syncmers.op3_fingerprints,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_rlz_dedup": rlz.OP1_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_chat_windows": chat.OP10_SQL,
 }
