@@ -1,9 +1,10 @@
 """The registered corpus queries and, where SQL expresses them, their DuckDB oracles."""
 
-from . import chat, decontaminate, rlz, simhash, syncmers
+from . import chat, decontaminate, rlz, simhash, suffix_levels, syncmers
 
 QUERIES = {
     "op1_rlz_dedup": rlz.op1_rlz_dedup,
+    "op2_suffix_levels": suffix_levels.op2_suffix_levels,
     "op3_syncmer_fingerprints": syncmers.op3_fingerprints,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
