@@ -1,6 +1,6 @@
 """The registered corpus queries and, where SQL expresses them, their DuckDB oracles."""
 
-from . import chat, decontaminate, rlz, simhash, suffix_levels, syncmers
+from . import bpe, chat, decontaminate, rlz, simhash, suffix_levels, syncmers
 
 QUERIES = {
     "op1_rlz_dedup": rlz.op1_rlz_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_syncmer_fingerprints": syncmers.op3_fingerprints,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_bpe": bpe.op8_bpe,
     "op10_chat_windows": chat.op10_chat_windows,
 }
 
