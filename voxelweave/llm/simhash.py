@@ -3,12 +3,12 @@
 A 64-bit fingerprint is three segments of 23, 23 and 18 bits; each is decoded in the perfect [23,12] Golay
 code, whose every word lies within 3 bits of just one codeword. A segment's fuzzy keys are the codewords that
 its neighbours within one bit decode to: one key, or six. Two segments within two bits share a key, since what
-lies halfway is a neighbour of both; and the decoded word of one is a key of the other if they differ by one
-bit. Up to 4 differing bits leave two segments with at most 2 together (drop the worst of the three), so that
-each link meets in one of these joins, over both segments of some pair:
+lies halfway is a neighbour of both. Up to 4 differing bits are dealt over the segments in one of two ways, and
+each way has its joins, on keys of about 35 bits:
 
-    the one equal, the other by shared fuzzy keys         (0+2, 2+0)
-    the one's decoded words against the other's fuzzy keys (1+1)
+    some segment has none, then another has at most 2:   that one equal, the other by shared fuzzy keys
+    each has one at least, then two have one each and    a half of each of the two equal (one half has no error),
+    the third at most 2:                                 the third by shared fuzzy keys
 
 What meets is verified by its Hamming distance. Equal fingerprints are one class first. In a bucket, every
 member is first tried against the bucket's least member, components are formed, and only then members of
@@ -110,32 +110,25 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _keys(fps: DataFrame) -> DataFrame:
-    """(kind, key, role, fp): rows of one key and one kind meet; role 0 meets role 1, and 2 any other 2."""
+    """(key, fp): fingerprints of at most BITS differing bits share a key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 20_000):
                 fp = np.asarray(whole.column(0).slice(lo, 20_000)).astype(np.int64).view(np.uint64)
                 segment = [((fp >> np.uint64(64 - a - n)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
-                fuzzy = [np.sort(fuzzy_keys(x).astype(np.int64), axis=1) for x in segment]
-                new = [np.concatenate((np.ones((len(fp), 1), dtype=bool), x[:, 1:] != x[:, :-1]), axis=1) for x in fuzzy]
-                out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-                for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-                    for k, (exact, loose) in enumerate(((i, j), (j, i))):
-                        r, c = np.nonzero(new[loose])
-                        out.append((3 * kind + k, 2, r, (segment[exact][r] << 12) | fuzzy[loose][r, c]))
-                    plain = [golay()[segment[x]].astype(np.int64) for x in (i, j)]
-                    out.append((3 * kind + 2, 0, np.arange(len(fp)), (plain[0] << 12) | plain[1]))
-                    ri, ci = np.nonzero(new[i])
-                    size = new[j].sum(axis=1)
-                    rows = np.repeat(np.arange(len(ri)), size[ri])
-                    flat = fuzzy[j][new[j]]
-                    begin = np.cumsum(size) - size
-                    at = np.arange(len(rows)) - np.repeat(np.cumsum(size[ri]) - size[ri], size[ri])
-                    out.append((3 * kind + 2, 1, ri[rows], (fuzzy[i][ri, ci][rows] << 12) | flat[begin[ri[rows]] + at]))
-                for kind, role, r, key in out:
-                    yield pa.RecordBatch.from_arrays([pa.array((key << 4) | kind), pa.array(np.full(len(r), role, dtype=np.int8)), pa.array(fp[r].view(np.int64))], names=["key", "role", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "key long, role byte, fp long")
+                halves = [(x >> (n // 2), x & ((1 << (n // 2)) - 1)) for x, (_, n) in zip(segment, SEGMENTS)]
+                kind = 0
+                for k in range(3):
+                    fuzzy = np.sort(fuzzy_keys(segment[k]).astype(np.int64), axis=1)
+                    r, c = np.nonzero(np.concatenate((np.ones((len(fp), 1), dtype=bool), fuzzy[:, 1:] != fuzzy[:, :-1]), axis=1))
+                    near, of = fuzzy[r, c], pa.array(fp[r].view(np.int64))
+                    i, j = (x for x in range(3) if x != k)
+                    equal = [segment[i], segment[j], *((a << 12) | b for a in halves[i] for b in halves[j])]
+                    for x in equal:
+                        yield pa.RecordBatch.from_arrays([pa.array((((x[r] << 12) | near) << 5) | kind), of], names=["key", "fp"])
+                        kind += 1
+
+    return fps.select("fp").mapInArrow(run, "key long, fp long")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -172,17 +165,17 @@ def link(fps: DataFrame) -> DataFrame:
     """(fp, root) of distinct fingerprints (fp): those that links of at most BITS bits join have one root."""
     # one shuffle serves both the count of a bucket and the join with it; most buckets hold one fingerprint
     keys = _keys(fps.repartition(partitions(fps.sparkSession))).repartition("key")
-    least = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min("role").alias("least_role"))
-    full = cut(keys.join(least.where("low < high AND least_role != 1").select("key", "low"), "key"))
+    least = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+    full = cut(keys.join(least.where("low < high").select("key", "low"), "key"))
     # stars: every member of a bucket against the bucket's least
     stars = full.where((F.col("fp") != F.col("low")) & _near(F.col("fp"), F.col("low"))).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
     roots = components(stars, fps)
     # then only what the stars have not joined already
-    busy = full.select("key", "role", "fp").join(roots, "fp").select("key", "role", "fp", "root").distinct()
+    busy = full.select("key", "fp").join(roots, "fp").select("key", "fp", "root")
     mixed = busy.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     busy = cut(busy.join(mixed, "key", "left_semi"))
-    left, right = busy.where("role != 1").toDF("key", "role", "a", "ra"), busy.where("role != 0").toDF("key2", "role2", "b", "rb")
-    meets = (F.col("key") == F.col("key2")) & (F.col("ra") != F.col("rb")) & _near(F.col("a"), F.col("b")) & ((F.col("role") == 0) | (F.col("a") < F.col("b")))
+    left, right = busy.toDF("key", "a", "ra"), busy.toDF("key2", "b", "rb")
+    meets = (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & _near(F.col("a"), F.col("b"))
     rest = left.join(right, meets).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
     merged = components(rest, roots.select(F.col("root").alias("fp")).distinct())
     return roots.join(merged.toDF("root", "top"), "root").select("fp", F.col("top").alias("root"))
