@@ -1,6 +1,6 @@
 """The registered corpus queries and, where SQL expresses them, their DuckDB oracles."""
 
-from . import bpe, chat, decontaminate, pii, quality, rlz, simhash, suffix_levels, syncmers
+from . import bpe, chat, decontaminate, lm, pii, quality, rlz, simhash, suffix_levels, syncmers
 
 QUERIES = {
     "op1_rlz_dedup": rlz.op1_rlz_dedup,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_gru_lm": lm.op7_gru_lm,
     "op8_bpe": bpe.op8_bpe,
     "op9_pii": pii.op9_pii,
     "op10_chat_windows": chat.op10_chat_windows,
