@@ -141,6 +141,27 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def with_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """docs with n_tokens, ids and round_trip (decoding the ids gives the text, a null being empty) of its column text.
+
+    Columns of these names are replaced.
+    """
+    docs = docs.drop("n_tokens", "ids", "round_trip")
+    names = docs.columns
+    at = names.index("text")
+    added = ["n_tokens", "ids", "round_trip"]
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids"), F.lit(True).alias("round_trip")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path or public_file())
+        for batch in slices(batches, most=2 << 20):
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            ids = [c.encode(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) == t for x, t in zip(ids, texts)])], names=[*names, *added])
+
+    return docs.mapInArrow(run, schema)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(documents(spark, sf_dir))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -168,16 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train(np.concatenate(x) if x else np.zeros((0, FEATURES)), edge, np.asarray(rows.column("quality"), dtype=float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
+    """docs with a column of scores; a column of that name is replaced."""
+    docs = docs.drop(to)
     names = docs.columns
     at = names.index("text")
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(to, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(*passages(batch.column(at))))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(*passages(batch.column(at))))], names=[*names, to])
 
     return docs.mapInArrow(run, schema)
 

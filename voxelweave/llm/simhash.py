@@ -68,7 +68,7 @@ def fuzzy_keys(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp the signed 64-bit value of the fingerprint."""
+    """(doc_id, th, fp): fp the signed 64-bit value of the fingerprint, th a hash of the text that tells rows of one doc_id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = np.arange(256, dtype=np.uint8)
         upper[65:91] += 32
@@ -104,9 +104,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     inside = part[(first[part] < y) & (first[part] + count[part] > x)]
                     np.add.at(bits, inside, np.add.reduceat(ones, np.maximum(first[inside] - x, 0), axis=0, dtype=np.int64))
             fp = np.packbits(2 * bits > count[:, None], axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp)], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -181,14 +181,14 @@ def link(fps: DataFrame) -> DataFrame:
     return roots.join(merged.toDF("root", "top"), "root").select("fp", F.col("top").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    rows = cut(fingerprints(docs))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, th, fp, component_id) of every row."""
+    rows = cut(fingerprints(docs, shingle))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = cut(link(classes.select("fp")).join(classes, "fp"))
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
