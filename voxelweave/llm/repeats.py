@@ -2,7 +2,7 @@
 
 Each window of W symbols has an anchor, the leftmost of its G-symbol grams with the least hash. Equal windows
 have equal anchors at equal places, so that windows need to be compared under equal anchor hashes only. A
-document's consecutive windows with one anchor are one record (m, lo, hi): anchor and first and last window
+document's consecutive windows with one anchor are one record (lo, hi), its first and last window
 start; about 2 / (W - G + 2) records a symbol are shuffled once, with 64 bits of the anchor's and of the whole
 context's hash. An anchor that occurs once ends there. Records of one anchor and one context are a class, whose
 windows are all equal in pairs; of each class in a group of several only the least member's windows are then
@@ -62,7 +62,7 @@ class Scanner:
         doc = np.repeat(np.arange(len(at) - 1), np.maximum(np.diff(at) - w + 1, 0))
         if not len(doc):
             z = np.zeros(0, dtype=np.int64)
-            return {k: z for k in ("doc", "m", "lo", "hi")} | {"ah": z.astype(np.uint64), "ch": z.astype(np.uint64)}
+            return {k: z for k in ("doc", "lo", "more")} | {"ah": z.astype(np.uint64), "ch": z.astype(np.uint64)}
         n = np.maximum(np.diff(at) - w + 1, 0)
         starts = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[:-1], n)
         prefix = self.gram.prefix(symbols)
@@ -75,7 +75,7 @@ class Scanner:
         context = self.context.spans(self.context.prefix(symbols), lo, hi + w)
         ch = mix(context + ((m - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64))
         base = at[d]
-        return {"doc": d, "m": m - base, "lo": lo - base, "hi": hi - base, "ah": h[m], "ch": ch}
+        return {"doc": d, "lo": lo - base, "more": hi - lo, "ah": h[m], "ch": ch}
 
     def window_hashes(self, prefixes: tuple[np.ndarray, np.ndarray], starts: np.ndarray) -> np.ndarray:
         """Of the windows at starts; with the 64 bits of the anchor that goes with it, a window is known by 128."""
@@ -83,26 +83,27 @@ class Scanner:
 
 
 def records(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """(key, m, lo, hi, ah, ch) of every anchor of every keyed document."""
+    """(key, lo, more, ah, ch) of every anchor of every keyed document: windows lo .. lo + more are its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = scanner.scan(batch.column(1))
             keys = batch.column(0).take(pa.array(x["doc"]))
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array(x[c].astype(np.int32)) for c in ("m", "lo", "hi")], *[pa.array(x[c].view(np.int64)) for c in ("ah", "ch")]], names=["key", "m", "lo", "hi", "ah", "ch"])
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array(x[c].astype(np.int32)) for c in ("lo", "more")], *[pa.array(x[c].view(np.int64)) for c in ("ah", "ch")]], names=["key", "lo", "more", "ah", "ch"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text").mapInArrow(run, f"key {kind}, m int, lo int, hi int, ah long, ch long")
+    return docs.select("key", "text").mapInArrow(run, f"key {kind}, lo int, more int, ah long, ch long")
 
 
 def candidates(docs: DataFrame, scanner: Scanner) -> tuple[DataFrame, DataFrame]:
     """Records whose anchor occurs again, and the classes of these.
 
-    Records: (key, m, lo, hi, ah, ch). Classes: (ah, ch, first, last, several): first and last member as (key, lo,
+    Records: (key, lo, hi, ah, ch). Classes: (ah, ch, first, last, several): first and last member as (key, lo,
     hi), and whether the anchor has other classes.
     """
-    found = records(docs, scanner).repartition("ah")  # one shuffle serves the count and the join
+    found = records(docs, scanner)
+    # counts are combined before their shuffle, and a hot anchor's side of the join can be split
     again = found.groupBy("ah").count().where("count > 1").select("ah")
-    again = cut(found.join(again.hint("shuffle_hash"), "ah"))
+    again = cut(found.join(again, "ah").withColumn("hi", F.expr("lo + more")).drop("more"))
     one = F.struct("key", "lo", "hi")
     classes = again.groupBy("ah", "ch").agg(F.min(one).alias("first"), F.max(one).alias("last"))
     several = classes.groupBy("ah").agg((F.count("*") > 1).alias("several"))
