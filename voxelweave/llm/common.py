@@ -135,25 +135,20 @@ class Rolling:
         np.cumsum(x * self.powers[: len(x)], out=out[1:])
         return out
 
+    def every(self, prefix: np.ndarray, g: int) -> np.ndarray:
+        """Hashes of all spans of g symbols."""
+        n = len(prefix) - g
+        return mix((prefix[g:] - prefix[:n]) * self.inverses[:n])
+
     def spans(self, prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of the spans [a, b)."""
         return mix((prefix[b] - prefix[a]) * self.inverses[a])
 
 
-def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost least value in each window of w values."""
-    n = len(x) - w + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    # doubling: the least of 2**j values, then of w as two that overlap
-    index, value, size = np.arange(len(x), dtype=np.int64), x, 1
+def window_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The least value in each window of w values: by doubling, the least of 1, 2, 4, ... and then of w as two that overlap."""
+    n, size = len(x) - w + 1, 1
     while size * 2 <= w:
-        left, right = value[:-size], value[size:]
-        take = right < left
-        index = np.where(take, index[size:], index[:-size])
-        value = np.where(take, right, left)
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
-    rest = w - size
-    left, right = value[:n], value[rest : rest + n]
-    take = right < left
-    return np.where(take, index[rest : rest + n], index[:n])
+    return np.minimum(x[:n], x[w - size : w - size + n])

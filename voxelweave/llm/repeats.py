@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffer_of, cut, mix, sliding_min, slices, words_of
+from .common import Rolling, buffer_of, cut, mix, slices, window_min, words_of
+
+BLOCK = 1 << 20  # symbols that are hashed at a time
 
 #: Symbols of a column of texts, and the offsets of the texts among them.
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -57,29 +59,39 @@ class Scanner:
         self.gram, self.context = Rolling(seed), Rolling(seed + 100)
 
     def scan(self, column: pa.Array) -> dict[str, np.ndarray]:
+        """Records of a column of texts; BLOCK symbols are worked on at a time, however long a text is."""
         symbols, at = self.symbols(column)
-        w, g = self.w, self.g
-        doc = np.repeat(np.arange(len(at) - 1), np.maximum(np.diff(at) - w + 1, 0))
-        if not len(doc):
+        parts, d = [], 0
+        while d < len(at) - 1:
+            e = max(d + 1, int(np.searchsorted(at, at[d] + BLOCK, side="right")) - 1)
+            for lo in range(0, max(1, int(at[e] - at[d]) - self.w + 1), BLOCK):  # more than once for one long text only
+                a, b = int(at[d]) + lo, min(int(at[e]), int(at[d]) + lo + BLOCK + self.w - 1)
+                x = self._block(symbols[a:b], np.clip(at[d : e + 1] - a, 0, b - a))
+                x["doc"] += d
+                x["lo"] += lo
+                parts.append(x)
+            d = e
+        return {k: np.concatenate([x[k] for x in parts]) for k in ("doc", "lo", "more", "ah", "ch")} if parts else self._block(symbols, at)
+
+    def _block(self, symbols: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        w, g, n = self.w, self.g, len(symbols)
+        if n < w:
             z = np.zeros(0, dtype=np.int64)
-            return {k: z for k in ("doc", "lo", "more")} | {"ah": z.astype(np.uint64), "ch": z.astype(np.uint64)}
-        n = np.maximum(np.diff(at) - w + 1, 0)
-        starts = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[:-1], n)
-        prefix = self.gram.prefix(symbols)
-        i = np.arange(len(symbols) - g + 1)
-        h = self.gram.spans(prefix, i, i + g)
-        least = sliding_min(h, w - g + 1)[starts]
-        first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))))
-        last = np.concatenate((first[1:], [len(doc)])) - 1
-        d, m, lo, hi = doc[first], least[first], starts[first], starts[last]
+            return {"doc": z.copy(), "lo": z.copy(), "more": z, "ah": z.astype(np.uint64), "ch": z.astype(np.uint64)}
+        h = self.gram.every(self.gram.prefix(symbols), g)
+        # the place in the low bits makes the least value say where it is, the leftmost of equal ones
+        low = np.uint64((1 << 24) - 1)
+        least = window_min((h & ~low) | np.arange(len(h), dtype=np.uint64), w - g + 1)
+        begin, end = at[:-1], at[1:] - w + 1  # of each document's windows
+        edges = np.unique(np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, begin[begin < end], end[begin < end])))
+        lo, hi = edges[:-1], edges[1:] - 1
+        doc = np.searchsorted(at, lo, side="right") - 1
+        own = lo < end[doc]
+        lo, hi, doc = lo[own], hi[own], doc[own]
+        m = (least[lo] & low).astype(np.int64)
         context = self.context.spans(self.context.prefix(symbols), lo, hi + w)
         ch = mix(context + ((m - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64))
-        base = at[d]
-        return {"doc": d, "lo": lo - base, "more": hi - lo, "ah": h[m], "ch": ch}
-
-    def window_hashes(self, prefixes: tuple[np.ndarray, np.ndarray], starts: np.ndarray) -> np.ndarray:
-        """Of the windows at starts; with the 64 bits of the anchor that goes with it, a window is known by 128."""
-        return self.context.spans(prefixes[1], starts, starts + self.w)
+        return {"doc": doc, "lo": lo - at[doc], "more": hi - lo, "ah": h[m], "ch": ch}
 
 
 def records(docs: DataFrame, scanner: Scanner) -> DataFrame:
@@ -94,13 +106,14 @@ def records(docs: DataFrame, scanner: Scanner) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, f"key {kind}, lo int, more int, ah long, ch long")
 
 
-def candidates(docs: DataFrame, scanner: Scanner) -> tuple[DataFrame, DataFrame]:
+def candidates(docs: DataFrame, scanner: Scanner, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records whose anchor occurs again, and the classes of these.
 
+    keep: write all records first, which takes disk, where scanning twice would take longer.
     Records: (key, lo, hi, ah, ch). Classes: (ah, ch, first, last, several): first and last member as (key, lo,
     hi), and whether the anchor has other classes.
     """
-    found = records(docs, scanner)
+    found = cut(records(docs, scanner)) if keep else records(docs, scanner)
     # counts are combined before their shuffle, and a hot anchor's side of the join can be split
     again = found.groupBy("ah").count().where("count > 1").select("ah")
     again = cut(found.join(again, "ah").withColumn("hi", F.expr("lo + more")).drop("more"))

@@ -26,7 +26,7 @@ from .repeats import Scanner, byte_symbols, candidates, keyed
 
 WINDOW = 400
 GRAM = 48
-SHARD = 24 << 20  # bytes of contexts in a shard, about
+SHARD = 12 << 20  # bytes of contexts in a shard, about
 BATCH = 2 << 20
 
 
@@ -36,7 +36,7 @@ def _heads(text: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _dense(values: np.ndarray) -> np.ndarray:
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     v = values[order]
     rank = np.empty(len(v), dtype=np.int64)
     rank[order] = np.cumsum(np.concatenate(([False], v[1:] != v[:-1])))
@@ -60,7 +60,7 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, w: int) -> tuple[np.ndarr
     if k < w:
         key = key * (int(rank.max()) + 1) + rank[starts + w - k]
     final = _dense(key)
-    return np.argsort(final, kind="stable"), final
+    return np.argsort(final), final
 
 
 class Level:
@@ -179,7 +179,7 @@ def _contexts(docs: DataFrame, reps: DataFrame, w: int) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, lo, hi): the windows lo..hi of a keyed document that also start elsewhere."""
-    again, classes = candidates(docs, Scanner(byte_symbols, window, min(gram, window), 31))
+    again, classes = candidates(docs, Scanner(byte_symbols, window, min(gram, window), 31), keep=True)
     many = F.expr("first.key != last.key OR first.lo != last.lo")
     whole = again.join(classes.where(many).select("ah", "ch"), ["ah", "ch"], "left_semi").select("key", "lo", "hi")
     reps = cut(classes.where("several").select(F.col("first.key").alias("key"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "ah"))
