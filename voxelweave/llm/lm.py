@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import Rolling, buffer_of, cut, documents, slices, words_of
 from .repeats import keyed
 
-VOCAB, CLASS = 4096, 64
-EMBED, HIDDEN = 16, 32
+VOCAB, CLASS = 2048, 32
+EMBED, HIDDEN = 12, 16
 HEAD = 1 << 16
 WARM, EPOCHS = 2500, 4
-SPAN, CHUNK, BATCH = 64, 32, 128
+SPAN, CHUNK, BATCH = 32, 32, 128
+COLUMNS = 64  # tokens that scoring steps through at a time
+SLICE = 4 << 20
 FANIN = 16
 
 _WORDS = Rolling(51)
@@ -104,7 +106,7 @@ class Network:
         w, table = self.w, self.w["E"] @ self.w["X"] + self.w["b"]
         out, mem = np.zeros((x.shape[1], len(x), HIDDEN), np.float32), []
         for t in range(x.shape[1]):
-            a, u = table[x[:, t]], h @ w["R"]
+            a, u = table.take(x[:, t], axis=0), h @ w["R"]
             g = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
             z, r = g[:, :HIDDEN], g[:, HIDDEN:]
             q = u[:, 2 * HIDDEN :]
@@ -120,19 +122,19 @@ class Network:
         out = np.empty(len(y))
         cls = np.minimum(y // CLASS, self.classes) if self.size else np.zeros(len(y), dtype=np.int64)
         cls = np.where(y == self.size, self.classes, cls)
-        for lo in range(0, len(y), 1 << 14):
-            part = slice(lo, lo + (1 << 14))
+        # states lie within 1 and weights are small: logits need no shift before exp
+        for lo in range(0, len(y), 1 << 13):
+            part = slice(lo, lo + (1 << 13))
             s = h[part] @ self.w["C"] + self.w["c"]
-            s -= s.max(1, keepdims=True)
-            out[part] = s[np.arange(len(s)), cls[part]] - np.log(np.exp(s).sum(1))
-        order = np.argsort(cls, kind="stable")
+            out[part] = s[np.arange(len(s)), cls[part]] - np.log(np.exp(s, out=s).sum(1))
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             pick = order[edge[c] : edge[c + 1]]
             if len(pick):
                 s = h[pick] @ self.w["W"][c].T + self.w["w"][c]
-                s -= s.max(1, keepdims=True)
-                out[pick] += s[np.arange(len(pick)), y[pick] - c * CLASS] - np.log(np.exp(s).sum(1))
+                own = s[np.arange(len(pick)), y[pick] - c * CLASS]
+                out[pick] += own - np.log(np.exp(s, out=s).sum(1))
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -234,7 +236,7 @@ def _rows(ids: np.ndarray, at: np.ndarray, span: int, turn: np.ndarray) -> np.nd
 def counts(docs: DataFrame) -> DataFrame:
     """(th, c): every token of the training documents and its count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=SLICE):
             th, c = np.unique(tokens_of(batch.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(th.view(np.int64)), pa.array(c)], names=["th", "c"])
 
@@ -254,7 +256,7 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
     ids = train.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(WARM)
 
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             x, at = _ids(lookup, batch.column(1))
             rows = _rows(x, at, 4 * CHUNK, np.zeros(batch.num_rows, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "x"])
@@ -275,7 +277,7 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
         start, look = blob.value
         local = Trainer(Network(look).load(start), 0.002)
         held: list[np.ndarray] = []
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             ids, at = _ids(look, batch.column(0))
             held.append(_rows(ids, at, SPAN, np.asarray(batch.column(1)).astype(np.int64)))
             if sum(map(len, held)) >= BATCH:
@@ -296,7 +298,11 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
         return pd.DataFrame({"g": [int(pdf["g"].iloc[0]) // FANIN], "n": [n], "w": [one.dump()]})
 
     lookup_small = Lookup(np.zeros(0, dtype=np.int64), np.zeros(0), 0, 0)
-    parts = train.select("text", (F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFF)).alias("turn")).mapInArrow(go_on, "n long, w binary").where("n > 0")
+    # the window is cut from a piece of the text, whose place a hash chooses; a piece's first token may be a part of a word
+    turn = F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFF)
+    text = F.coalesce("text", F.lit(""))
+    piece = F.substr(text, (turn % F.greatest(F.lit(1), F.length(text) - 12 * SPAN) + 1).cast("int"), F.lit(12 * SPAN))
+    parts = train.select(piece.alias("text"), F.lit(0).alias("turn")).mapInArrow(go_on, "n long, w binary").where("n > 0")
     parts = cut(parts.withColumn("g", F.spark_partition_id().cast("long")))
     left = parts.count()
     while left > 1:  # in groups of FANIN, so that no task reads more than a fixed number of weights
@@ -317,16 +323,20 @@ def _score(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     out = np.zeros(len(n))
     h = np.zeros((len(n), HIDDEN), np.float32)
     before = np.zeros(len(n), dtype=np.int64)
-    for t in range(0, int(size[0]) if len(n) else 0, SPAN):
+    for t in range(0, int(size[0]) if len(n) else 0, COLUMNS):
         k = int(np.searchsorted(-size, -t, side="left"))  # documents of more than t tokens
-        col = t + np.arange(min(SPAN, int(size[0]) - t))
-        there = col[None, :] < size[:k, None]
-        y = np.where(there, ids[np.minimum(first[:k, None] + col, len(ids) - 1)], 0)
-        x = np.concatenate((before[:k, None], y[:, :-1]), axis=1)
-        hs, _ = net.steps(x, h[:k])
+        whole = int(np.searchsorted(-size, -(t + COLUMNS), side="right"))  # and those that fill all columns
+        col = np.arange(min(COLUMNS, int(size[0]) - t))
+        y = ids[np.minimum(first[:k, None] + (t + col), len(ids) - 1)]
+        hs, _ = net.steps(np.concatenate((before[:k, None], y[:, :-1]), axis=1), h[:k])
         h, before = hs[-1], y[:, -1]
-        row, c = np.nonzero(there)
-        out[:k] += np.bincount(row, net.log_probs(hs[c, row], y[row, c]), minlength=k)
+        if whole:
+            p = net.log_probs(hs[:, :whole].reshape(-1, HIDDEN), y[:whole].T.ravel())
+            out[:whole] += p.reshape(len(col), whole).sum(0)
+        if k > whole:
+            there = col[:, None] < (size[whole:k] - t)[None, :]
+            _, row = np.nonzero(there)
+            out[whole:k] += np.bincount(row, net.log_probs(hs[:, whole:k][there], y[whole:].T[there]), minlength=k - whole)
     back = np.empty(len(n))
     back[order] = out
     return back
@@ -346,7 +356,7 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, blob = shared.value
         model = Network(look).load(blob)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             th, at = tokens_of(batch.column(1))
             rank = look.rank(th)
             size = np.diff(at)
@@ -358,18 +368,11 @@ def score(docs: DataFrame) -> DataFrame:
             others = np.bincount(owner[~own], minlength=len(size))
             neural = _score(model, ids, at) / np.log(10) + np.bincount(owner[~own], log[~own], minlength=len(size)) - others * np.log10(max(look.rest, 0.1))
             cols = [np.bincount(owner, log, minlength=len(size)), neural]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(np.bincount(owner[known], minlength=len(size))), *map(pa.array, cols)], names=["key", "doc_id", "n_tokens", "known", "head", "neural"])
-
-    def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, _ = shared.value
-        for batch in slices(batches):
-            th, at = tokens_of(batch.column(1))
-            owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            rare = look.rank(th) < 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[rare])), pa.array(th[rare].view(np.int64))], names=["key", "th"])
+            rare = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner[~known], minlength=len(size))))).astype(np.int32), pa.array(th[~known].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(np.bincount(owner[known], minlength=len(size))), *map(pa.array, cols), rare], names=["key", "doc_id", "n_tokens", "known", "head", "neural", "rare"])
 
-    rows = docs.select("key", "text", "doc_id").mapInArrow(run, f"key {kind}, doc_id long, n_tokens long, known long, head double, neural double")
-    rare = docs.select("key", "text").mapInArrow(tail, f"key {kind}, th long")
+    rows = cut(docs.select("key", "text", "doc_id").mapInArrow(run, f"key {kind}, doc_id long, n_tokens long, known long, head double, neural double, rare array<long>"))
+    rare = rows.select("key", F.explode("rare").alias("th"))
     rare = rare.join(table, "th", "left").groupBy("key").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("tail"), F.count("c").alias("more"))
     out = rows.join(rare, "key", "left").withColumn("tail", F.coalesce("tail", F.lit(0.0)))
     return out.select(
