@@ -49,7 +49,7 @@ def sized(df: DataFrame, name: str, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text (a longer text is a batch of its own)."""
     for batch in batches:
         if not batch.num_rows:
