@@ -62,7 +62,7 @@ def _places(w: Column, g: int, bits: bytearray | None) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, n_words) of every distinct row, and (doc_id, th, start, len, item_id) of every occurring window."""
+    """(doc_id, th, n_words) of every row, and (doc_id, th, start, len, item_id) of every occurring window."""
     items = cut(_item_windows(benchmark, window, shingle))
     known = items.select("g", "sh", "h").distinct()
     n = known.count()
@@ -81,7 +81,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle
     ids = known.select("g", "sh", F.xxhash64("g", "sh").alias("sid"))
     seen = seen.join(sized(ids, "ids", MOST), ["g", "sh"], "left").where(F.col("sid").isNotNull() | (F.col("pos") < 0))
     seen = cut(seen.select("doc_id", "th", "n_words", "pos", "sid"))
-    rows = seen.where("pos < 0").select("doc_id", "th", "n_words").distinct()
+    rows = seen.where("pos < 0").select("doc_id", "th", "n_words")
     places = seen.where("pos >= 0").distinct()
 
     rarity = places.groupBy("sid").agg(F.count("*").alias("n"))
@@ -100,7 +100,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, th, n_words, n_hit, items (sorted strings), spans of hit words."""
+    """A row for each row of docs: doc_id, th, n_words, n_hit, items (sorted strings), spans of hit words."""
     rows, hits = matches(docs, benchmark, window, shingle)
     per = hits.groupBy("doc_id", "th").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("s"),
