@@ -106,18 +106,17 @@ def records(docs: DataFrame, scanner: Scanner) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, f"key {kind}, lo int, more int, ah long, ch long")
 
 
-def candidates(docs: DataFrame, scanner: Scanner, keep: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Records whose anchor occurs again, and the classes of these.
+def candidates(docs: DataFrame, scanner: Scanner, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records whose anchor occurs again, the classes of these, and the classes that share their anchor with others.
 
+    Records: (key, lo, hi, ah, ch). Classes: (ah, ch, first, last): the first and the last member as (key, lo, hi).
     keep: write all records first, which takes disk, where scanning twice would take longer.
-    Records: (key, lo, hi, ah, ch). Classes: (ah, ch, first, last, several): first and last member as (key, lo,
-    hi), and whether the anchor has other classes.
     """
     found = cut(records(docs, scanner)) if keep else records(docs, scanner)
-    # counts are combined before their shuffle, and a hot anchor's side of the join can be split
-    again = found.groupBy("ah").count().where("count > 1").select("ah")
-    again = cut(found.join(again, "ah").withColumn("hi", F.expr("lo + more")).drop("more"))
+    # counts are combined before their shuffle; being written, they leave the join free to split a hot anchor
+    repeated = cut(found.groupBy("ah").count().where("count > 1").select("ah"))
+    again = cut(found.join(repeated, "ah").withColumn("hi", F.expr("lo + more")).drop("more"))
     one = F.struct("key", "lo", "hi")
-    classes = again.groupBy("ah", "ch").agg(F.min(one).alias("first"), F.max(one).alias("last"))
-    several = classes.groupBy("ah").agg((F.count("*") > 1).alias("several"))
-    return again, cut(classes.join(several, "ah"))
+    classes = cut(again.groupBy("ah", "ch").agg(F.min(one).alias("first"), F.max(one).alias("last")))
+    several = cut(classes.groupBy("ah").count().where("count > 1").select("ah"))
+    return again, classes, classes.join(several, "ah", "left_semi")

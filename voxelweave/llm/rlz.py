@@ -55,13 +55,13 @@ def _fine(docs: DataFrame, reps: DataFrame, scanner: Scanner) -> DataFrame:
 def sources(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(key, lo, hi, src_key, src_lo): windows lo..hi of a document, and where the same windows start earlier."""
     scanner = Scanner(word_symbols, window, min(GRAM, window), 21)
-    again, classes = candidates(docs, scanner)
+    again, classes, mixed = candidates(docs, scanner)
     # a class: all but its first member repeat the first
     many = classes.where("first.key != last.key OR first.lo != last.lo").select("ah", "ch", "first")
     whole = again.join(many, ["ah", "ch"]).where("key != first.key OR lo != first.lo")
     whole = whole.select("key", "lo", "hi", F.col("first.key").alias("src_key"), F.col("first.lo").alias("src_lo"))
     # between classes of one anchor: the first members' windows, one by one
-    reps = classes.where("several").select(F.col("first.key").alias("key"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "ah")
+    reps = mixed.select(F.col("first.key").alias("key"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "ah")
     fine = _fine(docs, reps, scanner).repartition("ah", "wh")
     least = fine.groupBy("ah", "wh").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = fine.join(least.select("ah", "wh", "first").hint("shuffle_hash"), ["ah", "wh"]).where("key != first.key OR start != first.start")

@@ -27,7 +27,7 @@ from .repeats import Scanner, byte_symbols, candidates, keyed
 WINDOW = 400
 GRAM = 48
 SHARD = 12 << 20  # bytes of contexts in a shard, about
-BATCH = 2 << 20
+BATCH = 3 << 19
 
 
 def _heads(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -46,16 +46,19 @@ def _dense(values: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray, starts: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the w-byte windows at starts, and their dense ranks in it (equal windows: equal ranks).
 
-    text ends in w + 8 spare bytes. Prefix doubling: ranks of 8, 16, ... bytes at every place, then of w.
+    text ends in w + 8 spare bytes. As in prefix doubling, ranks of k bytes give those of 2k, or of 3k while three
+    ranks fit a number: 8, 24, 72, ... bytes at every place, then w from two that overlap.
     """
     n = len(text) - 8
     rank = _dense(_heads(text, np.arange(n)) >> np.uint64(8 * max(0, 8 - w)))
     k = min(8, w)
     while 2 * k <= w and k < w:
-        m = n - k
         top = int(rank.max()) + 1
-        rank = _dense(rank[:m] * top + rank[k : k + m])
-        n, k = m, 2 * k
+        times = 3 if 3 * k <= w and top**3 < 1 << 63 else 2
+        m = n - (times - 1) * k
+        key = rank[:m] * top + rank[k : k + m]
+        rank = _dense(key * top + rank[2 * k : 2 * k + m] if times == 3 else key)
+        n, k = m, times * k
     key = rank[starts]
     if k < w:
         key = key * (int(rank.max()) + 1) + rank[starts + w - k]
@@ -179,10 +182,10 @@ def _contexts(docs: DataFrame, reps: DataFrame, w: int) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, lo, hi): the windows lo..hi of a keyed document that also start elsewhere."""
-    again, classes = candidates(docs, Scanner(byte_symbols, window, min(gram, window), 31), keep=True)
+    again, classes, mixed = candidates(docs, Scanner(byte_symbols, window, min(gram, window), 31), keep=True)
     many = F.expr("first.key != last.key OR first.lo != last.lo")
     whole = again.join(classes.where(many).select("ah", "ch"), ["ah", "ch"], "left_semi").select("key", "lo", "hi")
-    reps = cut(classes.where("several").select(F.col("first.key").alias("key"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "ah"))
+    reps = cut(mixed.select(F.col("first.key").alias("key"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "ah"))
     size = reps.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
     shards = max(partitions(docs.sparkSession), -(-size // SHARD))
 
