@@ -109,7 +109,8 @@ def records(docs: DataFrame, scanner: Scanner) -> DataFrame:
 def candidates(docs: DataFrame, scanner: Scanner, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records whose anchor occurs again, the classes of these, and the classes that share their anchor with others.
 
-    Records: (key, lo, hi, ah, ch). Classes: (ah, ch, first, last): the first and the last member as (key, lo, hi).
+    Records: (key, lo, hi, ah, ch). Classes: (ah, ch, first, many): the first member as (key, lo, hi), and
+    whether there are others.
     keep: write all records first, which takes disk, where scanning twice would take longer.
     """
     found = cut(records(docs, scanner)) if keep else records(docs, scanner)
@@ -117,6 +118,7 @@ def candidates(docs: DataFrame, scanner: Scanner, keep: bool = False) -> tuple[D
     repeated = cut(found.groupBy("ah").count().where("count > 1").select("ah"))
     again = cut(found.join(repeated, "ah").withColumn("hi", F.expr("lo + more")).drop("more"))
     one = F.struct("key", "lo", "hi")
-    classes = cut(again.groupBy("ah", "ch").agg(F.min(one).alias("first"), F.max(one).alias("last")))
+    classes = again.groupBy("ah", "ch").agg(F.min(one).alias("first"), F.max(F.struct("key", "lo")).alias("last"))
+    classes = cut(classes.select("ah", "ch", "first", F.expr("first.key != last.key OR first.lo != last.lo").alias("many")))
     several = cut(classes.groupBy("ah").count().where("count > 1").select("ah"))
     return again, classes, classes.join(several, "ah", "left_semi")

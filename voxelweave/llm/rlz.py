@@ -27,7 +27,7 @@ from .common import buffer_of, documents, slices, words_of
 from .repeats import Scanner, candidates, keyed, word_symbols
 
 WINDOW = 20
-GRAM = 6
+GRAM = 5
 
 
 def _fine(docs: DataFrame, reps: DataFrame, scanner: Scanner) -> DataFrame:
@@ -57,7 +57,7 @@ def sources(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     scanner = Scanner(word_symbols, window, min(GRAM, window), 21)
     again, classes, mixed = candidates(docs, scanner)
     # a class: all but its first member repeat the first
-    many = classes.where("first.key != last.key OR first.lo != last.lo").select("ah", "ch", "first")
+    many = classes.where("many").select("ah", "ch", "first")
     whole = again.join(many, ["ah", "ch"]).where("key != first.key OR lo != first.lo")
     whole = whole.select("key", "lo", "hi", F.col("first.key").alias("src_key"), F.col("first.lo").alias("src_lo"))
     # between classes of one anchor: the first members' windows, one by one

@@ -183,8 +183,7 @@ def _contexts(docs: DataFrame, reps: DataFrame, w: int) -> DataFrame:
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, lo, hi): the windows lo..hi of a keyed document that also start elsewhere."""
     again, classes, mixed = candidates(docs, Scanner(byte_symbols, window, min(gram, window), 31), keep=True)
-    many = F.expr("first.key != last.key OR first.lo != last.lo")
-    whole = again.join(classes.where(many).select("ah", "ch"), ["ah", "ch"], "left_semi").select("key", "lo", "hi")
+    whole = again.join(classes.where("many").select("ah", "ch"), ["ah", "ch"], "left_semi").select("key", "lo", "hi")
     reps = cut(mixed.select(F.col("first.key").alias("key"), F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "ah"))
     size = reps.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
     shards = max(partitions(docs.sparkSession), -(-size // SHARD))
