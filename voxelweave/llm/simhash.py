@@ -57,8 +57,11 @@ def golay() -> np.ndarray:
     errors = np.concatenate(errors)
     leader = np.zeros(2048, dtype=np.int64)
     leader[syndrome(errors)] = errors
-    words = np.arange(1 << 23, dtype=np.int64)
-    return ((words ^ leader[syndrome(words)]) >> 11).astype(np.int16)
+    out = np.empty(1 << 23, dtype=np.int16)
+    for lo in range(0, 1 << 23, 1 << 19):
+        words = np.arange(lo, lo + (1 << 19))
+        out[lo : lo + (1 << 19)] = (words ^ leader[syndrome(words)]) >> 11
+    return out
 
 
 def fuzzy_keys(x: np.ndarray) -> np.ndarray:
