@@ -179,14 +179,20 @@ class ClipFrustum:
         return cls(tuple(out))
 
     def meets(self, b: BoxColumns) -> Column:
-        tests = []
-        mid = [((f32(b[f"min_{a}"]) + f32(b[f"max_{a}"])) * f32(0.5)) for a in AXES]
+        mid = [(f32(b[f"min_{a}"]) + f32(b[f"max_{a}"])) * f32(0.5) for a in AXES]
         ext = [f32(b[f"max_{a}"]) - m for a, m in zip(AXES, mid)]
-        for x, y, z, d in self.planes:
-            near = mid[0] * f32(x) + mid[1] * f32(y) + mid[2] * f32(z)
-            far = ext[0] * f32(abs(x)) + ext[1] * f32(abs(y)) + ext[2] * f32(abs(z))
-            tests.append(near + far > f32(-d))
-        return every(tests)
+        once = F.array(F.struct(*[c.alias(f"{n}{i}") for n, v in (("m", mid), ("e", ext)) for i, c in enumerate(v)]))
+
+        def outside_of_none(v: Column) -> Column:
+            tests = []
+            for x, y, z, d in self.planes:
+                near = v["m0"] * f32(x) + v["m1"] * f32(y) + v["m2"] * f32(z)
+                far = v["e0"] * f32(abs(x)) + v["e1"] * f32(abs(y)) + v["e2"] * f32(abs(z))
+                tests.append(near + far > f32(-d))
+            return every(tests)
+
+        # an array of one, so that centre and extent are worked out once for all six planes
+        return F.get(F.transform(once, outside_of_none), 0)
 
 
 def orthographic(box: Box) -> list[float]:

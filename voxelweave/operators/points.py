@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, Frustum, Sphere, Vec, box_columns, distance
-from .select import broadcast_nodes, meeting
+from .select import MOST_NODES, broadcast_nodes, meeting
 
 KEY = ["d", "kx", "ky", "kz"]
 
@@ -36,7 +36,8 @@ def in_nodes_bounds(points: DataFrame, nodes: DataFrame, shift: int) -> DataFram
     """
     b = box_columns("n_")
     cols = [F.col("d").alias("n_d"), *[F.col(f"k{a}").alias(f"n_k{a}") for a in "xyz"], *[F.col(k).alias(f"n_{k}") for k in b]]
-    depths = sorted(r[0] for r in nodes.select("d").distinct().collect())  # as many as the tree has levels
+    levels = {r["d"]: r["count"] for r in nodes.groupBy("d").count().collect()}  # as many as the tree is deep
+    depths = sorted(levels)
     if not depths:
         return points.join(nodes.select(*cols), F.lit(False))
     p = points.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in depths])))
@@ -46,7 +47,8 @@ def in_nodes_bounds(points: DataFrame, nodes: DataFrame, shift: int) -> DataFram
         p = p.withColumn(f"_c{a}", F.explode(F.when(on_border, F.array(at, at - 1)).otherwise(F.array(at))))
     on = (F.col("_d") == F.col("n_d")) & (F.col("_cx") == F.col("n_kx")) & (F.col("_cy") == F.col("n_ky")) & (F.col("_cz") == F.col("n_kz"))
     hold = F.col("X").between(b["min_x"], b["max_x"]) & F.col("Y").between(b["min_y"], b["max_y"]) & F.col("Z").between(b["min_z"], b["max_z"])
-    return p.join(broadcast_nodes(nodes.select(*cols)), on & hold).drop("_d", "_cx", "_cy", "_cz")
+    few = nodes.select(*cols)
+    return p.join(F.broadcast(few) if sum(levels.values()) <= MOST_NODES else few, on & hold).drop("_d", "_cx", "_cy", "_cz")
 
 
 def nearest(points: DataFrame, nodes: DataFrame, at: Vec, k: int, radius: float) -> DataFrame:
