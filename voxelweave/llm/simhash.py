@@ -184,8 +184,15 @@ def link(fps: DataFrame) -> DataFrame:
     return roots.join(merged.toDF("root", "top"), "root").select("fp", F.col("top").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, th, fp, component_id) of every row."""
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, fp, component_id) of every row, as the pipeline groups them: by their 5-word shingles' exact similarity."""
+    from . import similar  # which takes components() from here
+
+    return similar.near_copies(docs)
+
+
+def fingerprint_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, th, fp, component_id) of every row, linked by at most BITS differing bits of their fingerprints."""
     rows = cut(fingerprints(docs, shingle))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = cut(link(classes.select("fp")).join(classes, "fp"))
@@ -195,5 +202,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(documents(spark, sf_dir))
+    out = fingerprint_groups(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
