@@ -7,8 +7,8 @@ other tokens, among which a token has its share by count, (c + 0.1) of the rest'
 the logarithms of the counts, so that the untrained network is the unigram model.
 
 Training is truncated backpropagation over CHUNK tokens with the state carried on: first on a bounded sample of
-WARM documents on the driver, then every partition goes on from there with a window of SPAN tokens of each of
-its training documents, and the weights are averaged in a tree. Scoring carries the state through the whole
+WARM documents on the driver (their first 4 * CHUNK tokens), then every partition goes on from there with all
+tokens of its training documents, from their first to their end, and the weights are averaged in a tree by tokens. Scoring carries the state through the whole
 document.
 
 Counts of the HEAD most frequent tokens travel with the scoring tasks (a fixed number of them); those of the
@@ -37,7 +37,7 @@ VOCAB, CLASS = 2048, 32
 EMBED, HIDDEN = 12, 16
 HEAD = 1 << 16
 WARM, EPOCHS = 2500, 4
-SPAN, CHUNK, BATCH = 32, 32, 128
+CHUNK, BATCH = 32, 128
 COLUMNS = 64  # tokens that scoring steps through at a time
 SLICE = 4 << 20
 FANIN = 16
@@ -182,7 +182,9 @@ class Network:
         da = da_all.reshape(-1, 3 * HIDDEN)
         ids = x.T.ravel()
         grad["X"], grad["b"] = w["E"][ids].T @ da, da.sum(0)
-        np.add.at(grad["E"], ids, da @ w["X"].T)
+        order = np.argsort(ids, kind="stable")
+        ids, first = np.unique(ids[order], return_index=True)
+        grad["E"][ids] = np.add.reduceat((da @ w["X"].T)[order], first, axis=0)
         return grad, out[-1]
 
     def dump(self) -> bytes:
@@ -204,15 +206,21 @@ class Trainer:
     def learn(self, ids: np.ndarray) -> None:
         """Rows of token ids, -1 after their end; column 0 is input only."""
         h = np.zeros((len(ids), HIDDEN), np.float32)
-        self.seen += len(ids)
         for t in range(0, ids.shape[1] - 1, CHUNK):
-            x, y = ids[:, t : t + CHUNK], ids[:, t + 1 : t + 1 + CHUNK]
-            x = np.where(x < 0, self.net.size, x)[:, : y.shape[1]]
-            if (y >= 0).any():
-                grad, h = self.net.gradients(x, y, h)
-                self._update(grad)
-
-    def _update(self, grad: dict) -> None:
+            h = self.chunk(ids[:, t : t + CHUNK + 1], h)
+
+    def chunk(self, ids: np.ndarray, h: np.ndarray, share: float = 1) -> np.ndarray:
+        """One update, at a share of the rate, from rows of ids, the first of which is input only, with carried states; returns the new ones."""
+        x, y = ids[:, :-1], ids[:, 1:]
+        n = int((y >= 0).sum())
+        if not n:
+            return h
+        self.seen += n
+        grad, h = self.net.gradients(np.where(x < 0, self.net.size, x), y, h)
+        self._update(grad, share)
+        return h
+
+    def _update(self, grad: dict, share: float) -> None:
         self.step += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         a, b = 1 - 0.9**self.step, 1 - 0.99**self.step
@@ -220,16 +228,48 @@ class Trainer:
             g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             self.m[k] += np.float32(0.1) * (g - self.m[k])
             self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-            self.net.w[k] -= np.float32(self.rate / a) * self.m[k] / (np.sqrt(self.v[k] / np.float32(b)) + np.float32(1e-6))
-
-
-def _rows(ids: np.ndarray, at: np.ndarray, span: int, turn: np.ndarray) -> np.ndarray:
-    """One window of span tokens of each document, from a place that turn chooses, after the token before it."""
+            self.net.w[k] -= np.float32(self.rate * share / a) * self.m[k] / (np.sqrt(self.v[k] / np.float32(b)) + np.float32(1e-6))
+
+
+class Lanes:
+    """Whole documents, BATCH side by side: each lane takes a document from its first token to its last, CHUNK tokens
+    an update, with the state carried on, and then the next document, with a state of zeros."""
+
+    def __init__(self, trainer: Trainer):
+        self.trainer = trainer
+        self.queue: list[np.ndarray] = []
+        self.docs: list[np.ndarray] = [np.zeros(0, np.int32)] * BATCH
+        self.at = np.zeros(BATCH, dtype=np.int64)
+        self.h = np.zeros((BATCH, HIDDEN), np.float32)
+
+    def take(self, docs: list[np.ndarray], last: bool = False) -> None:
+        """Learns from docs until a lane finds no next one; last: to the end of all."""
+        queue = [*self.queue, *docs][::-1]
+        while True:
+            for i in range(BATCH):
+                if self.at[i] >= len(self.docs[i]) and queue:
+                    self.docs[i], self.at[i], self.h[i] = queue.pop(), 0, 0
+            busy = [i for i in range(BATCH) if self.at[i] < len(self.docs[i])]
+            if not busy or (len(busy) < BATCH and not last):
+                break
+            ids = np.full((len(busy), CHUNK + 1), -1, dtype=np.int64)
+            for row, i in enumerate(busy):
+                doc, t = self.docs[i], int(self.at[i])
+                part = doc[max(0, t - 1) : t + CHUNK]
+                ids[row, 0] = 0
+                first = 0 if t else 1
+                ids[row, first : first + len(part)] = part
+            self.h[busy] = self.trainer.chunk(ids, self.h[busy], len(busy) / BATCH)
+            self.at[busy] += CHUNK
+        self.queue = queue[::-1]
+
+
+def _firsts(ids: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """The first span tokens of each document after a column of zeros, -1 after their end."""
     n = np.diff(at)
-    start = turn % np.maximum(1, n - span + 1)
-    col = start[:, None] + np.arange(-1, span)[None, :]
+    col = np.arange(-1, span)[None, :]
     place = np.clip(at[:-1, None] + col, 0, max(0, len(ids) - 1))
-    out = np.where(col < 0, 0, ids[place]) if len(ids) else np.zeros(col.shape, dtype=np.int64)
+    out = np.where(col < 0, 0, ids[place]) if len(ids) else np.zeros((len(n), span + 1), dtype=np.int64)
     return np.where(col >= n[:, None], -1, out)
 
 
@@ -250,7 +290,7 @@ def _ids(lookup: Lookup, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, lookup: Lookup) -> Network:
-    """Warm start on WARM documents, then a window of every training document, averaged over the partitions."""
+    """Warm start on the first tokens of WARM documents, then every token of every training document, averaged over the partitions."""
     spark = docs.sparkSession
     train = docs.where(~held_out(F.col("doc_id")))
     ids = train.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(WARM)
@@ -258,7 +298,7 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             x, at = _ids(lookup, batch.column(1))
-            rows = _rows(x, at, 4 * CHUNK, np.zeros(batch.num_rows, dtype=np.int64))
+            rows = _firsts(x, at, 4 * CHUNK)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "x"])
 
     net = Network(lookup)
@@ -276,17 +316,11 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, look = blob.value
         local = Trainer(Network(look).load(start), 0.002)
-        held: list[np.ndarray] = []
+        lanes = Lanes(local)
         for batch in slices(batches, most=SLICE):
             ids, at = _ids(look, batch.column(0))
-            held.append(_rows(ids, at, SPAN, np.asarray(batch.column(1)).astype(np.int64)))
-            if sum(map(len, held)) >= BATCH:
-                rows = np.concatenate(held)
-                for lo in range(0, len(rows) - BATCH + 1, BATCH):
-                    local.learn(rows[lo : lo + BATCH])
-                held = [rows[len(rows) - len(rows) % BATCH :]]
-        if sum(map(len, held)):
-            local.learn(np.concatenate(held))
+            lanes.take(np.split(ids.astype(np.int32), at[1:-1]))
+        lanes.take([], last=True)
         yield pa.RecordBatch.from_arrays([pa.array([local.seen]), pa.array([local.net.dump()], pa.binary())], names=["n", "w"])
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -298,11 +332,7 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
         return pd.DataFrame({"g": [int(pdf["g"].iloc[0]) // FANIN], "n": [n], "w": [one.dump()]})
 
     lookup_small = Lookup(np.zeros(0, dtype=np.int64), np.zeros(0), 0, 0)
-    # the window is cut from a piece of the text, whose place a hash chooses; a piece's first token may be a part of a word
-    turn = F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFF)
-    text = F.coalesce("text", F.lit(""))
-    piece = F.substr(text, (turn % F.greatest(F.lit(1), F.length(text) - 12 * SPAN) + 1).cast("int"), F.lit(12 * SPAN))
-    parts = train.select(piece.alias("text"), F.lit(0).alias("turn")).mapInArrow(go_on, "n long, w binary").where("n > 0")
+    parts = train.select("text").mapInArrow(go_on, "n long, w binary").where("n > 0")
     parts = cut(parts.withColumn("g", F.spark_partition_id().cast("long")))
     left = parts.count()
     while left > 1:  # in groups of FANIN, so that no task reads more than a fixed number of weights
