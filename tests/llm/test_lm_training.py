@@ -39,3 +39,14 @@ def test_the_model_has_seen_the_tokens_of_all_training_texts(spark, monkeypatch)
     total = lm.score(docs).first()["train_tokens"]
     weights = next(df for df in written if "w" in df.columns)
     assert weights.selectExpr("sum(n)").first()[0] == total > 601 * 40
+
+
+def test_the_network_tells_rarer_tokens_apart():
+    look = lm.Lookup(np.arange(6000, dtype=np.uint64), np.arange(12000, 6000, -1), 60_000_000, 6000)
+    net = lm.Network(look)
+    rare = np.array([3000, 4095])
+    assert net.size == 4096 and net.w["R"].shape == (32, 96) and (rare < net.size).all()
+    r = np.random.default_rng(0)
+    net.w["W"] = r.normal(0, 0.3, net.w["W"].shape).astype(np.float32)
+    one, two = (net.log_probs(np.repeat(r.normal(0, 1, (1, lm.HIDDEN)).astype(np.float32), 2, axis=0), rare) for _ in range(2))
+    assert (np.abs(one - two) > 1e-3).all()
