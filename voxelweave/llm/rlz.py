@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
-
-The reference is all text that comes earlier, indexed in blocks by anchor hash (see repeats.py): a shuffle
-brings each document's places to the block that holds their anchor, where the index answers with the earliest
-source of the window there. A document is then factored greedily from left to right: a factor starts at the
-first window that has an earlier source, is extended while the next window's source is the next one of the
-same document, and where it breaks off, the windows over the factor boundary are looked up on their own, so
-that a window made of the end of one factor and the start of the next is found too. Factors of at least
-WINDOW words are duplicate spans; shorter ones are literals and stay.
+"""Substring dedup by an anchor-sampled window join over words, with relative Lempel-Ziv factors read off afterwards.
+
+The reference is all text that comes earlier. Windows of WINDOW words that have an earlier source are found by
+joins (see repeats.py): whole contexts on the hashes of anchor and context, what is left of an anchor's classes
+window by window on the hashes of anchor and window. No text is parsed against an index, so no factor boundary
+needs a lookup of its own. A document's windows are then joined from left to right into factors: a factor takes
+in the next windows while their source goes on where it stands. Factors have at least WINDOW words and are the
+duplicate spans; what they leave are literals, which stay.
 
 Defined cases. Null text: no words. Fewer than WINDOW words: nothing is removed. Rows with one doc_id and one
 text are one document; if a doc_id repeats with other texts, or is null, documents go by (doc_id, hash of the
