@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,12 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's library
+    _LIBC = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,15 +38,31 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of df from a table written in the shared checkpoint folder, so that lost executors cost no recomputation.
 
     Parquet, being compressed, takes a fraction of checkpoint()'s disk. The folder is the one of the session's
-    spark.checkpoint.dir; one of this machine only where none is set.
+    spark.checkpoint.dir; one of this machine only where none is set and the master is local. What the plan of df
+    has shuffled is of no more use, unless df is kept: the driver is told to collect its garbage, upon which Spark
+    deletes such files.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     path = f"{sc.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    sc._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the tables of cut() that nothing will read any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -49,8 +74,11 @@ def sized(df: DataFrame, name: str, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text (a longer text is a batch of its own)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text (a longer text is a batch of its own).
+
+    After the last one, memory that the worker holds but doesn't use goes back to the system: workers are used again.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,6 +89,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +129,39 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, stops, np.searchsorted(starts, offsets).astype(np.int64)
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words with one space after each, and the n+1 offsets of the words in it."""
+    size = stops - starts + 1
+    at = np.concatenate(([0], np.cumsum(size)))
+    out = np.full(at[-1], 32, dtype=np.uint8)
+    inside = np.ones(at[-1], dtype=bool)
+    inside[at[1:] - 1] = False
+    take = np.zeros(len(data) + 1, dtype=np.int8)
+    take[starts] += 1
+    take[stops] -= 1
+    out[inside] = data[np.cumsum(take[:-1], dtype=np.int8).view(bool)]
+    return out, at
+
+
+def word_ids(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word among the distinct words, and these; words are compared as bytes."""
+    take = np.zeros(len(data) + 1, dtype=np.int8)
+    take[starts] += 1
+    take[stops] -= 1
+    packed = data[np.cumsum(take[:-1], dtype=np.int8).view(bool)]
+    at = np.concatenate(([0], np.cumsum(stops - starts)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(packed)])
+    coded = words.dictionary_encode()
+    return np.asarray(coded.indices), coded.dictionary
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int) -> np.ndarray:
+    """XXH3 of every word, worked out once for each distinct one."""
+    ids, distinct = word_ids(data, starts, stops)
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(w, seed) for w in distinct.to_pylist()), dtype=np.uint64, count=len(distinct))[ids]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finalizer of 64-bit values (xor-shift-multiply)."""
     h = h ^ (h >> np.uint64(31))
@@ -111,7 +179,8 @@ def _odd(seed: int) -> int:
 class Rolling:
     """Hashes of spans of a sequence of 64-bit symbols from prefix sums of symbol * M**index, all modulo 2**64.
 
-    M is odd, so that M has an inverse and equal spans get equal hashes wherever they stand.
+    M is odd, so that M has an inverse and equal spans get equal hashes wherever they stand. Unequal spans may be
+    made to collide; so these hashes only ever choose candidates, and what is found is compared or hashed otherwise.
     """
 
     def __init__(self, seed: int):
@@ -122,7 +191,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            both = np.empty((2, max(n, 1 << 16)), dtype=np.uint64)
+            both = np.empty((2, max(n, 1 << 12)), dtype=np.uint64)
             both[:, 0] = 1
             both[0, 1:], both[1, 1:] = self.m, self.inverse
             self.powers, self.inverses = np.cumprod(both, axis=1, dtype=np.uint64)

@@ -1,13 +1,16 @@
 """Where a window of symbols occurs again: the candidate search that both substring operators share.
 
-Each window of W symbols has an anchor, the leftmost of its G-symbol grams with the least hash. Equal windows
-have equal anchors at equal places, so that windows need to be compared under equal anchor hashes only. A
-document's consecutive windows with one anchor are one record (lo, hi), its first and last window
-start; about 2 / (W - G + 2) records a symbol are shuffled once, with 64 bits of the anchor's and of the whole
-context's hash. An anchor that occurs once ends there. Records of one anchor and one context are a class, whose
-windows are all equal in pairs; of each class in a group of several only the least member's windows are then
-compared one by one ("fine"). So a passage that thousands of documents share costs one record a document and
-one class in all, whatever the number of copies, and the aggregates of a hot group are combined before the shuffle.
+Each window of W symbols has an anchor, one of its G-symbol grams: not one of the grams that are frequent in the
+corpus if there is another, and of these the one with the least hash, the leftmost if it repeats. Equal windows
+have equal anchors at equal places, so that windows need to be compared under equal anchors only; and as frequent
+grams are avoided, windows that reach beyond a passage that many documents share meet under rarer ones. A
+document's consecutive windows with one anchor are a record (lo, more): windows lo .. lo + more are its own, and
+the symbols of all of them its context. About 2 / (W - G + 2) records a symbol are shuffled once; an anchor that
+occurs once ends there. Records of one anchor and one context are a class: a passage that thousands of documents
+share costs one record a document and one class in all, counted before the shuffle. Classes are what the
+operators then work on, each knowing its first member and whether there are others.
+
+Anchors are 64-bit hashes that only choose candidates; contexts are known by their anchor and XXH3 of their bytes.
 """
 
 from __future__ import annotations
@@ -16,89 +19,173 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffer_of, cut, mix, slices, window_min, words_of
+from .common import Rolling, buffer_of, cut, joined_words, release, slices, window_min, word_hashes, words_of
+
+BLOCK = 1 << 17  # symbols that are hashed at a time
+SAMPLE = 16  # one in so many documents is looked at for frequent grams, which only steers the choice of anchors
+LOCAL = 4  # times that a gram must occur in a slice of the sample
+FREQUENT = 1 << 16  # frequent grams that are told apart
+
+_PLACE = 18  # low bits of a window's least value: the place of the gram in its block
+_LEVEL = 6  # high bits: how frequent it is
+
 
-BLOCK = 1 << 20  # symbols that are hashed at a time
+class Units:
+    """Texts of a column as symbols: symbols (hashes or bytes), the offsets of the texts among them, and the bytes of any run of symbols."""
 
-#: Symbols of a column of texts, and the offsets of the texts among them.
-Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+    def __init__(self, symbols: np.ndarray, at: np.ndarray, raw: bytes, place: np.ndarray | None):
+        self.symbols, self.at, self.raw, self.place = symbols, at, memoryview(raw), place
 
+    def runs(self, a: np.ndarray, b: np.ndarray) -> Iterator[memoryview]:
+        """The bytes of the symbols [a, b), words being joined by single spaces."""
+        if self.place is None:
+            ends = b
+        else:
+            a, ends = self.place[a], self.place[b] - 1
+        raw = self.raw
+        return (raw[x:y] for x, y in zip(a.tolist(), ends.tolist()))
 
-def byte_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return buffer_of(column)
+    def bytes_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return b - a if self.place is None else self.place[b] - self.place[a]
 
 
-_WORDS = Rolling(11)
+def byte_units(column: pa.Array) -> Units:
+    data, at = buffer_of(column)
+    return Units(data, at, data.tobytes(), None)
 
 
-def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_units(column: pa.Array) -> Units:
     data, offsets = buffer_of(column)
     starts, stops, at = words_of(data, offsets)
-    return _WORDS.spans(_WORDS.prefix(data), starts, stops), at
+    joined, place = joined_words(data, starts, stops)
+    return Units(word_hashes(data, starts, stops, 11), at, joined.tobytes(), place)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text), key in the order of documents: doc_id if that is unique, else (doc_id, hash of the text).
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, text) of every row, and the same with one row a key; keys are in the order of documents.
 
-    Rows of one key are one document.
+    The key is doc_id if that is unique, else a string that orders as (doc_id, hash of the text), nulls first. Rows
+    of one key are one document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n, known = docs.agg(F.count("*"), F.count("doc_id")).first()
-    unique = n == known and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return docs.select((F.col("doc_id") if unique else F.struct("doc_id", F.xxhash64("text").alias("th"))).alias("key"), "doc_id", "text")
+    if n == known and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return docs, docs
+    ordered = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    key = F.concat(F.when(F.col("doc_id").isNull(), "0").otherwise("1"), ordered(F.coalesce("doc_id", F.lit(0).cast("long"))), ordered(F.xxhash64("text")))
+    docs = docs.select(key.alias("key"), "doc_id", "text")
+    return docs, docs.dropDuplicates(["key"])
+
+
+def id_of(key: pa.Array) -> pa.Array:
+    """The doc_id of each key."""
+    if pa.types.is_integer(key.type):
+        return key
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return pa.array([None if k is None or k[0] == "0" else signed(int(k[1:17], 16) ^ (1 << 63)) for k in key.to_pylist()], pa.int64())
 
 
 class Scanner:
     """Anchors of the windows of w symbols; grams of g symbols."""
 
-    def __init__(self, symbols: Symbols, w: int, g: int, seed: int):
-        self.symbols, self.w, self.g = symbols, w, g
-        self.gram, self.context = Rolling(seed), Rolling(seed + 100)
+    def __init__(self, units: Callable[[pa.Array], Units], w: int, g: int, seed: int):
+        self.units, self.w, self.g = units, w, g
+        self.gram = Rolling(seed)
+        self.frequent, self.level = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.maybe = np.zeros(1, dtype=bool)
+
+    def avoid(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Hashes of frequent grams and their counts."""
+        order = np.argsort(grams)
+        self.frequent, self.level = grams[order], np.minimum(np.log2(counts[order]).astype(np.uint64) + np.uint64(1), np.uint64((1 << _LEVEL) - 1))
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(grams & np.uint64(len(self.maybe) - 1)).astype(np.int64)] = True
+
+    def grams(self, symbols: np.ndarray) -> np.ndarray:
+        return self.gram.every(self.gram.prefix(symbols), self.g)
+
+    def _values(self, h: np.ndarray) -> np.ndarray:
+        """What windows take the least of: level of frequency, hash, place."""
+        low = np.uint64((1 << _PLACE) - 1)
+        value = ((h >> np.uint64(_LEVEL)) & ~low) | np.arange(len(h), dtype=np.uint64)
+        if len(self.frequent):
+            some = np.flatnonzero(self.maybe[(h & np.uint64(len(self.maybe) - 1)).astype(np.int64)])
+            i = np.minimum(np.searchsorted(self.frequent, h[some]), len(self.frequent) - 1)
+            hit = self.frequent[i] == h[some]
+            value[some[hit]] |= self.level[i[hit]] << np.uint64(64 - _LEVEL)
+        return value
 
     def scan(self, column: pa.Array) -> dict[str, np.ndarray]:
         """Records of a column of texts; BLOCK symbols are worked on at a time, however long a text is."""
-        symbols, at = self.symbols(column)
-        parts, d = [], 0
+        units = self.units(column)
+        at, w = units.at, self.w
+        z = np.zeros(0, dtype=np.int64)
+        parts, d = [(z, z, z, z.astype(np.uint64), z.astype(np.uint64))], 0
         while d < len(at) - 1:
             e = max(d + 1, int(np.searchsorted(at, at[d] + BLOCK, side="right")) - 1)
-            for lo in range(0, max(1, int(at[e] - at[d]) - self.w + 1), BLOCK):  # more than once for one long text only
-                a, b = int(at[d]) + lo, min(int(at[e]), int(at[d]) + lo + BLOCK + self.w - 1)
-                x = self._block(symbols[a:b], np.clip(at[d : e + 1] - a, 0, b - a))
-                x["doc"] += d
-                x["lo"] += lo
-                parts.append(x)
+            for lo in range(0, max(1, int(at[e] - at[d]) - w + 1), BLOCK):  # more than once for one long text only
+                a, b = int(at[d]) + lo, min(int(at[e]), int(at[d]) + lo + BLOCK + w - 1)
+                doc, first, more, ah = self._block(units.symbols[a:b], np.clip(at[d : e + 1] - a, 0, b - a))
+                doc = doc + d
+                first = first + a
+                parts.append((doc, first - at[doc], more, ah, self._contexts(units, first, more)))
             d = e
-        return {k: np.concatenate([x[k] for x in parts]) for k in ("doc", "lo", "more", "ah", "ch")} if parts else self._block(symbols, at)
+        return dict(zip(("doc", "lo", "more", "ah", "ch"), (np.concatenate(x) for x in zip(*parts))))
+
+    def _contexts(self, units: Units, first: np.ndarray, more: np.ndarray) -> np.ndarray:
+        digest = xxhash.xxh3_64_intdigest
+        return np.fromiter(map(digest, units.runs(first, first + more + self.w)), dtype=np.uint64, count=len(first))
 
-    def _block(self, symbols: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    def _block(self, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Document, first window (its place in symbols), number of further windows and anchor of each record."""
         w, g, n = self.w, self.g, len(symbols)
         if n < w:
             z = np.zeros(0, dtype=np.int64)
-            return {"doc": z.copy(), "lo": z.copy(), "more": z, "ah": z.astype(np.uint64), "ch": z.astype(np.uint64)}
-        h = self.gram.every(self.gram.prefix(symbols), g)
-        # the place in the low bits makes the least value say where it is, the leftmost of equal ones
-        low = np.uint64((1 << 24) - 1)
-        least = window_min((h & ~low) | np.arange(len(h), dtype=np.uint64), w - g + 1)
+            return z, z, z, z.astype(np.uint64)
+        h = self.grams(symbols)
+        least = window_min(self._values(h), w - g + 1)
         begin, end = at[:-1], at[1:] - w + 1  # of each document's windows
         edges = np.unique(np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, begin[begin < end], end[begin < end])))
         lo, hi = edges[:-1], edges[1:] - 1
         doc = np.searchsorted(at, lo, side="right") - 1
         own = lo < end[doc]
         lo, hi, doc = lo[own], hi[own], doc[own]
-        m = (least[lo] & low).astype(np.int64)
-        context = self.context.spans(self.context.prefix(symbols), lo, hi + w)
-        ch = mix(context + ((m - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64))
-        return {"doc": doc, "lo": lo - at[doc], "more": hi - lo, "ah": h[m], "ch": ch}
+        return doc, lo, hi - lo, h[(least[lo] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)]
+
+
+def steered(docs: DataFrame, scanner: Scanner) -> Scanner:
+    """The scanner, knowing the frequent grams of a sample of keyed documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            symbols = scanner.units(batch.column(0)).symbols
+            parts = [np.zeros(0, dtype=np.uint64)]
+            for a in range(0, max(0, len(symbols) - scanner.g + 1), BLOCK):
+                parts.append(scanner.grams(symbols[a : a + BLOCK + scanner.g - 1]))
+            h = np.sort(np.concatenate(parts))
+            edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True]))) if len(h) else np.zeros(1, dtype=np.int64)
+            c = np.diff(edge)
+            many = c >= LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array(h[edge[:-1][many]].view(np.int64)), pa.array(c[many])], names=["h", "c"])
+
+    some = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long, c long")
+    found = some.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()  # a fixed number of rows
+    if found.num_rows:
+        scanner.avoid(np.asarray(found.column("h")).astype(np.int64).view(np.uint64), np.asarray(found.column("c")))
+    return scanner
 
 
 def records(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """(key, lo, more, ah, ch) of every anchor of every keyed document: windows lo .. lo + more are its own."""
+    """(key, lo, more, ah, ch) of every record of every keyed document."""
+    shared = docs.sparkSession.sparkContext.broadcast(scanner)  # of a fixed size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = scanner.scan(batch.column(1))
+            x = shared.value.scan(batch.column(1))
             keys = batch.column(0).take(pa.array(x["doc"]))
             yield pa.RecordBatch.from_arrays([keys, *[pa.array(x[c].astype(np.int32)) for c in ("lo", "more")], *[pa.array(x[c].view(np.int64)) for c in ("ah", "ch")]], names=["key", "lo", "more", "ah", "ch"])
 
@@ -106,19 +193,71 @@ def records(docs: DataFrame, scanner: Scanner) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, f"key {kind}, lo int, more int, ah long, ch long")
 
 
-def candidates(docs: DataFrame, scanner: Scanner, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Records whose anchor occurs again, the classes of these, and the classes that share their anchor with others.
-
-    Records: (key, lo, hi, ah, ch). Classes: (ah, ch, first, many): the first member as (key, lo, hi), and
-    whether there are others.
-    keep: write all records first, which takes disk, where scanning twice would take longer.
-    """
-    found = cut(records(docs, scanner)) if keep else records(docs, scanner)
+def candidates(docs: DataFrame, scanner: Scanner) -> tuple[DataFrame, DataFrame]:
+    """Written tables: records (key, lo, more, ah, ch) whose anchor occurs again, and their classes (ah, ch, key, lo, more, many):
+    the first member, and whether there are others."""
+    found = cut(records(docs, scanner))
     # counts are combined before their shuffle; being written, they leave the join free to split a hot anchor
     repeated = cut(found.groupBy("ah").count().where("count > 1").select("ah"))
-    again = cut(found.join(repeated, "ah").withColumn("hi", F.expr("lo + more")).drop("more"))
-    one = F.struct("key", "lo", "hi")
-    classes = again.groupBy("ah", "ch").agg(F.min(one).alias("first"), F.max(F.struct("key", "lo")).alias("last"))
-    classes = cut(classes.select("ah", "ch", "first", F.expr("first.key != last.key OR first.lo != last.lo").alias("many")))
-    several = cut(classes.groupBy("ah").count().where("count > 1").select("ah"))
-    return again, classes, classes.join(several, "ah", "left_semi")
+    again = cut(found.join(repeated, "ah").select("key", "lo", "more", "ah", "ch"))
+    release(found, repeated)
+    classes = again.groupBy("ah", "ch").agg(F.min(F.struct("key", "lo", "more")).alias("first"), F.count("*").alias("n"))
+    return again, cut(classes.select("ah", "ch", "first.*", (F.col("n") > 1).alias("many")))
+
+
+def contexts(docs: DataFrame, classes: DataFrame, scanner: Scanner) -> DataFrame:
+    """(ah, ch, key, lo, many, ctx): the classes with the bytes of their contexts."""
+    lists = classes.groupBy("key").agg(F.collect_list(F.struct("ah", "ch", "lo", "more", "many")).alias("r"))
+    names = ["ah", "ch", "key", "lo", "many", "ctx"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            units = scanner.units(batch.column(1))
+            r = batch.column(2)
+            doc = np.repeat(np.arange(len(r)), np.diff(np.asarray(r.offsets)))
+            flat = r.flatten()
+            lo, more = (np.asarray(flat.field(k)).astype(np.int64) for k in (2, 3))
+            a = units.at[:-1][doc] + lo
+            b = a + more + scanner.w
+            # contexts overlap, so that they may be many times their text: let them go in parts
+            part = np.cumsum(units.bytes_of(a, b)) >> 20
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lo)]
+            for x, y in zip(cuts, cuts[1:]):
+                own = lambda k: flat.field(k).slice(x, y - x)  # noqa: E731, B023
+                ctx = pa.array([bytes(m) for m in units.runs(a[x:y], b[x:y])], pa.binary())
+                yield pa.RecordBatch.from_arrays([own(0), own(1), batch.column(0).take(pa.array(doc[x:y])), own(2), own(4), ctx], names=names)
+
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.join(lists, "key").select("key", "text", "r").mapInArrow(run, f"ah long, ch long, key {kind}, lo int, many boolean, ctx binary")
+
+
+def by_anchor(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows that come sorted by ah, in batches of about `most` bytes of ctx that hold whole anchors; in order of (key, lo)."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        return table.sort_by([("key", "ascending"), ("lo", "ascending")]).combine_chunks().to_batches()[0]
+
+    for batch in slices(batches, "ctx", most // 4):
+        held.append(batch)
+        size += batch.column(5).nbytes
+        if size >= most:
+            table = pa.Table.from_batches(held)
+            ah = np.asarray(table.column("ah"))
+            whole = int(np.searchsorted(ah, ah[-1]))
+            if whole:
+                yield out(table.slice(0, whole))
+                held = table.slice(whole).combine_chunks().to_batches()
+                size = sum(x.column(5).nbytes for x in held)
+    if held:
+        yield out(pa.Table.from_batches(held))
+
+
+def spans_of(again: DataFrame, found: DataFrame) -> DataFrame:
+    """Spreads what was found for classes, (ah, ch, key, lo, first, later), over their members: (key, lo, f), f being
+    `first` for the first member and `later` for the others, where it isn't empty."""
+    first = found.select("ah", "ch", F.col("key").alias("key0"), F.col("lo").alias("lo0"), "first", "later")
+    f = F.when((F.col("key") == F.col("key0")) & (F.col("lo") == F.col("lo0")), F.col("first")).otherwise(F.col("later"))
+    return again.join(first, ["ah", "ch"]).select("key", "lo", f.alias("f")).where("size(f) > 0")
