@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -139,20 +140,17 @@ def test_op2_levels_merge(spark, w, monkeypatch):
     r = random.Random(w)
     t = ["".join(r.choice("ab") for _ in range(r.randrange(0, 160))) for _ in range(60)]
     t += [t[i][5:90] + "c" + t[i + 1][3:60] for i in range(30)]
+    own = [x for x in t if len(x) >= w]
+    many = [len(x) % 7 == 0 for x in own]
     levels = suffix_levels.Levels(w)  # many small batches: several levels and merges
-    for i in range(0, len(t), 4):
-        part = [x for x in t[i : i + 4]]
-        own = [(k, x) for k, x in enumerate(part) if len(x) >= w]
-        if own:
-            import numpy as np
-
-            data = np.frombuffer("".join(x for _, x in own).encode(), dtype=np.uint8)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for _, x in own])))
-            levels.add(data, offsets, np.array([i + k for k, _ in own]), np.zeros(len(own), dtype=np.int64), np.array([len(x) - w for _, x in own]))
-    rec, lo, hi = levels.spans()
+    for i in range(0, len(own), 4):
+        part = own[i : i + 4]
+        data = np.frombuffer("".join(part).encode(), dtype=np.uint8)
+        levels.add(data, np.concatenate(([0], np.cumsum([len(x) for x in part]))), np.array(many[i : i + 4]))
+    rec, lo, hi = levels.runs(np.concatenate(([0], np.cumsum([len(x) for x in own]))))
     got = {(a, s) for a, x, y in zip(rec.tolist(), lo.tolist(), hi.tolist()) for s in range(x, y + 1)}
-    count = collections.Counter(x[s : s + w] for x in t for s in range(len(x) - w + 1))
-    assert got == {(k, s) for k, x in enumerate(t) for s in range(len(x) - w + 1) if count[x[s : s + w]] > 1}
+    count = collections.Counter(x[s : s + w] for x, m in zip(own, many) for s in range(len(x) - w + 1) for _ in range(1 + m))
+    assert got == {(k, s) for k, x in enumerate(own) for s in range(len(x) - w + 1) if count[x[s : s + w]] > 1}
     assert len(levels.levels) <= 8
 
 

@@ -17,6 +17,7 @@ QUERIES = {
 
 SQL = {
     "op1_rlz_dedup": rlz.OP1_SQL,
+    "op2_suffix_levels": suffix_levels.OP2_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op10_chat_windows": chat.OP10_SQL,
 }
