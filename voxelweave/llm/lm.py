@@ -372,14 +372,17 @@ def _score(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return back
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document of keyed docs."""
+def score(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, doc_id, n_tokens, n_known, train_tokens, base_score, score) of each of docs, which has one row for each key of the keyed rows.
+
+    Counts and training take all rows, repeated or not.
+    """
     spark = docs.sparkSession
-    table = cut(counts(docs))
+    table = cut(counts(rows))
     n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = table.orderBy(F.desc("c"), "th").limit(HEAD).toArrow()  # a fixed number of rows
     lookup = Lookup(np.asarray(head.column("th")).view(np.uint64).copy(), np.asarray(head.column("c")), int(n), int(v))
-    net = fit(docs, lookup)
+    net = fit(rows, lookup)
     shared = spark.sparkContext.broadcast((lookup, net.dump()))
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -412,9 +415,8 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = keyed(documents(spark, sf_dir))
-    if docs.schema["key"].dataType.typeName() == "struct":  # repeated rows: score each document once
-        out = docs.select("key").join(score(docs.dropDuplicates(["key"])), "key")
-    else:
-        out = score(docs)
+    rows, docs = keyed(documents(spark, sf_dir))
+    out = score(rows, docs)
+    if rows is not docs:  # repeated rows: each document is scored once
+        out = rows.select("key").join(out, "key")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
