@@ -1,22 +1,24 @@
 """Language-model scoring with a gated recurrent network.
 
-Counts come from all training documents: every token's count, N, V, the model's vocabulary (the VOCAB most
+Counts come from all rows for training: every token's count, N, V, the model's vocabulary (the VOCAB most
 frequent tokens) and its classes (CLASS tokens of neighbouring rank). The network is a GRU in numpy whose output
 is factored: the probability of a class, times that of the token in its class. One more class stands for all
 other tokens, among which a token has its share by count, (c + 0.1) of the rest's sum. Output biases start as
 the logarithms of the counts, so that the untrained network is the unigram model.
 
-Training is truncated backpropagation over CHUNK tokens with the state carried on: first on a bounded sample of
-WARM documents on the driver (their first 4 * CHUNK tokens), then every partition goes on from there with all
-tokens of its training documents, from their first to their end, and the weights are averaged in a tree by tokens. Scoring carries the state through the whole
-document.
+Training is truncated backpropagation over CHUNK tokens with the state carried on through the whole document, from
+its first token to its end: first in one task on a sample of WARM documents, then every partition goes on from
+there with all of its training documents, and the weights are averaged in a tree by tokens. So the weights depend
+on how the table is dealt over partitions; nothing else does. Scoring carries the state through the whole document.
 
-Counts of the HEAD most frequent tokens travel with the scoring tasks (a fixed number of them); those of the
-others are found by a join on the token's hash, whose keys are rare by construction, so that no key is hot.
+Tokens are known by XXH3 of their bytes. Counts of the HEAD most frequent ones travel with the scoring tasks (a
+fixed number of them); those of the others are found by a join, whose keys are rare by construction, so that no
+key is hot.
 
 Defined cases. Null text: empty, one token (the end). No training documents: N and V are 0, every token has
-base probability 1 and the network is untrained. Rows with one doc_id and one text are one document and get equal
-scores; a null doc_id is not held out, as its remainder is unknown. Other columns are ignored.
+base probability 1 and the network is untrained. Repeated rows count and train as often as they occur, and rows with
+one doc_id and one text get equal scores; a null doc_id is not held out, as its remainder is unknown. A very long
+text is tokenised whole, and its score takes memory for its tokens. No rows: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,35 +29,40 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffer_of, cut, documents, slices, words_of
+from .common import buffer_of, cut, documents, release, slices, word_ids, words_of
 from .repeats import keyed
 
 VOCAB, CLASS = 4096, 64
 EMBED, HIDDEN = 16, 32
 HEAD = 1 << 16
-WARM, EPOCHS = 2500, 4
-CHUNK, BATCH = 32, 128
+WARM = 2500
+CHUNK, BATCH = 32, 256
+LEARN = 8192  # tokens of an update, at least
 COLUMNS = 64  # tokens that scoring steps through at a time
-SLICE = 4 << 20
+SLICE = 2 << 20
 FANIN = 16
 
-_WORDS = Rolling(51)
-_END = np.uint64(7)
+_SEED = 51
+_END = 7  # the end of a document as a token
 
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each document's last being its end, and the offsets of the documents among them."""
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens as numbers among the distinct ones, each document's last being its end; the hashes of these; and
+    the offsets of the documents among the tokens."""
     data, offsets = buffer_of(column)
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     starts, stops, at = words_of(data, offsets)
-    out = np.full(len(starts) + len(at) - 1, _END, dtype=np.uint64)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    out[np.arange(len(starts)) + doc] = _WORDS.spans(_WORDS.prefix(lower[data]), starts, stops)
-    return out, at + np.arange(len(at))
+    codes, distinct = word_ids(lower[data], starts, stops)
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.fromiter((digest(x, _SEED) for x in distinct.to_pylist()), dtype=np.uint64, count=len(distinct))
+    out = np.full(len(starts) + len(at) - 1, len(distinct), dtype=np.int32)
+    out[np.arange(len(starts)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = codes
+    return out, np.append(hashes, np.uint64(_END)), at + np.arange(len(at))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -81,12 +88,19 @@ class Lookup:
         return np.where(self.sorted[at] == th, self.order[at], -1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _start(n: int) -> np.ndarray:
+    """States before a document: zeros, and the one that every state ends in, for biases."""
+    h = np.zeros((n, HIDDEN + 1), np.float32)
+    h[:, -1] = 1
+    return h
 
 
 class Network:
-    """GRU with a class-factored output. Ids are ranks below size; size itself stands for every other token."""
+    """GRU with a class-factored output. Ids are ranks below size; size itself stands for every other token.
+
+    Weights: E embeddings, X from these and R from the state to the gates (update, reset, new), C from the state to
+    the classes, W to the tokens of each class. The last row of R and C, and the last column of W, are biases.
+    """
 
     def __init__(self, lookup: Lookup, seed: int = 0):
         r, size = np.random.default_rng(seed), lookup.size
@@ -96,95 +110,118 @@ class Network:
         count[:size] = lookup.count[:size] + 0.1
         mass = np.append(count.reshape(-1, CLASS).sum(1), max(lookup.rest, 0.1))
         self.w = {
-            "E": r.normal(0, 0.3, (size + 1, EMBED)).astype(f), "X": r.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN)).astype(f), "R": r.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(f),
-            "b": np.zeros(3 * HIDDEN, f), "C": np.zeros((HIDDEN, self.classes + 1), f), "c": np.log(mass / mass.sum()).astype(f),
-            "W": np.zeros((self.classes, CLASS, HIDDEN), f), "w": np.log(count).reshape(-1, CLASS).astype(f),
+            "E": r.normal(0, 0.3, (size + 1, EMBED)).astype(f), "X": r.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN)).astype(f),
+            "R": np.concatenate((r.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)), np.zeros((1, 3 * HIDDEN)))).astype(f),
+            "C": np.zeros((HIDDEN + 1, self.classes + 1), f), "W": np.zeros((self.classes, CLASS, HIDDEN + 1), f),
         }
-
-    def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each column of input ids x, from state h."""
-        w, table = self.w, self.w["E"] @ self.w["X"] + self.w["b"]
-        out, mem = np.zeros((x.shape[1], len(x), HIDDEN), np.float32), []
-        for t in range(x.shape[1]):
-            a, u = table.take(x[:, t], axis=0), h @ w["R"]
-            g = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-            z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-            q = u[:, 2 * HIDDEN :]
-            n = np.tanh(a[:, 2 * HIDDEN :] + r * q)
-            if keep:
-                mem.append((h, z, r, q, n))
-            h = n + z * (h - n)
-            out[t] = h
-        return out, mem
+        self.w["C"][-1] = np.log(mass / mass.sum())
+        self.w["W"][:, :, -1] = np.log(count).reshape(-1, CLASS) - np.log(count.reshape(-1, CLASS).sum(1, keepdims=True))
+
+    def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+        """States before and after each column of input ids x, from states h; keep: and the gates."""
+        w, table = self.w, self.w["E"] @ self.w["X"]
+        n, t = x.shape
+        out = np.empty((t + 1, n, HIDDEN + 1), np.float32)
+        out[:, :, -1] = 1
+        out[0] = h
+        gates, inner, new = (np.empty((t if keep else 1, n, k * HIDDEN), np.float32) for k in (2, 1, 1))
+        for i in range(t):
+            k = i if keep else 0
+            a, u = table.take(x[:, i], axis=0), out[i] @ w["R"]
+            g = np.add(a[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates[k])
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            inner[k] = u[:, 2 * HIDDEN :]
+            c = np.multiply(g[:, HIDDEN:], inner[k], out=new[k])
+            c += a[:, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            d = out[i, :, :HIDDEN] - c
+            d *= g[:, :HIDDEN]
+            np.add(d, c, out=out[i + 1, :, :HIDDEN])
+        return out, (gates, inner, new)
+
+    def _classes(self, y: np.ndarray) -> np.ndarray:
+        return np.where(y == self.size, self.classes, y // CLASS).astype(np.int16)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of each id y in state h (for size: of the class of all others)."""
-        out = np.empty(len(y))
-        cls = np.minimum(y // CLASS, self.classes) if self.size else np.zeros(len(y), dtype=np.int64)
-        cls = np.where(y == self.size, self.classes, cls)
+        out, cls = np.empty(len(y)), self._classes(y)
         # states lie within 1 and weights are small: logits need no shift before exp
-        for lo in range(0, len(y), 1 << 13):
-            part = slice(lo, lo + (1 << 13))
-            s = h[part] @ self.w["C"] + self.w["c"]
-            out[part] = s[np.arange(len(s)), cls[part]] - np.log(np.exp(s, out=s).sum(1))
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        for lo in range(0, len(y), 4096):
+            part = slice(lo, lo + 4096)
+            s = h[part] @ self.w["C"]
+            own = s[np.arange(len(s)), cls[part]]
+            out[part] = own - np.log(np.exp(s, out=s).sum(1))
+        order = np.argsort(cls, kind="stable")
+        edge, sorted_h, sorted_y = np.searchsorted(cls[order], np.arange(self.classes + 1)), h[order], y[order]
+        inside = np.zeros(len(y))
         for c in range(self.classes):
-            pick = order[edge[c] : edge[c + 1]]
-            if len(pick):
-                s = h[pick] @ self.w["W"][c].T + self.w["w"][c]
-                own = s[np.arange(len(pick)), y[pick] - c * CLASS]
-                out[pick] += own - np.log(np.exp(s, out=s).sum(1))
+            for lo in range(edge[c], edge[c + 1], 4096):
+                part = slice(lo, min(lo + 4096, edge[c + 1]))
+                s = sorted_h[part] @ self.w["W"][c].T
+                own = s[np.arange(len(s)), sorted_y[part] - c * CLASS]
+                inside[part] = own - np.log(np.exp(s, out=s).sum(1))
+        out[order] += inside
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
-        """One chunk: inputs x, targets y (-1: none), carried state h. Returns gradients and the new state."""
+        """One chunk: inputs x, targets y (-1: none), carried states h. Gradients of the sum of -log probabilities, and the new states."""
         w = self.w
-        out, mem = self.steps(x, h, keep=True)
+        out, (gates, inner, new) = self.steps(x, h, keep=True)
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        flat, target = out.reshape(-1, HIDDEN), y.T.ravel()
+        target = y.T.ravel()
         real = np.flatnonzero(target >= 0)
-        hs, ys = flat[real], target[real]
-        cls = np.where(ys == self.size, self.classes, ys // CLASS)
-        s = hs @ w["C"] + w["c"]
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), cls] -= 1
-        p /= max(1, len(real))
-        grad["C"], grad["c"] = hs.T @ p, p.sum(0)
-        dh = p @ w["C"].T
+        cls = self._classes(target[real])
         order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            pick = order[edge[c] : edge[c + 1]]
-            if len(pick):
-                s = hs[pick] @ w["W"][c].T + w["w"][c]
-                p = np.exp(s - s.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(p)), ys[pick] - c * CLASS] -= 1
-                p /= len(real)
-                grad["W"][c], grad["w"][c] = p.T @ hs[pick], p.sum(0)
-                dh[pick] += p @ w["W"][c]
-        d_out = np.zeros_like(flat)
-        d_out[real] = dh
-        d_out = d_out.reshape(out.shape)
-        d, da_all = np.zeros_like(h), np.zeros((x.shape[1], len(x), 3 * HIDDEN), np.float32)
-        for t in range(x.shape[1] - 1, -1, -1):
-            before, z, r, q, n = mem[t]
-            d = d + d_out[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * q * r * (1 - r)
-            da_all[t] = np.concatenate((dz, dr, dn), axis=1)
-            du = np.concatenate((dz, dr, dn * r), axis=1)
-            grad["R"] += before.T @ du
-            d = d * z + du @ w["R"].T
-        da = da_all.reshape(-1, 3 * HIDDEN)
+        real, cls = real[order], cls[order]
+        ys, hs = target[real], out[1:].reshape(-1, HIDDEN + 1)[real]
+        dh = np.empty_like(hs)
+        for lo in range(0, len(hs), 4096):
+            part = slice(lo, lo + 4096)
+            p = hs[part] @ w["C"]
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(p)), cls[part]] -= 1
+            grad["C"] += hs[part].T @ p
+            dh[part] = p @ w["C"].T
+        edge = np.searchsorted(cls, np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(edge)).tolist():
+            part = slice(edge[c], edge[c + 1])
+            p = hs[part] @ w["W"][c].T
+            np.exp(p, out=p)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(p)), ys[part] - c * CLASS] -= 1
+            grad["W"][c] = p.T @ hs[part]
+            dh[part] += p @ w["W"][c]
+        n, t = x.shape
+        d_out = np.zeros((t * n, HIDDEN), np.float32)
+        d_out[real] = dh[:, :HIDDEN]
+        d_out = d_out.reshape(t, n, HIDDEN)
+        d = np.zeros((n, HIDDEN), np.float32)
+        da, du = np.empty((2, t, n, 3 * HIDDEN), np.float32)
+        back = np.ascontiguousarray(w["R"][:-1].T)
+        for i in range(t - 1, -1, -1):
+            z, r, q, c = gates[i, :, :HIDDEN], gates[i, :, HIDDEN:], inner[i], new[i]
+            d += d_out[i]
+            dn = (1 - z) * d
+            dn *= 1 - c * c
+            da[i, :, :HIDDEN] = d * (out[i, :, :HIDDEN] - c) * z * (1 - z)
+            da[i, :, HIDDEN : 2 * HIDDEN] = dn * q * r * (1 - r)
+            da[i, :, 2 * HIDDEN :] = dn
+            du[i, :, : 2 * HIDDEN] = da[i, :, : 2 * HIDDEN]
+            np.multiply(dn, r, out=du[i, :, 2 * HIDDEN :])
+            d *= z
+            d += du[i] @ back
+        grad["R"] = out[:-1].reshape(-1, HIDDEN + 1).T @ du.reshape(-1, 3 * HIDDEN)
+        da = da.reshape(-1, 3 * HIDDEN)
         ids = x.T.ravel()
-        grad["X"], grad["b"] = w["E"][ids].T @ da, da.sum(0)
-        order = np.argsort(ids, kind="stable")
-        ids, first = np.unique(ids[order], return_index=True)
-        grad["E"][ids] = np.add.reduceat((da @ w["X"].T)[order], first, axis=0)
+        grad["X"] = w["E"].take(ids, axis=0).T @ da
+        order = np.argsort(ids.astype(np.int16) if self.size < 1 << 15 else ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        grad["E"][ids[first]] = np.add.reduceat((da @ w["X"].T)[order], first, axis=0)
         return grad, out[-1]
 
     def dump(self) -> bytes:
@@ -199,48 +236,56 @@ class Network:
 
 
 class Trainer:
-    def __init__(self, net: Network, rate: float):
-        self.net, self.rate, self.step, self.seen = net, rate, 0, 0
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2))
+    """Adam on the mean gradient of LEARN tokens or more, clipped to length 1."""
 
-    def learn(self, ids: np.ndarray) -> None:
-        """Rows of token ids, -1 after their end; column 0 is input only."""
-        h = np.zeros((len(ids), HIDDEN), np.float32)
-        for t in range(0, ids.shape[1] - 1, CHUNK):
-            h = self.chunk(ids[:, t : t + CHUNK + 1], h)
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.step, self.seen, self.held = net, rate, 0, 0, 0
+        self.m, self.v, self.sum = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(3))
 
-    def chunk(self, ids: np.ndarray, h: np.ndarray, share: float = 1) -> np.ndarray:
-        """One update, at a share of the rate, from rows of ids, the first of which is input only, with carried states; returns the new ones."""
+    def chunk(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Learns rows of ids (-1: none), the first of which is input only, with carried states; returns the new ones."""
         x, y = ids[:, :-1], ids[:, 1:]
         n = int((y >= 0).sum())
         if not n:
             return h
-        self.seen += n
         grad, h = self.net.gradients(np.where(x < 0, self.net.size, x), y, h)
-        self._update(grad, share)
+        for k, g in grad.items():
+            self.sum[k] += g
+        self.seen += n
+        self.held += n
+        if self.held >= LEARN:
+            self.update()
         return h
 
-    def _update(self, grad: dict, share: float) -> None:
+    def update(self) -> None:
+        if not self.held:
+            return
         self.step += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        f = np.float32
+        scale = 1 / self.held
+        norm = scale * np.sqrt(sum(float(np.vdot(g, g)) for g in self.sum.values()))
+        scale *= min(1.0, 1.0 / (norm + 1e-9))
         a, b = 1 - 0.9**self.step, 1 - 0.99**self.step
-        for k, g in grad.items():
-            g = g * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-            self.net.w[k] -= np.float32(self.rate * share / a) * self.m[k] / (np.sqrt(self.v[k] / np.float32(b)) + np.float32(1e-6))
+        for k, g in self.sum.items():
+            g *= f(scale)
+            self.m[k] += f(0.1) * (g - self.m[k])
+            g *= g
+            self.v[k] += f(0.01) * (g - self.v[k])
+            self.net.w[k] -= f(self.rate / a) * self.m[k] / (np.sqrt(self.v[k] * f(1 / b)) + f(1e-6))
+            g[...] = 0
+        self.held = 0
 
 
 class Lanes:
     """Whole documents, BATCH side by side: each lane takes a document from its first token to its last, CHUNK tokens
-    an update, with the state carried on, and then the next document, with a state of zeros."""
+    at a time, with the state carried on, and then the next document, with a new state."""
 
     def __init__(self, trainer: Trainer):
         self.trainer = trainer
         self.queue: list[np.ndarray] = []
         self.docs: list[np.ndarray] = [np.zeros(0, np.int32)] * BATCH
         self.at = np.zeros(BATCH, dtype=np.int64)
-        self.h = np.zeros((BATCH, HIDDEN), np.float32)
+        self.h = _start(BATCH)
 
     def take(self, docs: list[np.ndarray], last: bool = False) -> None:
         """Learns from docs until a lane finds no next one; last: to the end of all."""
@@ -248,7 +293,8 @@ class Lanes:
         while True:
             for i in range(BATCH):
                 if self.at[i] >= len(self.docs[i]) and queue:
-                    self.docs[i], self.at[i], self.h[i] = queue.pop(), 0, 0
+                    self.docs[i], self.at[i] = queue.pop(), 0
+                    self.h[i] = _start(1)
             busy = [i for i in range(BATCH) if self.at[i] < len(self.docs[i])]
             if not busy or (len(busy) < BATCH and not last):
                 break
@@ -259,69 +305,52 @@ class Lanes:
                 ids[row, 0] = 0
                 first = 0 if t else 1
                 ids[row, first : first + len(part)] = part
-            self.h[busy] = self.trainer.chunk(ids, self.h[busy], len(busy) / BATCH)
+            self.h[busy] = self.trainer.chunk(ids, self.h[busy])
             self.at[busy] += CHUNK
         self.queue = queue[::-1]
-
-
-def _firsts(ids: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
-    """The first span tokens of each document after a column of zeros, -1 after their end."""
-    n = np.diff(at)
-    col = np.arange(-1, span)[None, :]
-    place = np.clip(at[:-1, None] + col, 0, max(0, len(ids) - 1))
-    out = np.where(col < 0, 0, ids[place]) if len(ids) else np.zeros((len(n), span + 1), dtype=np.int64)
-    return np.where(col >= n[:, None], -1, out)
+        if last:
+            self.trainer.update()
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """(th, c): every token of the training documents and its count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
-            th, c = np.unique(tokens_of(batch.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(th.view(np.int64)), pa.array(c)], names=["th", "c"])
+            codes, th, _ = tokens_of(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(th.view(np.int64)), pa.array(np.bincount(codes, minlength=len(th)))], names=["th", "c"])
 
     return docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "th long, c long").groupBy("th").agg(F.sum("c").alias("c"))
 
 
-def _ids(lookup: Lookup, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    th, at = tokens_of(column)
-    rank = lookup.rank(th)
-    return np.where((rank >= 0) & (rank < lookup.size), rank, lookup.size), at
-
-
 def fit(docs: DataFrame, lookup: Lookup) -> Network:
-    """Warm start on the first tokens of WARM documents, then every token of every training document, averaged over the partitions."""
+    """Warm start on WARM whole documents, then every token of every training document, averaged over the partitions."""
     spark = docs.sparkSession
     train = docs.where(~held_out(F.col("doc_id")))
-    ids = train.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(WARM)
-
-    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
-            x, at = _ids(lookup, batch.column(1))
-            rows = _firsts(x, at, 4 * CHUNK)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["id", "x"])
-
     net = Network(lookup)
-    found = train.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("id", "text").mapInArrow(warm, "id long, x array<int>").toArrow().sort_by("id")  # bounded by WARM
-    if not found.num_rows or not lookup.size:
+    if not lookup.size:
         return net
-    x = np.asarray(found.column("x").to_pylist(), dtype=np.int64)
-    trainer, r = Trainer(net, 0.01), np.random.default_rng(0)
-    for epoch in range(EPOCHS):
-        trainer.rate = 0.01 * (1 - 0.7 * epoch / EPOCHS)
-        for rows in np.array_split(r.permutation(len(x)), -(-len(x) // BATCH)):
-            trainer.learn(x[rows])
-    blob = spark.sparkContext.broadcast((net.dump(), lookup))  # of a size fixed by VOCAB and HEAD
-
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, look = blob.value
-        local = Trainer(Network(look).load(start), 0.002)
-        lanes = Lanes(local)
-        for batch in slices(batches, most=SLICE):
-            ids, at = _ids(look, batch.column(0))
-            lanes.take(np.split(ids.astype(np.int32), at[1:-1]))
-        lanes.take([], last=True)
-        yield pa.RecordBatch.from_arrays([pa.array([local.seen]), pa.array([local.net.dump()], pa.binary())], names=["n", "w"])
+
+    def learner(blob, rate: float):
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            start, look = blob.value
+            local = Trainer(Network(look).load(start), rate)
+            lanes = Lanes(local)
+            for batch in slices(batches, most=SLICE):
+                codes, th, at = tokens_of(batch.column(0))
+                rank = look.rank(th)
+                lanes.take(np.split(np.where((rank >= 0) & (rank < look.size), rank, look.size).astype(np.int32)[codes], at[1:-1]))
+            lanes.take([], last=True)
+            yield pa.RecordBatch.from_arrays([pa.array([local.seen]), pa.array([local.net.dump()], pa.binary())], names=["n", "w"])
+
+        return learn
+
+    # of a size fixed by VOCAB and HEAD, as is the next one
+    ids = train.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(WARM)
+    some = train.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text")  # bounded by WARM
+    warm = some.select("text").mapInArrow(learner(spark.sparkContext.broadcast((net.dump(), lookup)), 0.01), "n long, w binary").where("n > 0").first()
+    if warm:
+        net.load(bytes(warm["w"]))
+    go_on = learner(spark.sparkContext.broadcast((net.dump(), lookup)), 0.004)
 
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
         total, n, one = None, int(pdf["n"].sum()), Network(lookup_small)
@@ -345,13 +374,13 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
     return net.load(bytes(last["w"])) if last else net
 
 
-def _score(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+def document_log_probs(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural log probability of each document's ids, the state carried from its first token to its last."""
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
     size, first = n[order], at[:-1][order]
     out = np.zeros(len(n))
-    h = np.zeros((len(n), HIDDEN), np.float32)
+    h = _start(len(n))
     before = np.zeros(len(n), dtype=np.int64)
     for t in range(0, int(size[0]) if len(n) else 0, COLUMNS):
         k = int(np.searchsorted(-size, -t, side="left"))  # documents of more than t tokens
@@ -361,12 +390,12 @@ def _score(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         hs, _ = net.steps(np.concatenate((before[:k, None], y[:, :-1]), axis=1), h[:k])
         h, before = hs[-1], y[:, -1]
         if whole:
-            p = net.log_probs(hs[:, :whole].reshape(-1, HIDDEN), y[:whole].T.ravel())
+            p = net.log_probs(hs[1:, :whole].reshape(-1, HIDDEN + 1), y[:whole].T.ravel())
             out[:whole] += p.reshape(len(col), whole).sum(0)
         if k > whole:
             there = col[:, None] < (size[whole:k] - t)[None, :]
             _, row = np.nonzero(there)
-            out[whole:k] += np.bincount(row, net.log_probs(hs[:, whole:k][there], y[whole:].T[there]), minlength=k - whole)
+            out[whole:k] += np.bincount(row, net.log_probs(hs[1:, whole:k][there], y[whole:].T[there]), minlength=k - whole)
     back = np.empty(len(n))
     back[order] = out
     return back
@@ -390,18 +419,17 @@ def score(rows: DataFrame, docs: DataFrame) -> DataFrame:
         look, blob = shared.value
         model = Network(look).load(blob)
         for batch in slices(batches, most=SLICE):
-            th, at = tokens_of(batch.column(1))
+            codes, th, at = tokens_of(batch.column(1))
             rank = look.rank(th)
+            seen = np.where(rank >= 0, np.log10(look.count[np.maximum(rank, 0)] + 0.1) if len(look.count) else 0.0, 0.0)
+            ids = np.where((rank >= 0) & (rank < look.size), rank, look.size)[codes]
+            log, known, own = seen[codes], (rank >= 0)[codes], ids < look.size
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)
-            known = rank >= 0
-            log = np.where(known, np.log10(look.count[np.maximum(rank, 0)] + 0.1) if len(look.count) else 0.0, 0.0)
-            own = known & (rank < look.size)
-            ids = np.where(own, rank, look.size)
             others = np.bincount(owner[~own], minlength=len(size))
-            neural = _score(model, ids, at) / np.log(10) + np.bincount(owner[~own], log[~own], minlength=len(size)) - others * np.log10(max(look.rest, 0.1))
+            neural = document_log_probs(model, ids, at) / np.log(10) + np.bincount(owner[~own], log[~own], minlength=len(size)) - others * np.log10(max(look.rest, 0.1))
             cols = [np.bincount(owner, log, minlength=len(size)), neural]
-            rare = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner[~known], minlength=len(size))))).astype(np.int32), pa.array(th[~known].view(np.int64)))
+            rare = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner[~known], minlength=len(size))))).astype(np.int32), pa.array(th[codes[~known]].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(np.bincount(owner[known], minlength=len(size))), *map(pa.array, cols), rare], names=["key", "doc_id", "n_tokens", "known", "head", "neural", "rare"])
 
     rows = cut(docs.select("key", "text", "doc_id").mapInArrow(run, f"key {kind}, doc_id long, n_tokens long, known long, head double, neural double, rare array<long>"))
