@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from voxelweave.llm import decontaminate, quality, simhash
@@ -79,3 +80,14 @@ def test_nulls_repeats_and_emptiness(spark, tmp_path):
             assert got == []
     # one label only: its smoothed share, 0.75, keeps all; of 1, 1 and 2 the first stays; 3 and 4 are alike; nulls stay
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in pipeline.run(spark, str(tmp_path / "some")).collect()) == [(False, 1), (False, 3), (True, 0), (True, 0)]
+
+
+def test_clashing_columns_go_through_every_stage(spark):
+    names = ["quality_score", "gone_id", "gone_th", "pii_spans", "score", "spans", "key", "th", "w", "component_id", "n_words", "r"]
+    docs = table(spark, SF, "documents").limit(60).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    docs = cut(docs)
+    for name, f in pipeline.STAGES[:-1]:
+        after = cut(f(spark, docs, SF))
+        assert after.columns == docs.columns, name
+        assert after.count() > 0 and all(r[n] == f"{n}{r['doc_id']}" for r in after.collect() for n in names), name
+        docs = after

@@ -1,17 +1,18 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of PASSAGE words. Every passage is encoded by a small tanh layer over counts of
-its characters and words (shares of letters, capitals, digits, marks; word lengths; how many words are new to
-the passage, how many repeat the one before). Gated attention, tanh(V h) * sigmoid(U h), weighs the passages;
+A document is a bag of passages of PASSAGE words. Every passage is encoded by a small tanh layer over its words (signed
+counts in WORDS hashed places) and over counts of its characters and words (shares of letters, capitals, digits,
+marks; word lengths; how many words are new to the passage, how many repeat the one before). Gated attention, tanh(V h) * sigmoid(U h), weighs the passages;
 the weighted mean of their encodings gives the score. Only document labels are learned from, so that the
 weights find for themselves which passages speak for a label.
 
-The weights are fitted in numpy on at most SAMPLE labelled documents, chosen by a hash of doc_id; this bound is
-a parameter, and every document is scored over its whole text.
+The weights are fitted in numpy on at most SAMPLE labelled documents, chosen by a hash of doc_id, and at most BAG
+passages of each, spread over its whole text; these bounds are parameters, and every document is scored over all
+of its passages. A very long text is a bag of many passages.
 
 Defined cases. Null or empty text: one passage of zeros, scored like any other. Null labels are not learned
 from; with no labels, or one class only, the score is that class's smoothed share for all. A document's
-label counts once for each of its rows. Repeated rows get equal scores. Other columns are ignored.
+label counts once for each of its rows. Repeated rows get equal scores. No rows: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffer_of, documents, slices, table, words_of
+from .common import buffer_of, documents, slices, table, word_hashes, words_of
 
 PASSAGE = 48
 SAMPLE = 6000
+BAG = 64  # passages of a document to learn from
+WORDS = 24
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE = 40, 64, 0.01
 KEEP = 0.7  # least score of predicted 1
 
-_WORDS = Rolling(41)
 _CLASS = np.zeros((6, 256), dtype=np.int64)
 for _k, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), range(128, 192), (44, 46), [b for b in range(33, 127) if not chr(b).isalnum() and b not in (44, 46)])):
     _CLASS[_k, list(_bytes)] = 1
-FEATURES = 6 + 8
+FEATURES = 6 + 8 + WORDS
 
 
 def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,7 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k in range(6):
         sums = np.concatenate(([0], np.cumsum(_CLASS[k].astype(np.int32)[data])))
         x[p, k] = (sums[b] - sums[a]) / chars
-    h = _WORDS.spans(_WORDS.prefix(data), starts, stops)
+    h = word_hashes(data, starts, stops, 41)
     key = np.sort((owner.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
     new = np.concatenate(([True], key[1:] != key[:-1]))
     x[p, 6] = np.bincount((key[new] >> np.uint64(40)).astype(np.int64), minlength=edge[-1])[p] / words
@@ -72,6 +74,8 @@ def passages(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     x[p, 11] = np.log(words) / 4
     lines = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int64)))
     x[p, 12] = (lines[b] - lines[a]) / words
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    x[:, 14:] = np.bincount(owner * WORDS + (h % np.uint64(WORDS)).astype(np.int64), sign, minlength=edge[-1] * WORDS).reshape(-1, WORDS) / 7
     caps = (data[starts] >= 65) & (data[starts] <= 90)
     x[p, 13] = np.add.reduceat(caps.astype(np.int64), first) / words
     return x, edge
@@ -158,6 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, edge = passages(batch.column(1))
+            n = np.diff(edge)
+            few = np.minimum(n, BAG)
+            at = np.concatenate(([0], np.cumsum(few)))
+            step = np.arange(at[-1]) - np.repeat(at[:-1], few)
+            x, edge = x[np.repeat(edge[:-1], few) + step * np.repeat(n, few) // np.repeat(few, few)], at
             bags = pa.ListArray.from_arrays(pa.array((edge * FEATURES).astype(np.int32)), pa.array(x.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), bags], names=["doc_id", "quality", "x"])
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, documents, partitions, slices, words_of
+from .common import buffer_of, cut, documents, joined_words, partitions, release, slices, words_of
 
 SHINGLE = 4
 BITS = 4  # differing bits of a link
@@ -79,14 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             data, offsets = buffer_of(batch.column(1))
             data = upper[data]
             starts, stops, docs_at = words_of(data, offsets)
-            # the words of a document, one space after each
-            sizes = stops - starts + 1
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            joined = np.full(at[-1], 32, dtype=np.uint8)
-            index = np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])
-            keep = np.ones(at[-1], dtype=bool)
-            keep[at[1:] - 1] = False
-            joined[keep] = data[index[keep]]
+            joined, at = joined_words(data, starts, stops)
             view = memoryview(joined.tobytes())
             n = np.diff(docs_at)
             count = np.where(n == 0, 0, np.maximum(1, n - shingle + 1))
@@ -152,15 +145,18 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         hooks = ra.where("rb < ra").groupBy(F.col("ra").alias("root")).agg(F.min("rb").alias("to"))
         hooks = cut(hooks)
         if hooks.isEmpty():
+            release(both, hooks)
             break
         # a chain of hooks is followed to its end by jumping
         while True:
             up = hooks.select(F.col("root").alias("to"), F.col("to").alias("up"))
-            jumped = cut(hooks.join(up, "to", "left").select("root", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")))
-            hooks = jumped.select("root", "to")
+            jumped = cut(hooks.select("root", "to").join(up, "to", "left").select("root", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")))
+            release(hooks)
+            hooks = jumped
             if jumped.where("moved").isEmpty():
                 break
-        linked = cut(linked.join(hooks, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
+        before, linked = linked, cut(linked.join(hooks.select("root", "to"), "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
+        release(before, hooks)
     return nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -172,11 +168,12 @@ def link(fps: DataFrame) -> DataFrame:
     full = cut(keys.join(least.where("low < high").select("key", "low"), "key"))
     # stars: every member of a bucket against the bucket's least
     stars = full.where((F.col("fp") != F.col("low")) & _near(F.col("fp"), F.col("low"))).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
-    roots = components(stars, fps)
+    roots = cut(components(stars, fps))
     # then only what the stars have not joined already
-    busy = full.select("key", "fp").join(roots, "fp").select("key", "fp", "root")
-    mixed = busy.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    busy = cut(busy.join(mixed, "key", "left_semi"))
+    known = cut(full.select("key", "fp").join(roots, "fp").select("key", "fp", "root"))
+    mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    busy = cut(known.join(mixed, "key", "left_semi"))
+    release(full, known)
     left, right = busy.toDF("key", "a", "ra"), busy.toDF("key2", "b", "rb")
     meets = (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & _near(F.col("a"), F.col("b"))
     rest = left.join(right, meets).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
