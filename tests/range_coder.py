@@ -1,0 +1,291 @@
+"""The encoder of the scheme that sources/coding.py decodes, and of point chunks: a writer, point by point, for tests."""
+
+import struct
+
+import numpy as np
+
+from voxelweave.sources.coding import BIT_SHIFT, LEAST_RANGE, SYMBOL_SHIFT, IntegerDecoder, RunningMedian, SymbolModel
+from voxelweave.sources.records import POINT
+
+
+class Encoder:
+    def __init__(self):
+        self.out, self.low, self.range, self.used = bytearray(), 0, 0xFFFFFFFF, False
+
+    def narrow(self, low, size):
+        self.used = True
+        self.low += low
+        if self.low >> 32:  # carry into what is out already
+            self.low &= 0xFFFFFFFF
+            i = len(self.out) - 1
+            while self.out[i] == 255:
+                self.out[i] = 0
+                i -= 1
+            self.out[i] += 1
+        self.range = size
+        while self.range < LEAST_RANGE:
+            self.out.append(self.low >> 24)
+            self.low, self.range = (self.low << 8) & 0xFFFFFFFF, self.range << 8
+
+    def bit(self, m, b):
+        x = m.prob * (self.range >> BIT_SHIFT)
+        self.narrow(x if b else 0, self.range - x if b else x)
+        m.seen(b)
+
+    def symbol(self, m, s):
+        unit = self.range >> SYMBOL_SHIFT
+        low = m.below[s] * unit
+        self.narrow(low, (m.below[s + 1] * unit if s + 1 < len(m.below) else self.range) - low)
+        m.seen(s)
+
+    def raw(self, n, v):
+        if n > 19:
+            self.raw(16, v & 0xFFFF)
+            return self.raw(n - 16, v >> 16)
+        unit = self.range >> n
+        self.narrow(v * unit, unit)
+
+    def integer(self, m, prediction, v, context=0):
+        """m: an IntegerDecoder whose models are used."""
+        c = v - prediction
+        half = 1 << (m.bits - 1)
+        c = (c + half - 1) % (2 * half) - half + 1 if m.bits < 32 else (c + half) % (2 * half) - half
+        if c == -half and m.bits == 32:
+            m.k = 32
+            return self.symbol(m.bucket[context], 32)
+        m.k = k = (abs(c) if c <= 0 else c - 1).bit_length()
+        self.symbol(m.bucket[context], k)
+        if k == 0:
+            return self.bit(m.zero, c)
+        u = c - 1 if c > 0 else c + (1 << k) - 1
+        if k <= m.HIGH:
+            return self.symbol(m.within[k - 1], u)
+        self.symbol(m.within[k - 1], u >> (k - m.HIGH))
+        self.raw(k - m.HIGH, u & ((1 << (k - m.HIGH)) - 1))
+
+    def done(self):
+        return bytes(self.out) + self.low.to_bytes(4, "big")
+
+
+#: Fixed values of the format, written out where the decoder has a rule: number of returns by return number.
+RETURNS = [
+    [0, 1, 2, 3, 4, 5, 3, 4, 4, 5, 5, 5, 5, 5, 5, 5],
+    [1, 0, 1, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3],
+    [2, 1, 2, 4, 4, 4, 4, 4, 4, 4, 4, 3, 3, 3, 3, 3],
+    [3, 3, 4, 5, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4],
+]
+
+
+class _Channel:
+    def __init__(self, p, extra):
+        model = lambda n, k: [SymbolModel(k) for _ in range(n)]
+        self.changed, self.to, self.nr, self.rn, self.same = model(8, 128), SymbolModel(3), model(16, 16), model(16, 16), SymbolModel(13)
+        self.dx, self.dy, self.z = IntegerDecoder(None, 32, 2), IntegerDecoder(None, 32, 22), IntegerDecoder(None, 32, 20)
+        self.mx, self.my = [RunningMedian() for _ in range(12)], [RunningMedian() for _ in range(12)]
+        self.cls, self.flags, self.user = model(64, 256), model(64, 64), model(64, 256)
+        self.intensity, self.angle, self.source = IntegerDecoder(None, 16, 4), IntegerDecoder(None, 16, 2), IntegerDecoder(None, 16, 1)
+        self.time, self.zero, self.multi = IntegerDecoder(None, 32, 9), SymbolModel(5), SymbolModel(515)
+        self.used, self.diff, self.nir_used, self.nir, self.bytes = SymbolModel(128), model(6, 256), SymbolModel(4), model(2, 256), model(len(extra), 256)
+        self.last, self.extra, self.timed = p.copy(), list(extra), 0
+        self.heights, self.lights = [int(p["Z"])] * 8, [int(p["Intensity"])] * 8
+        t = int(p["GpsTime"].view("<i8"))
+        self.times, self.steps, self.odd, self.at, self.newest = [t, 0, 0, 0], [0] * 4, [0] * 4, 0, 0
+
+
+def _time(e, c, t):
+    """A GPS time: a multiple of the sequence's step, another sequence, or written whole."""
+    while True:
+        diff, step = t - c.times[c.at], c.steps[c.at]
+        fits = -(1 << 31) <= diff < 1 << 31
+        other = next((k for k in (1, 2, 3) if -(1 << 31) <= t - c.times[(c.at + k) & 3] < 1 << 31), 0)
+        if step == 0:
+            if fits:
+                e.symbol(c.zero, 0)
+                e.integer(c.time, 0, diff, 0)
+                c.steps[c.at], c.odd[c.at], c.times[c.at] = diff, 0, t
+                return
+            base, m = 1, c.zero
+        else:
+            if fits:
+                times = round(diff / step)
+                times = 500 if times >= 500 else -10 if times <= -10 else times
+                e.symbol(c.multi, times if times >= 0 else 500 - times)
+                context = 7 if times == 0 else 1 if times == 1 else 4 if times == 500 else 6 if times == -10 else 2 if 0 < times < 10 else 3 if times > 0 else 5
+                e.integer(c.time, ((times * step + (1 << 31)) & 0xFFFFFFFF) - (1 << 31), diff, context)
+                if times == 1:
+                    c.odd[c.at] = 0
+                elif times in (0, 500, -10):
+                    c.odd[c.at] += 1
+                    if c.odd[c.at] > 3:
+                        c.steps[c.at], c.odd[c.at] = diff, 0
+                c.times[c.at] = t
+                return
+            base, m = 511, c.multi
+        if other:
+            e.symbol(m, base + other)
+            c.at = (c.at + other) & 3
+            continue
+        e.symbol(m, base)
+        before = c.times[c.at] >> 32
+        c.newest = (c.newest + 1) & 3
+        e.integer(c.time, before, t >> 32, 8)
+        e.raw(32, t & 0xFFFFFFFF)
+        c.at = c.newest
+        c.times[c.at], c.steps[c.at], c.odd[c.at] = t, 0, 0
+        return
+
+
+def _rgb(e, c, p):
+    old, new = ([int(q[k]) for k in ("Red", "Green", "Blue")] for q in (c.last, p))
+    colour = new[0] != new[1] or new[0] != new[2]
+    s = sum(1 << (2 * k + h) for k in range(3 if colour else 1) for h in (0, 1) if old[k] >> 8 * h & 255 != new[k] >> 8 * h & 255) | 64 * colour
+    e.symbol(c.used, s)
+    for h in (0, 1):
+        if s >> h & 1:
+            e.symbol(c.diff[h], ((new[0] >> 8 * h & 255) - (old[0] >> 8 * h & 255)) & 255)
+    if colour:
+        clamp = lambda v: min(255, max(0, v))
+        for h in (0, 1):
+            (r0, g0, b0), (r, g, b) = ([v >> 8 * h & 255 for v in q] for q in (old, new))
+            if s >> (2 + h) & 1:
+                e.symbol(c.diff[2 + h], (g - clamp(g0 + r - r0)) & 255)
+            if s >> (4 + h) & 1:
+                lead = r - r0 + g - g0
+                e.symbol(c.diff[4 + h], (b - clamp(b0 + (abs(lead) // 2) * (1 if lead > 0 else -1))) & 255)
+
+
+def layered_chunk(points, extra=None):
+    """A chunk of format 6, 7 or 8 from a structured array and its extra bytes (n, k)."""
+    n = len(points)
+    extra = np.zeros((n, 0), dtype=np.uint8) if extra is None else extra
+    names = points.dtype.names
+    place, z, cls, flags, intensity, angle, user, source, time, rgb, nir = (Encoder() for _ in range(11))
+    more = [Encoder() for _ in range(extra.shape[1])]
+    sc = int(points[0]["flags"]) >> 4 & 3
+    channels = {sc: _Channel(points[0], extra[0].tolist())}
+    for i in range(1, n):
+        p, before = points[i], channels[sc]
+        to = int(p["flags"]) >> 4 & 3
+        c = channels.get(to) or _Channel(before.last, before.extra)
+        last = c.last
+        n0, r0, n1, r1 = int(last["returns"]) >> 4, int(last["returns"]) & 15, int(p["returns"]) >> 4, int(p["returns"]) & 15
+        timed = int(p["GpsTime"].view("<i8") != last["GpsTime"].view("<i8"))
+        sourced, angled = int(p["PointSourceId"] != last["PointSourceId"]), int(p["ScanAngle"] != last["ScanAngle"])
+        how = 0 if r1 == r0 else 1 if r1 == (r0 + 1) % 16 else 2 if r1 == (r0 + 15) % 16 else 3
+        a, b = int(before.last["returns"]) >> 4, int(before.last["returns"]) & 15
+        place.symbol(before.changed[(b == 1) + 2 * (b >= a) + 4 * before.timed], 64 * (to != sc) + 32 * sourced + 16 * timed + 8 * angled + 4 * (n1 != n0) + how)
+        if to != sc:
+            place.symbol(before.to, (to - sc - 1) & 3)
+        channels[to], sc = c, to
+        if n1 != n0:
+            place.symbol(c.nr[n0], n1)
+        if how == 3:
+            place.symbol(c.rn[r0], r1) if timed else place.symbol(c.same, (r1 - r0 - 2) & 15)
+        at = (RETURNS[n1][r1] if n1 < 4 else RETURNS[r1][n1] if r1 < 4 else 5 if n1 == r1 or (min(n1, r1) > 10 and abs(n1 - r1) == 1) else 4) * 2 + timed
+        single = int(n1 == 1)
+        for axis, ints, medians in (("X", c.dx, c.mx), ("Y", c.dy, c.my)):
+            diff = (int(p[axis]) - int(last[axis]) + (1 << 31)) % (1 << 32) - (1 << 31)
+            place.integer(ints, medians[at].value, diff, single + (0 if axis == "X" else min(c.dx.k, 20) // 2 * 2))
+            medians[at].add(diff)
+        h = min(7, abs(n1 - r1))
+        z.integer(c.z, c.heights[h], int(p["Z"]), single + min((c.dx.k + c.dy.k) // 2, 18) // 2 * 2)
+        c.heights[h] = int(p["Z"])
+        cls.symbol(c.cls[(int(last["Classification"]) & 31) * 2 + (r1 == 1 and r1 >= n1)], int(p["Classification"]))
+        six = lambda f: int(f) & 15 | (int(f) & 192) >> 2
+        flags.symbol(c.flags[six(last["flags"])], six(p["flags"]))
+        k = timed + 2 * (r1 >= n1) + 4 * (r1 == 1)
+        intensity.integer(c.intensity, c.lights[k], int(p["Intensity"]), k // 2)
+        c.lights[k] = int(p["Intensity"])
+        if angled:
+            angle.integer(c.angle, int(last["ScanAngle"]), int(p["ScanAngle"]), timed)
+        user.symbol(c.user[int(last["UserData"]) // 4], int(p["UserData"]))
+        if sourced:
+            source.integer(c.source, int(last["PointSourceId"]), int(p["PointSourceId"]), 0)
+        if timed:
+            _time(time, c, int(p["GpsTime"].view("<i8")))
+        if "Red" in names:
+            _rgb(rgb, c, p)
+        if "Nir" in names:
+            old, new = int(last["Nir"]), int(p["Nir"])
+            s = (old & 255 != new & 255) + 2 * (old >> 8 != new >> 8)
+            nir.symbol(c.nir_used, s)
+            for half in (0, 1):
+                if s >> half & 1:
+                    nir.symbol(c.nir[half], ((new >> 8 * half) - (old >> 8 * half)) & 255)
+        for j, e in enumerate(more):
+            e.symbol(c.bytes[j], (int(extra[i, j]) - c.extra[j]) & 255)
+            c.extra[j] = int(extra[i, j])
+        c.last, c.timed = p.copy(), timed
+    streams = [place, z, cls, flags, intensity, angle, user, source, time, *([rgb] if "Red" in names else []), *([nir] if "Nir" in names else []), *more]
+    data = [e.done() if e.used else b"" for e in streams]
+    return points[:1].tobytes() + extra[0].tobytes() + struct.pack("<I", n) + b"".join(struct.pack("<I", len(d)) for d in data) + b"".join(data)
+
+
+def single_chunk(points):
+    """A chunk of format 0."""
+    from voxelweave.sources.chunk import SPREAD_10
+
+    e, models = Encoder(), {}
+    model = lambda *k: models.setdefault(k, SymbolModel(256))
+    changed, dx, dy, z = SymbolModel(64), IntegerDecoder(None, 32, 2), IntegerDecoder(None, 32, 22), IntegerDecoder(None, 32, 20)
+    light, origin = IntegerDecoder(None, 16, 4), IntegerDecoder(None, 16, 1)
+    mx, my, heights, lights = [RunningMedian() for _ in range(16)], [RunningMedian() for _ in range(16)], [0] * 8, [0] * 16
+    last = {k: int(points[0][k]) for k in points.dtype.names}
+    for p in points[1:]:
+        p = {k: int(p[k]) for k in points.dtype.names}
+        r, n = p["bits"] & 7, p["bits"] >> 3 & 7
+        m = SPREAD_10[n][r]
+        s = 32 * (p["bits"] != last["bits"]) + 16 * (p["Intensity"] != lights[m]) + 8 * (p["Classification"] != last["Classification"]) + 4 * (p["ScanAngle"] != last["ScanAngle"])
+        s += 2 * (p["UserData"] != last["UserData"]) + (p["PointSourceId"] != last["PointSourceId"])
+        e.symbol(changed, s)
+        if s & 32:
+            e.symbol(model("bits", last["bits"]), p["bits"])
+        if s & 16:
+            e.integer(light, lights[m], p["Intensity"], min(m, 3))
+            lights[m] = p["Intensity"]
+        if s & 8:
+            e.symbol(model("cls", last["Classification"]), p["Classification"])
+        if s & 4:
+            e.symbol(model("angle", p["bits"] >> 6 & 1), (p["ScanAngle"] - last["ScanAngle"]) & 255)
+        if s & 2:
+            e.symbol(model("user", last["UserData"]), p["UserData"])
+        if s & 1:
+            e.integer(origin, last["PointSourceId"], p["PointSourceId"])
+        single = int(n == 1)
+        for axis, ints, medians in (("X", dx, mx), ("Y", dy, my)):
+            diff = p[axis] - last[axis]
+            e.integer(ints, medians[m].value, diff, single + (0 if axis == "X" else min(dx.k, 20) // 2 * 2))
+            medians[m].add(diff)
+        e.integer(z, heights[abs(n - r)], p["Z"], single + min((dx.k + dy.k) // 2, 18) // 2 * 2)
+        heights[abs(n - r)] = p["Z"]
+        last = p
+    return points[:1].tobytes() + (e.done() if len(points) > 1 else b"")
+
+
+def some_points(fmt, n, seed=0, channels=1):
+    """Points along a wandering path, with everything that may change changing now and then."""
+    r = np.random.default_rng(seed)
+    p = np.zeros(n, dtype=POINT[fmt])
+    for k, axis in enumerate("XYZ"):
+        p[axis] = np.cumsum(r.integers(-40, 60, n)) + np.where(r.random(n) < 0.02, r.integers(-(10**6), 10**6, n), 0) + 1000 * k
+    p["Intensity"] = np.where(r.random(n) < 0.7, 500, r.integers(0, 65536, n))
+    some = lambda most, share, start=0: np.where(r.random(n) < share, r.integers(0, most, n), start)
+    p["Classification"], p["UserData"], p["PointSourceId"] = some(256, 0.2, 2), some(256, 0.1), some(65536, 0.05, 7)
+    if fmt == 0:
+        number = r.integers(0, 8, n)
+        p["bits"] = number << 3 | np.minimum(number, r.integers(0, 8, n)) | some(4, 0.3) << 6
+        p["ScanAngle"] = some(180, 0.2) - 90
+        return p
+    number = np.where(r.random(n) < 0.5, 1, r.integers(0, 16, n))
+    p["returns"] = number << 4 | np.where(r.random(n) < 0.6, np.minimum(1, number), r.integers(0, 16, n))
+    p["flags"] = some(16, 0.2) | r.integers(0, channels, n) << 4 | some(4, 0.3) << 6
+    p["ScanAngle"] = some(60000, 0.1) - 30000
+    t = np.cumsum(np.where(r.random(n) < 0.3, 0, 1) * np.where(r.random(n) < 0.9, 64, r.integers(-(10**4), 10**5, n)))
+    t = t + np.where(r.random(n) < 0.03, 1 << 40, 0) + (4_600_000_000 << 30)
+    p["GpsTime"] = t.astype("<i8").view("<f8")
+    if fmt >= 7:
+        for c in ("Red", "Green", "Blue"):
+            p[c] = np.where(r.random(n) < 0.5, p["Intensity"], some(65536, 0.5, 300))
+    if fmt == 8:
+        p["Nir"] = some(65536, 0.5, 77)
+    return p

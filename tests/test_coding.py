@@ -3,65 +3,9 @@
 import random
 
 import pytest
+from range_coder import Encoder
 
-from voxelweave.sources.coding import BIT_SHIFT, LEAST_RANGE, SYMBOL_SHIFT, BitModel, IntegerDecoder, RangeDecoder, RunningMedian, SymbolModel
-
-
-class Encoder:
-    def __init__(self):
-        self.out, self.low, self.range = bytearray(), 0, 0xFFFFFFFF
-
-    def narrow(self, low, size):
-        self.low += low
-        if self.low >> 32:  # carry into what is out already
-            self.low &= 0xFFFFFFFF
-            i = len(self.out) - 1
-            while self.out[i] == 255:
-                self.out[i] = 0
-                i -= 1
-            self.out[i] += 1
-        self.range = size
-        while self.range < LEAST_RANGE:
-            self.out.append(self.low >> 24)
-            self.low, self.range = (self.low << 8) & 0xFFFFFFFF, self.range << 8
-
-    def bit(self, m, b):
-        x = m.prob * (self.range >> BIT_SHIFT)
-        self.narrow(x if b else 0, self.range - x if b else x)
-        m.seen(b)
-
-    def symbol(self, m, s):
-        unit = self.range >> SYMBOL_SHIFT
-        low = m.below[s] * unit
-        self.narrow(low, (m.below[s + 1] * unit if s + 1 < len(m.below) else self.range) - low)
-        m.seen(s)
-
-    def raw(self, n, v):
-        if n > 19:
-            self.raw(16, v & 0xFFFF)
-            return self.raw(n - 16, v >> 16)
-        unit = self.range >> n
-        self.narrow(v * unit, unit)
-
-    def integer(self, m, prediction, v, context=0):
-        """m: an IntegerDecoder whose models are used."""
-        c = v - prediction
-        half = 1 << (m.bits - 1)
-        c = (c + half - 1) % (2 * half) - half + 1 if m.bits < 32 else (c + half) % (2 * half) - half
-        if c == -half and m.bits == 32:
-            return self.symbol(m.bucket[context], 32)
-        k = (abs(c) if c <= 0 else c - 1).bit_length()
-        self.symbol(m.bucket[context], k)
-        if k == 0:
-            return self.bit(m.zero, c)
-        u = c - 1 if c > 0 else c + (1 << k) - 1
-        if k <= m.HIGH:
-            return self.symbol(m.within[k - 1], u)
-        self.symbol(m.within[k - 1], u >> (k - m.HIGH))
-        self.raw(k - m.HIGH, u & ((1 << (k - m.HIGH)) - 1))
-
-    def done(self):
-        return bytes(self.out) + self.low.to_bytes(4, "big")
+from voxelweave.sources.coding import BitModel, IntegerDecoder, RangeDecoder, RunningMedian, SymbolModel
 
 
 def test_bits_symbols_and_raw():
