@@ -2,6 +2,8 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan
+from range_coder import layered_chunk, some_points
 
 from voxelweave.sources import octree
 from voxelweave.sources.records import POINT, Dimension, FormatError, Header, Info, Vlr, pack_page, parse_dimensions, parse_page
@@ -81,9 +83,7 @@ def test_points(spark, file):
 def test_filters_choose_nodes(spark, file):
     assert load(spark, file, "points").where("d >= 1 AND kx = 1").count() == 3
     r = octree.OctreeReader({"path": file, "table": "points"})
-    from pyspark.sql.datasource import EqualTo
-
-    assert list(r.pushFilters([EqualTo(("d",), 0), EqualTo(("X",), 1.0)])) == [EqualTo(("X",), 1.0)]
+    assert list(r.pushFilters([EqualTo(("d",), 0), EqualTo(("Intensity",), 1)])) == [EqualTo(("Intensity",), 1)]
     assert sum(len(q.rows) for q in r.partitions()) == 1
 
 
@@ -96,11 +96,88 @@ def test_formats(spark, tmp_path):
 
 def test_bad_chunks(spark, tmp_path):
     octree.register(spark)
-    coded = record(6, 1, 1, 1) + struct.pack("<I", 2) + struct.pack("<9I", 4, *[0] * 8) + bytes(4)
-    f = build(tmp_path / "c.laz", 6, (), [((0, 0, 0, 0), 1, chunk(6, record(6, 2, 4, 6), 1)), ((1, 0, 0, 0), 2, coded)], nested=False)
-    assert load(spark, f, "points", mode="PERMISSIVE").count() == 1
-    with pytest.raises(Exception, match="entropy"):
+    good = some_points(6, 40)
+    for k, bad in enumerate((layered_chunk(good)[:50], layered_chunk(good)[:-9], record(6, 1, 1, 1)[:20], b"")):
+        f = build(tmp_path / f"{k}.laz", 6, (), [((0, 0, 0, 0), 40, layered_chunk(good)), ((1, 0, 0, 0), 40, bad)], nested=False)
+        assert load(spark, f, "points", mode="PERMISSIVE").count() == 40
+        if bad:
+            with pytest.raises(Exception, match="shorter"):
+                load(spark, f, "points").count()
+    # a record that the chunk's bytes don't fill
+    f = build(tmp_path / "raw.laz", 6, (), [((0, 0, 0, 0), 2, record(6, 2, 4, 6) * 2), ((1, 0, 0, 0), 3, record(6, 2, 4, 6) * 2)], nested=False, compressed=False)
+    assert load(spark, f, "points", mode="PERMISSIVE").count() == 2
+    with pytest.raises(Exception, match="60 bytes for 3 points"):
         load(spark, f, "points").count()
+    # the file ends in a chunk
+    whole = build(tmp_path / "short.laz", 6, (), [((0, 0, 0, 0), 40, layered_chunk(good))], nested=False)
+    with octree.open_file(whole) as h, pytest.raises(EOFError):
+        octree.read_at(h, 10**6, 5)
+
+
+@pytest.fixture(scope="module")
+def coded(spark, tmp_path_factory):
+    """A file of entropy-coded chunks: three nodes with an extra dimension."""
+    octree.register(spark)
+    dims = (Dimension(3, "height"),)
+    points, extra, chunks = [], [], []
+    for k, key in enumerate([(0, 0, 0, 0), (1, 0, 0, 0), (1, 1, 1, 1)]):
+        p = some_points(7, 150, k, 2)
+        for axis, low in zip("XYZ", (1.0, 2.0, 3.0)):  # places within the node's cube
+            side = 100 / 2 ** key[0]
+            p[axis] = np.clip(np.abs(p[axis]) % 90 * side / 100 / 0.5 + (key["XYZ".index(axis) + 1] * side - low) / 0.5 + 3, None, None)
+        more = np.random.default_rng(k).integers(0, 256, (150, 2)).astype(np.uint8)
+        points.append(p)
+        extra.append(more.view("<u2").ravel())
+        chunks.append((key, 150, layered_chunk(p, more)))
+    return build(tmp_path_factory.mktemp("coded") / "c.laz", 7, dims, chunks), points, extra
+
+
+def test_coded_points(spark, coded):
+    file, points, extra = coded
+    got = load(spark, file, "points").orderBy("d", "kx", "ord").toPandas()
+    p = np.concatenate(points)
+    assert len(got) == 450
+    for axis, low in zip("XYZ", (1.0, 2.0, 3.0)):
+        assert np.array_equal(got[axis], p[axis] * 0.5 + low)
+    assert np.array_equal(got["Intensity"], p["Intensity"]) and np.array_equal(got["Classification"], p["Classification"]) and np.array_equal(got["GpsTime"], p["GpsTime"])
+    assert np.array_equal(got["ReturnNumber"], p["returns"] & 15) and np.array_equal(got["NumberOfReturns"], p["returns"] >> 4) and np.array_equal(got["height"], np.concatenate(extra))
+    top = [max(int(q[c][:64].max()) for c in ("Red", "Green", "Blue")) for q in points]
+    assert np.allclose(got["Green"][:150], points[0]["Green"] / np.float32(65535 if top[0] > 4095 else 4095))
+
+
+def test_core_streams(spark, coded):
+    file, points, _ = coded
+    got = load(spark, file, "points", streams="core").where("d = 0").orderBy("ord").toPandas()
+    assert np.array_equal(got["Z"], points[0]["Z"] * 0.5 + 3.0) and (got["Intensity"] == points[0]["Intensity"][0]).all()
+
+
+def test_places_choose_nodes(spark, coded):
+    file, _, _ = coded
+    r = octree.OctreeReader({"path": file, "table": "points"})
+    tests = [GreaterThan(("X",), 60.0), EqualTo(("d",), 1)]
+    assert list(r.pushFilters(tests)) == tests[:1]
+    assert [q[2:6] for part in r.partitions() for q in part.rows] == [(1, 1, 1, 1)]
+    want = load(spark, file, "points").toPandas()
+    assert load(spark, file, "points").where("X > 60 AND Y <= 80.5 AND Z >= 55").count() == ((want["X"] > 60) & (want["Y"] <= 80.5) & (want["Z"] >= 55)).sum() > 0
+
+
+def test_many_files(spark, coded, tmp_path):
+    file, points, _ = coded
+    for name in ("a.laz", "b.laz", "c.txt"):
+        (tmp_path / name).write_bytes(open(file, "rb").read())
+    for path in (str(tmp_path), f"{tmp_path}/*.laz", f"file://{tmp_path}/[ab].laz"):
+        got = load(spark, path, "points", withFile="true").groupBy("file").count().collect()
+        assert sorted((r["file"].rsplit("/", 1)[1], r["count"]) for r in got) == [("a.laz", 450), ("b.laz", 450)]
+    assert load(spark, str(tmp_path), "nodes").where("d = 1").count() == 4 and load(spark, str(tmp_path), "header").count() == 2
+    with pytest.raises(FileNotFoundError):
+        octree.files_of(f"{tmp_path}/*.none")
+
+
+def test_chunk_dump(spark, coded, tmp_path):
+    octree.write_chunks(spark, coded[0], str(tmp_path / "dump"))
+    got = {r["d"]: (r["nodes"], r["points"], r["bytes"]) for r in octree.chunk_totals(spark.read.parquet(str(tmp_path / "dump"))).collect()}
+    nodes = load(spark, coded[0], "nodes").collect()
+    assert got == {d: (sum(n["d"] == d for n in nodes), sum(n["point_count"] for n in nodes if n["d"] == d), sum(n["byte_size"] for n in nodes if n["d"] == d)) for d in (0, 1)}
 
 
 def test_errors(tmp_path):

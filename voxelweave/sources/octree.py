@@ -3,18 +3,22 @@
     octree.register(spark)
     spark.read.format("octree").option("table", "nodes").load("hdfs://.../a.laz")
 
-Tables: header, vlrs, dims (one file's metadata), entries (all of the hierarchy), nodes (with bounds), chunks (nodes
-with their bytes) and points. The hierarchy is walked on the driver; chunks and points are read by tasks of about
-`chunkBytes` each, in file order. Comparisons of d, kx, ky, kz, point_count and resolution with literals choose
-nodes before any chunk is read. mode=FAILFAST fails on a bad chunk, PERMISSIVE leaves it out.
-
-A chunk whose points the entropy coder wrote needs its decoder, which isn't part of this source yet: single
-points and repeated points are read, anything else is an error (or left out, if PERMISSIVE).
+The path is a file, a folder of .laz files (and .las) or a pattern. Tables: header, vlrs, dims (metadata), entries (all
+of the hierarchy), nodes (with bounds), chunks (nodes with their bytes) and points. Of one file, the hierarchy is walked
+by the planning worker, and chunks and points are read by tasks of about `chunkBytes` each, in file order; of many
+files, each is a task of its own, which walks its hierarchy itself. withFile=true adds the file's path as a column.
+
+Comparisons of d, kx, ky, kz, point_count and resolution with literals choose nodes before any chunk is read, and so do
+those of X, Y and Z, by the cubes of the nodes; Spark then tests the points. mode=FAILFAST fails on a bad chunk,
+PERMISSIVE leaves it out. streams=core decodes places, returns, colours and extra dimensions only and leaves other
+fields of compressed points as their chunk's first point has them; all is the default.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import operator
+import posixpath
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,17 +28,36 @@ import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.voxel import Octree
+from .chunk import ALL, CORE, decode_chunk
 from .records import ENTRY, HEADER_BYTES, POINT, Dimension, FormatError, Header, Info, Vlr, find_vlr, parse_dimensions, parse_page, parse_vlrs
 
 
-def open_file(path: str) -> pa.NativeFile:
+def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
-        fs, path = pyarrow.fs.FileSystem.from_uri(path)
-    else:
-        fs = pyarrow.fs.LocalFileSystem()
+        return pyarrow.fs.FileSystem.from_uri(path)
+    return pyarrow.fs.LocalFileSystem(), path
+
+
+def open_file(path: str) -> pa.NativeFile:
+    fs, path = filesystem(path)
     return fs.open_input_file(path)
 
 
+def files_of(path: str) -> list[str]:
+    """The files that a path, a folder or a pattern of names (* ? [ in the last part) stands for."""
+    head, last = posixpath.split(path.rstrip("/"))
+    pattern = any(c in last for c in "*?[")
+    fs, inner = filesystem(head if pattern else path)
+    if not pattern and fs.get_file_info(inner).type != pyarrow.fs.FileType.Directory:
+        return [path]
+    found = [i.path for i in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if i.type == pyarrow.fs.FileType.File]
+    own = [f for f in found if fnmatch.fnmatchcase(posixpath.basename(f), last if pattern else "*.la[sz]")]
+    if not own:
+        raise FileNotFoundError(f"no files at {path}")
+    base = (head if pattern else path).rstrip("/")
+    return sorted(f"{base}/{posixpath.basename(f)}" for f in own)
+
+
 def read_at(f: pa.NativeFile, at: int, n: int) -> bytes:
     data = f.read_at(n, at)
     if len(data) < n:
@@ -68,10 +91,10 @@ def read_meta(f: pa.NativeFile) -> Meta:
 
 def read_entries(f: pa.NativeFile, info: Info) -> tuple[np.ndarray, list[str]]:
     """All entries in file order, a page's own ones before those of its subpages, and the page key of each."""
-    out, pages, todo = [], [], [("0-0-0-0", info.root_offset, info.root_size)]
+    out, pages, todo = [], [], [("0-0-0-0", info.root_offset, info.root_size)]  # the next page is the last
     seen = set()
     while todo:
-        key, at, size = todo.pop(0)
+        key, at, size = todo.pop()
         if at in seen:
             raise FormatError("a hierarchy page refers to itself")
         seen.add(at)
@@ -79,24 +102,20 @@ def read_entries(f: pa.NativeFile, info: Info) -> tuple[np.ndarray, list[str]]:
         out.append(e)
         pages += [key] * len(e)
         sub = e[e["point_count"] < 0]
-        todo = [(f"{p['d']}-{p['x']}-{p['y']}-{p['z']}", int(p["offset"]), int(p["byte_size"])) for p in sub] + todo
+        todo += [(f"{p['d']}-{p['x']}-{p['y']}-{p['z']}", int(p["offset"]), int(p["byte_size"])) for p in sub[::-1]]
     return np.concatenate(out) if out else np.zeros(0, dtype=ENTRY), pages
 
 
-def decode(chunk: bytes, n: int, header: Header) -> np.ndarray:
+def decode(chunk: bytes, n: int, header: Header, streams: frozenset = ALL) -> np.ndarray:
     """The n records of a chunk as bytes (n, record length)."""
     length, fmt = header.record_length, header.point_format
-    if not header.compressed:
-        return np.frombuffer(chunk, dtype=np.uint8)[: n * length].reshape(n, length)
-    if len(chunk) < length:
-        raise FormatError("a chunk is shorter than a point")
-    first = np.frombuffer(chunk, dtype=np.uint8, count=length)
-    if n > 1:
-        extra = length - POINT[fmt].itemsize
-        sizes = 9 + (fmt in (7, 8)) + (fmt == 8) + extra
-        if fmt < 6 or np.frombuffer(chunk, dtype="<u4", offset=length + 4, count=sizes).any():
-            raise NotImplementedError("entropy-coded points")
-    return np.repeat(first[None, :], n, axis=0)
+    if header.compressed:
+        return decode_chunk(chunk, n, fmt, length, streams)
+    if fmt not in POINT or length < POINT[fmt].itemsize:
+        raise FormatError(f"points of format {fmt} and {length} bytes")
+    if len(chunk) < n * length:
+        raise FormatError(f"a chunk of {len(chunk)} bytes for {n} points of {length}")
+    return np.frombuffer(chunk, dtype=np.uint8, count=n * length).reshape(n, length)
 
 
 def points_of(raw: np.ndarray, meta: Meta) -> dict[str, np.ndarray | None]:
@@ -143,10 +162,10 @@ class OctreeSource(DataSource):
     def schema(self) -> str:
         table = self.options.get("table", "points")
         if table == "points":
-            with open_file(self.options["path"]) as f:
+            with open_file(files_of(self.options["path"])[0]) as f:  # all files have the first one's extra dimensions
                 dims = read_meta(f).dims
             extra = "".join(f", `{d.name}` {'float' if d.components == 1 else 'array<float>'}" for d in dims)
-            return f"{_KEY}, ord int, {_FIELDS}{extra}"
+            return f"{_KEY}, ord int, {_FIELDS}{extra}{self._file()}"
         known = {
             "header": "point_format int, compressed boolean, record_length int, point_count long, scale array<double>, offset array<double>, low array<double>, high array<double>, center array<double>, half double, spacing double, wkt string",
             "vlrs": "seq int, user_id string, record_id int, description string, data binary", "dims": "ordinal int, name string, kind int, components int, size int, scale array<double>, offset array<double>, description string",
@@ -154,15 +173,25 @@ class OctreeSource(DataSource):
         }
         if table not in known:
             raise ValueError(f"unknown table {table}")
-        return known[table]
+        return known[table] + self._file()
+
+    def _file(self) -> str:
+        return ", file string" if _flag(self.options, "withFile") else ""
 
     def reader(self, schema: object) -> "OctreeReader":
         return OctreeReader(dict(self.options))
 
 
+def _flag(options: dict[str, str], name: str) -> bool:
+    return str(options.get(name, options.get(name.lower(), "false"))).lower() == "true"
+
+
 @dataclass
 class Part(InputPartition):
-    rows: list
+    """Rows of one file's hierarchy, or None: the task finds them itself."""
+
+    path: str
+    rows: list | None = None
 
 
 _TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
@@ -170,53 +199,89 @@ _TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: op
 
 class OctreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path, self.table = options["path"], options.get("table", "points")
+        self.table, self.files = options.get("table", "points"), files_of(options["path"])
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
         self.chunk_bytes = int(options.get("chunkbytes", options.get("chunkBytes", 64 << 20)))
         self.bounds_mode = options.get("boundsmode", options.get("boundsMode", "extents"))
+        self.streams = {"all": ALL, "core": CORE}[options.get("streams", "all").lower()]
+        self.with_file = _flag(options, "withFile")
         self.tests: list[tuple] = []
-        with open_file(self.path) as f:
-            self.meta = read_meta(f)
+        self.metas: dict[str, Meta] = {}
+        self._meta(self.files[0])
+
+    def _meta(self, path: str) -> Meta:
+        if path not in self.metas:
+            with open_file(path) as f:
+                self.metas[path] = read_meta(f)
+        return self.metas[path]
 
     def pushFilters(self, filters: list) -> Iterator:
-        """Comparisons of the node's own columns choose nodes; Spark keeps all others."""
+        """Comparisons of the node's own columns choose nodes; Spark keeps all others, and those of places besides."""
         if self.table in ("nodes", "chunks", "points", "entries"):
             names = {"d", "kx", "ky", "kz"} | ({"point_count"} if self.table != "points" else set()) | ({"resolution"} if self.table == "nodes" else set())
             for one in filters:
-                if type(one) in _TESTS and len(one.attribute) == 1 and one.attribute[0] in names:
+                plain = type(one) in _TESTS and len(one.attribute) == 1
+                if plain and one.attribute[0] in names:
+                    self.tests.append((one.attribute[0], type(one).__name__, one.value))
+                    continue
+                if plain and self.table == "points" and one.attribute[0] in ("X", "Y", "Z"):
                     self.tests.append((one.attribute[0], type(one).__name__, one.value))
-                else:
-                    yield one
+                yield one
         else:
             yield from filters
 
-    def _wanted(self, e: np.ndarray) -> np.ndarray:
+    def _wanted(self, e: np.ndarray, meta: Meta) -> np.ndarray:
         by = {k.__name__: v for k, v in _TESTS.items()}
         out = np.ones(len(e), dtype=bool)
         for name, test, value in self.tests:
-            out &= by[test](self.meta.info.spacing / 2.0 ** e["d"] if name == "resolution" else e[name.removeprefix("k")], value)
+            if name in ("X", "Y", "Z"):
+                # the node's cube, wider by a step of the scale for what rounding has moved
+                axis = "XYZ".index(name)
+                span = 2 * meta.info.half / 2.0 ** e["d"]
+                low = meta.info.center[axis] - meta.info.half + e[name.lower()] * span
+                room = abs(meta.header.scale[axis])
+                if test in ("EqualTo", "GreaterThan", "GreaterThanOrEqual"):
+                    out &= low + span + room >= value
+                if test in ("EqualTo", "LessThan", "LessThanOrEqual"):
+                    out &= low - room <= value
+            else:
+                out &= by[test](meta.info.spacing / 2.0 ** e["d"] if name == "resolution" else e[name.removeprefix("k")], value)
         return out
 
-    def partitions(self) -> list[InputPartition]:
-        if self.table in ("header", "vlrs", "dims"):
-            return [Part([])]
-        with open_file(self.path) as f:
-            e, pages = read_entries(f, self.meta.info)
-        pick = self._wanted(e) & ((e["point_count"] >= 0) | (self.table == "entries"))
+    def _rows(self, path: str) -> list[tuple]:
+        """The wanted entries of a file as (seq, page key, d, x, y, z, offset, byte size, point count)."""
+        meta = self._meta(path)
+        with open_file(path) as f:
+            e, pages = read_entries(f, meta.info)
+        pick = self._wanted(e, meta) & ((e["point_count"] >= 0) | (self.table == "entries"))
         rows = [(int(i), pages[i], *map(int, e[i])) for i in np.flatnonzero(pick)]
+        return sorted(rows, key=lambda r: r[6]) if self.table in ("chunks", "points") else rows
+
+    def partitions(self) -> list[InputPartition]:
+        if len(self.files) > 1 or self.table in ("header", "vlrs", "dims"):
+            return [Part(path) for path in self.files]
+        path = self.files[0]
+        rows = self._rows(path)
         if self.table not in ("chunks", "points"):
-            return [Part(rows[i : i + 50_000]) for i in range(0, len(rows), 50_000)] or [Part([])]
+            return [Part(path, rows[i : i + 50_000]) for i in range(0, len(rows), 50_000)] or [Part(path, [])]
         out, held, size = [], [], 0
-        for r in sorted(rows, key=lambda r: r[6]):
+        for r in rows:
             held.append(r)
             size += r[7]
             if size >= self.chunk_bytes:
-                out.append(Part(held))
+                out.append(Part(path, held))
                 held, size = [], 0
-        return [*out, Part(held)] if held or not out else out
+        return [*out, Part(path, held)] if held or not out else out
 
     def read(self, part: Part) -> Iterator:
-        m = self.meta
+        m = self._meta(part.path)
+        if self.table in ("chunks", "points"):
+            yield from self._chunks(part, m)
+            return
+        for row in self._records(part, m):
+            yield (*row, part.path) if self.with_file else row
+
+    def _records(self, part: Part, m: Meta) -> Iterator[tuple]:
         h = m.header
         if self.table == "header":
             yield (h.point_format, h.compressed, h.record_length, h.point_count, list(h.scale), list(h.offset), list(h.low), list(h.high), list(m.info.center), m.info.half, m.info.spacing, m.wkt)
@@ -224,40 +289,41 @@ class OctreeReader(DataSourceReader):
             yield from ((i, v.user_id, v.record_id, v.description, v.data) for i, v in enumerate(m.vlrs))
         elif self.table == "dims":
             yield from ((i, d.name, d.kind, d.components, d.size, list(d.scale), list(d.offset), d.description) for i, d in enumerate(m.dims))
-        elif self.table == "entries":
-            yield from part.rows
-        elif self.table == "nodes":
+        else:
+            rows = self._rows(part.path) if part.rows is None else part.rows
+            if self.table == "entries":
+                yield from rows
+                return
             tree = m.octree(self.bounds_mode)
-            for seq, _, d, x, y, z, offset, size, n in part.rows:
+            for seq, _, d, x, y, z, offset, size, n in rows:
                 span = tree.side / 2.0**d
                 low = [o + k * span for o, k in zip(tree.origin, (x, y, z))]
                 yield (seq, d, x, y, z, offset, size, n, *low, *[v + span for v in low], tree.spacing / 2.0**d)
-        else:
-            yield from self._chunks(part)
 
-    def _chunks(self, part: Part) -> Iterator:
-        with open_file(self.path) as f:
-            for seq, _, d, x, y, z, offset, size, n in part.rows:
+    def _chunks(self, part: Part, meta: Meta) -> Iterator:
+        rows = self._rows(part.path) if part.rows is None else part.rows
+        with open_file(part.path) as f:
+            for seq, _, d, x, y, z, offset, size, n in rows:
                 try:
                     data = read_at(f, offset, size)
                     if self.table == "chunks":
-                        yield (seq, d, x, y, z, n, data)
+                        yield (seq, d, x, y, z, n, data, part.path) if self.with_file else (seq, d, x, y, z, n, data)
                         continue
                     if not n or not size:
                         continue
-                    cols = points_of(decode(data, n, self.meta.header), self.meta)
+                    cols = points_of(decode(data, n, meta.header, self.streams), meta)
                 except (FormatError, EOFError, NotImplementedError):
                     if self.permissive:
                         continue
                     raise
-                yield _batch((d, x, y, z), cols, n)
+                yield _batch((d, x, y, z), cols, n, part.path if self.with_file else None)
 
 
 _TYPES = {"Intensity": pa.int32(), "PointSourceId": pa.int32(), "Nir": pa.int32(), "GpsTime": pa.float64(), "Red": pa.float32(), "Green": pa.float32(), "Blue": pa.float32()}
 _ORDER = [c.split()[0] for c in _FIELDS.split(", ")]
 
 
-def _batch(key: tuple[int, ...], cols: dict, n: int) -> pa.RecordBatch:
+def _batch(key: tuple[int, ...], cols: dict, n: int, path: str | None) -> pa.RecordBatch:
     """A chunk's points in the order of the schema."""
     names = [*_ORDER, *[c for c in cols if c not in _ORDER]]
     out = [pa.array(np.full(n, k, dtype=np.int32)) for k in key] + [pa.array(np.arange(n, dtype=np.int32))]
@@ -269,6 +335,9 @@ def _batch(key: tuple[int, ...], cols: dict, n: int) -> pa.RecordBatch:
             out.append(pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * v.shape[1], np.ascontiguousarray(v).ravel()))
         else:
             out.append(pa.array(np.ascontiguousarray(v), type=_TYPES.get(name)))
+    if path is not None:
+        out.append(pa.repeat(path, n))
+        names.append("file")
     return pa.RecordBatch.from_arrays(out, names=["d", "kx", "ky", "kz", "ord", *names])
 
 
@@ -282,3 +351,10 @@ def write_chunks(spark: object, path: str, target: str) -> None:
     """Every node's bytes as a Parquet row, partitioned by depth."""
     register(spark)
     spark.read.format("octree").option("table", "chunks").load(path).write.partitionBy("d").parquet(target)
+
+
+def chunk_totals(chunks: object) -> object:
+    """By depth: nodes, their points and bytes, of the table that write_chunks() has written."""
+    from pyspark.sql import functions as F
+
+    return chunks.groupBy("d").agg(F.count("*").alias("nodes"), F.sum("point_count").alias("points"), F.sum(F.octet_length("data")).alias("bytes"))
