@@ -2,11 +2,20 @@
 
 import numpy as np
 import pytest
-from range_coder import RETURNS, layered_chunk, single_chunk, some_points
+from points import some_points
 
 from voxelweave.sources import chunk
+from voxelweave.sources.encode import encode_chunk, layered_chunk, single_chunk
 from voxelweave.sources.records import POINT, FormatError
 
+#: Fixed values of the format, written out where the decoder has a rule: number of returns by return number.
+RETURNS = [
+    [0, 1, 2, 3, 4, 5, 3, 4, 4, 5, 5, 5, 5, 5, 5, 5],
+    [1, 0, 1, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3],
+    [2, 1, 2, 4, 4, 4, 4, 4, 4, 4, 4, 3, 3, 3, 3, 3],
+    [3, 3, 4, 5, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4],
+]
+
 
 @pytest.mark.parametrize("fmt, channels, extra", [(6, 1, 0), (6, 4, 3), (7, 1, 0), (7, 3, 2), (8, 1, 0), (8, 4, 5)])
 def test_layered_formats(fmt, channels, extra):
@@ -61,6 +70,8 @@ def test_bad_chunks():
     with pytest.raises(NotImplementedError, match="format 3"):
         chunk.decode_chunk(data, 30, 3, 34)
     assert len(chunk.decode_chunk(data, 0, 6, 30)) == 0
+    with pytest.raises(FormatError, match="only points"):
+        encode_chunk(np.zeros(2, dtype=POINT[3]))
     spoilt = bytearray(data)
     spoilt[90] ^= 0xFF  # wrong bytes give other points, not an endless loop
     assert len(chunk.decode_chunk(bytes(spoilt), 30, 6, 30)) == 30

@@ -3,9 +3,9 @@
 import random
 
 import pytest
-from range_coder import Encoder
 
 from voxelweave.sources.coding import BitModel, IntegerDecoder, RangeDecoder, RunningMedian, SymbolModel
+from voxelweave.sources.encode import Encoder
 
 
 def test_bits_symbols_and_raw():

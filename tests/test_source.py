@@ -3,9 +3,10 @@ import struct
 import numpy as np
 import pytest
 from pyspark.sql.datasource import EqualTo, GreaterThan
-from range_coder import layered_chunk, some_points
+from points import some_points
 
 from voxelweave.sources import octree
+from voxelweave.sources.encode import layered_chunk
 from voxelweave.sources.records import POINT, Dimension, FormatError, Header, Info, Vlr, pack_page, parse_dimensions, parse_page
 
 

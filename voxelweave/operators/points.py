@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, Frustum, Sphere, Vec, box_columns, distance
-from .select import MOST_NODES, broadcast_nodes, meeting
+from .select import broadcast_nodes, meeting
 
 KEY = ["d", "kx", "ky", "kz"]
 
@@ -33,22 +33,24 @@ def in_nodes_bounds(points: DataFrame, nodes: DataFrame, shift: int) -> DataFram
 
     A range join as an equi join: a point lies in at most one cell of each depth along each axis, save on
     borders, where it lies in two; so its cells at the depths in use meet the nodes by key, and the bounds decide.
+    Points outside of the box of all the nodes are gone before that.
     """
     b = box_columns("n_")
     cols = [F.col("d").alias("n_d"), *[F.col(f"k{a}").alias(f"n_k{a}") for a in "xyz"], *[F.col(k).alias(f"n_{k}") for k in b]]
-    levels = {r["d"]: r["count"] for r in nodes.groupBy("d").count().collect()}  # as many as the tree is deep
-    depths = sorted(levels)
-    if not depths:
+    # a row for each level, of which a tree has few
+    levels = nodes.groupBy("d").agg(*[F.min(f"min_{a}").alias(f"min_{a}") for a in "xyz"], *[F.max(f"max_{a}").alias(f"max_{a}") for a in "xyz"]).collect()
+    if not levels:
         return points.join(nodes.select(*cols), F.lit(False))
-    p = points.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in depths])))
+    for a in "xyz":
+        points = points.where(F.col(a.upper()).between(min(r[f"min_{a}"] for r in levels), max(r[f"max_{a}"] for r in levels)))
+    p = points.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in sorted(r["d"] for r in levels)])))
     for a in "xyz":
         at = F.call_function("shiftright", F.col(f"raw_{a}"), F.lit(shift) - F.col("_d"))
         on_border = (F.col(f"raw_{a}") > 0) & (F.call_function("shiftleft", at, F.lit(shift) - F.col("_d")) == F.col(f"raw_{a}"))
         p = p.withColumn(f"_c{a}", F.explode(F.when(on_border, F.array(at, at - 1)).otherwise(F.array(at))))
     on = (F.col("_d") == F.col("n_d")) & (F.col("_cx") == F.col("n_kx")) & (F.col("_cy") == F.col("n_ky")) & (F.col("_cz") == F.col("n_kz"))
     hold = F.col("X").between(b["min_x"], b["max_x"]) & F.col("Y").between(b["min_y"], b["max_y"]) & F.col("Z").between(b["min_z"], b["max_z"])
-    few = nodes.select(*cols)
-    return p.join(F.broadcast(few) if sum(levels.values()) <= MOST_NODES else few, on & hold).drop("_d", "_cx", "_cy", "_cz")
+    return p.join(broadcast_nodes(nodes.select(*cols)), on & hold).drop("_d", "_cx", "_cy", "_cz")
 
 
 def nearest(points: DataFrame, nodes: DataFrame, at: Vec, k: int, radius: float) -> DataFrame:
@@ -57,15 +59,20 @@ def nearest(points: DataFrame, nodes: DataFrame, at: Vec, k: int, radius: float)
     return found.orderBy("distance", "point_id").limit(k)
 
 
+def first_points(points: DataFrame, n: int, salts: int = 32) -> DataFrame:
+    """The n points of each node with the least point_id: first of each of its parts, so that a large node is several tasks."""
+    part = points.withColumn("_salt", F.pmod(F.xxhash64("point_id"), F.lit(salts)))
+    part = part.withColumn("_rank", F.row_number().over(Window.partitionBy(*KEY, "_salt").orderBy("point_id"))).where(F.col("_rank") <= n)
+    return part.withColumn("_rank", F.row_number().over(Window.partitionBy(*KEY).orderBy("point_id"))).where(F.col("_rank") <= n).drop("_salt", "_rank")
+
+
 def colors(points: DataFrame, first: int = 64) -> DataFrame:
     """red, green, blue as floats: the divisor of a chunk goes by the largest value of its first points."""
-    w = Window.partitionBy(*KEY)
-    top = F.max(F.when(F.col("ord") < first, F.greatest("raw_r", "raw_g", "raw_b"))).over(w)
-    by = F.when(top <= 255, 255.0).when(top <= 4095, 4095.0).otherwise(65535.0)
-    points = points.withColumn("_by", by)
+    top = first_points(points.select(*KEY, "point_id", "raw_r", "raw_g", "raw_b"), first).groupBy(*KEY).agg(F.max(F.greatest("raw_r", "raw_g", "raw_b")).alias("_top"))
+    points = points.join(top, KEY).withColumn("divisor", F.when(F.col("_top") <= 255, 255).when(F.col("_top") <= 4095, 4095).otherwise(65535)).drop("_top")
     for c in ("red", "green", "blue"):
-        points = points.withColumn(c, (F.col(f"raw_{c[0]}").cast("float") / F.col("_by").cast("float")).cast("float"))
-    return points.withColumn("divisor", F.col("_by").cast("int")).drop("_by")
+        points = points.withColumn(c, (F.col(f"raw_{c[0]}").cast("float") / F.col("divisor").cast("float")).cast("float"))
+    return points
 
 
 def by_level(nodes: DataFrame) -> DataFrame:
@@ -116,9 +123,3 @@ def per_sphere(nodes: DataFrame, center: Vec, radii: list[float], resolutions: l
 def densities(nodes: DataFrame, center: Vec, radii: list[float]) -> DataFrame:
     volume = F.lit(4.0 / 3.0 * math.pi) * F.col("radius") * F.col("radius") * F.col("radius")
     return per_sphere(nodes, center, radii).withColumn("density", F.col("points") / volume)
-
-
-def offsets(nodes: DataFrame) -> DataFrame:
-    """Where each node's points begin when nodes are laid out by seq."""
-    w = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return nodes.withColumn("first", F.coalesce(F.sum("point_count").over(w), F.lit(0)))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import voxel
 from ..functions.geometry import Box, ClipFrustum, Frustum, Sphere, box_columns
 from ..functions.voxel import Octree
+from ..store import estimated_bytes
 
 Shape = Box | Sphere | Frustum | ClipFrustum
-MOST_NODES = 2_000_000  # rows of a node table that are broadcast; beyond, Spark shuffles
+MOST_BYTES = 64 << 20  # of a node table that is broadcast, as the optimizer estimates it; beyond, Spark shuffles
 
 
 def fine_enough(wanted: float, cumulative: bool = False) -> Column:
@@ -42,5 +43,6 @@ def at_resolution(nodes: DataFrame, wanted: float, octree: Octree) -> DataFrame:
     return layer(nodes, voxel.depth_at(wanted, octree))
 
 
-def broadcast_nodes(nodes: DataFrame, most: int = MOST_NODES) -> DataFrame:
-    return F.broadcast(nodes) if nodes.count() <= most else nodes
+def broadcast_nodes(nodes: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """nodes, marked for broadcast if they are small by the sizes of the files that they come from. No job is run."""
+    return F.broadcast(nodes) if estimated_bytes(nodes) <= most else nodes

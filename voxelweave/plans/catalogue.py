@@ -46,7 +46,7 @@ def _points(s: SparkSession, d: str) -> DataFrame:
 
 
 def _nodes(s: SparkSession, d: str) -> DataFrame:
-    return derived.nodes(derived.points(s, d))
+    return derived.node_table(s, d)
 
 
 def _key() -> Column:
@@ -239,7 +239,7 @@ SELECT d, kx, ky, kz, cached, viewed FROM v WHERE NOT EXISTS (
 
     def run(s: SparkSession, d: str) -> DataFrame:
         n = _nodes(s, d)
-        return traverse.traverse(derived.with_seq(n) if in_order else n, verdict, in_order).select(*KEY, "cached", "viewed")
+        return traverse.traverse(n, verdict, in_order).select(*KEY, "cached", "viewed")
 
     query(name, sql)(run)
 
@@ -276,8 +276,7 @@ def _semi(where: str) -> str:
 
 def _point_query(name: str, where: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
-        p = _points(s, d)
-        return f(p, derived.nodes(p)).select(*POINT)
+        return f(_points(s, d), _nodes(s, d)).select(*POINT)
 
     query(name, f"SELECT {_POINT} FROM pts WHERE {where}")(run)
 
@@ -295,7 +294,7 @@ _point_query("bbox_lod_points", f"d = 3 AND {_box_point(BOX)}", lambda p, n: pts
 @query("radius_with_distance", f"SELECT point_id, sqrt({_squared(SPHERE.center)}) AS distance FROM pts WHERE sqrt({_squared(SPHERE.center)}) <= {_d(SPHERE.radius)}")
 def radius_with_distance(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    near = pts.of_nodes(p, select.meeting(derived.nodes(p), SPHERE)).withColumn("distance", distance(pts.xyz(), SPHERE.center))
+    near = pts.of_nodes(p, select.meeting(_nodes(s, d), SPHERE)).withColumn("distance", distance(pts.xyz(), SPHERE.center))
     return near.where(F.col("distance") <= SPHERE.radius).select("point_id", "distance")
 
 
@@ -303,14 +302,14 @@ def radius_with_distance(s: SparkSession, d: str) -> DataFrame:
 ON p.X BETWEEN n.min_x AND n.max_x AND p.Y BETWEEN n.min_y AND n.max_y AND p.Z BETWEEN n.min_z AND n.max_z""")
 def frustum_theta_points(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    hit = pts.in_nodes_bounds(p, select.meeting(derived.nodes(p), CLIP), 16)
+    hit = pts.in_nodes_bounds(p, select.meeting(_nodes(s, d), CLIP), 16)
     return hit.select("point_id", F.col("n_d").alias("d"), *[F.col(f"n_k{a}").alias(f"k{a}") for a in AX])
 
 
 @query("knn", f"SELECT point_id, sqrt({_squared(SPHERE.center)}) AS distance FROM pts WHERE {_squared(SPHERE.center)} <= {_d(SPHERE.radius**2)} ORDER BY distance, point_id LIMIT 25")
 def knn(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    return pts.nearest(p, derived.nodes(p), SPHERE.center, 25, SPHERE.radius).select("point_id", "distance")
+    return pts.nearest(p, _nodes(s, d), SPHERE.center, 25, SPHERE.radius).select("point_id", "distance")
 
 
 def _rings(radii: list[float], resolutions: list[float]) -> str:
@@ -396,7 +395,7 @@ _STATS = "count(*) AS n, min(X) AS min_x, max(X) AS max_x, min(Y) AS min_y, max(
 @query("point_stats", f"SELECT {_STATS} FROM pts WHERE {_box_point(BOX)}")
 def point_stats(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    return pts.point_stats(pts.in_shape(p, derived.nodes(p), BOX))
+    return pts.point_stats(pts.in_shape(p, _nodes(s, d), BOX))
 
 
 @query("class_top5", "SELECT classification, count(*) AS n, CAST(100 AS DOUBLE) * count(*) / sum(count(*)) OVER () AS percent FROM pts GROUP BY classification ORDER BY n DESC, classification LIMIT 5")
@@ -420,7 +419,7 @@ def normal_length(s: SparkSession, d: str) -> DataFrame:
 
 @query("node_page", f"SELECT {_NODE}, seq FROM nodes ORDER BY seq LIMIT 10 OFFSET 5")
 def node_page(s: SparkSession, d: str) -> DataFrame:
-    return derived.with_seq(_nodes(s, d)).orderBy("seq").offset(5).limit(10).select(*NODE, F.col("seq").cast("long").alias("seq"))
+    return _nodes(s, d).orderBy("seq").offset(5).limit(10).select(*NODE, F.col("seq").cast("long").alias("seq"))
 
 
 @query("first_root_node", f"SELECT {_NODE} FROM nodes WHERE d = 0 ORDER BY kx, ky, kz LIMIT 1")
@@ -436,7 +435,7 @@ def shuffle_sample(s: SparkSession, d: str) -> DataFrame:
 
 @query("node_offsets", "SELECT d, kx, ky, kz, (sum(point_count) OVER (ORDER BY seq) - point_count)::BIGINT AS first FROM nodes")
 def node_offsets(s: SparkSession, d: str) -> DataFrame:
-    return pts.offsets(derived.with_seq(_nodes(s, d))).select(*KEY, "first")
+    return _nodes(s, d).select(*KEY, "first")
 
 
 @query("set_difference_union", f"SELECT {_NODE}, 'old' AS part FROM nodes WHERE {_box_meets(BOX)} UNION ALL (SELECT {_NODE}, 'new' FROM (SELECT {_NODE} FROM nodes WHERE {_sphere_meets(SPHERE)} EXCEPT SELECT {_NODE} FROM nodes WHERE {_box_meets(BOX)}))")
@@ -454,7 +453,7 @@ col AS (SELECT *, {_BY} AS divisor, (raw_r::FLOAT / ({_BY})::FLOAT)::FLOAT AS re
 
 
 def _colored(s: SparkSession, d: str) -> DataFrame:
-    return pts.colors(derived.with_ord(_points(s, d)))
+    return pts.colors(_points(s, d))
 
 
 @query("color_normalise", f"{_COLOR} SELECT point_id, divisor, red::DOUBLE AS red, green::DOUBLE AS green, blue::DOUBLE AS blue FROM col")
@@ -508,7 +507,7 @@ def dims_distinct(s: SparkSession, d: str) -> DataFrame:
 @query("export_node_order", "SELECT p.point_id, n.seq FROM op p JOIN nodes n USING (d, kx, ky, kz) WHERE d = 2")
 def export_node_order(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
-    return export.export_order(derived.with_ord(p), select.layer(derived.with_seq(derived.nodes(p)), 2)).select("point_id", F.col("seq").cast("long").alias("seq"))
+    return export.export_order(derived.with_ord(p), select.layer(_nodes(s, d), 2)).select("point_id", F.col("seq").cast("long").alias("seq"))
 
 
 @query("export_sizes", "SELECT count(*) AS n, count(*) * 64 AS memory_bytes FROM pts")
@@ -528,14 +527,14 @@ def points_extents(s: SparkSession, d: str) -> DataFrame:
 
 # cache ----------------------------------------------------------------------------------------------------------
 
-_LOG = """, log AS (SELECT p.point_id % 4 AS session, row_number() OVER (PARTITION BY p.point_id % 4 ORDER BY gps_us, point_id) AS seq, p.d || '-' || p.kx || '-' || p.ky || '-' || p.kz AS key, n.point_count AS n_points
+_LOG = """, log AS (SELECT p.user_id AS session, row_number() OVER (PARTITION BY p.user_id ORDER BY gps_us, point_id) AS seq, p.d || '-' || p.kx || '-' || p.ky || '-' || p.kz AS key, n.point_count AS n_points
   FROM pts p JOIN nodes n USING (d, kx, ky, kz))"""
 
 
 def access_log(s: SparkSession, d: str) -> DataFrame:
-    """(session, seq, key, n_points): each event reads its point's node; four sessions."""
+    """(session, seq, key, n_points): each event reads its point's node; a user's events are a session."""
     p = _points(s, d)
-    log = p.join(select.broadcast_nodes(derived.nodes(p).select(*KEY, "point_count")), KEY).withColumn("session", F.col("point_id") % 4)
+    log = p.join(select.broadcast_nodes(_nodes(s, d).select(*KEY, "point_count")), KEY).withColumn("session", F.col("user_id"))
     seq = F.row_number().over(Window.partitionBy("session").orderBy("gps_us", "point_id")).cast("long")
     return log.select("session", seq.alias("seq"), voxel.text(_key()).alias("key"), F.col("point_count").alias("n_points"))
 

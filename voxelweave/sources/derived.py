@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import voxel
 from ..functions.voxel import Octree
+from ..operators.order import numbered
+from ..store import once
 
 OCTREE = Octree((9192.0, 10192.0, 8192.0), 8192.0, 128.0, (1000.0, 2000.0, 0.0), (17384.0, 18384.0, 16384.0))
 KEY = ["d", "kx", "ky", "kz"]
@@ -20,7 +22,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     i = F.col("event_id")
     e = e.select(
-        i.alias("point_id"), "ts", "event_type", "props",
+        i.alias("point_id"), "user_id", "ts", "event_type", "props",
         ((i * 7919 + F.col("user_id") * 104729) % 65536).cast("int").alias("raw_x"), ((i * 15485863) % 65536).cast("int").alias("raw_y"), (F.round(F.col("value") * 100).cast("long") % 65536).cast("int").alias("raw_z"),
         F.when(i % 64 == 0, 0).when(i % 16 == 0, 1).when(i % 4 == 0, 2).otherwise(3).alias("d"),
     )
@@ -33,7 +35,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = e.withColumn(f"raw_{c}", ((F.col("point_id") * m) % wide).cast("int"))
     code = F.coalesce(*[F.when(F.col("event_type") == k, n) for n, k in enumerate(KINDS)], F.lit(len(KINDS)))
     return e.select(
-        "point_id", *KEY, "raw_x", "raw_y", "raw_z", "X", "Y", "Z", F.col("raw_z").alias("intensity"), code.alias("classification"), (F.col("point_id") % 5 + 1).cast("int").alias("return_number"),
+        "point_id", "user_id", *KEY, "raw_x", "raw_y", "raw_z", "X", "Y", "Z", F.col("raw_z").alias("intensity"), code.alias("classification"), (F.col("point_id") % 5 + 1).cast("int").alias("return_number"),
         F.lit(5).alias("number_of_returns"), F.expr(_MICROS).alias("gps_us"), "raw_r", "raw_g", "raw_b", F.get_json_object("props", "$.k").cast("int").alias("extra_k"),
     )
 
@@ -49,19 +51,25 @@ def nodes(points: DataFrame, octree: Octree = OCTREE) -> DataFrame:
     return n.select("*", *[c.alias(a) for a, c in voxel.bounds(k, octree).items()], voxel.resolution(F.col("d"), octree).alias("resolution"))
 
 
-def with_seq(nodes: DataFrame) -> DataFrame:
-    """File order: nodes by key. The hierarchy is a small table, a row for each chunk of points."""
-    return nodes.withColumn("seq", F.row_number().over(Window.orderBy(*KEY)))
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all points, with seq, their number in file order (by key), and first, where their points begin.
+
+    A hierarchy is stored beside its points: this one is written once for an application, with a row for each chunk.
+    """
+    def make(path: str) -> None:
+        numbered(nodes(points(spark, sf_dir)), KEY, "seq", {"first": F.col("point_count")}).write.parquet(path)
+
+    return spark.read.parquet(once(spark, ("nodes", sf_dir), make))
 
 
 POINTS_SQL = """
 e AS (
-  SELECT event_id AS point_id, ts, event_type, props, ((event_id * 7919 + user_id * 104729) % 65536)::INT AS raw_x, ((event_id * 15485863) % 65536)::INT AS raw_y,
+  SELECT event_id AS point_id, user_id, ts, event_type, props, ((event_id * 7919 + user_id * 104729) % 65536)::INT AS raw_x, ((event_id * 15485863) % 65536)::INT AS raw_y,
     (round(value * CAST(100 AS DOUBLE))::BIGINT % 65536)::INT AS raw_z,
     CASE WHEN event_id % 64 = 0 THEN 0 WHEN event_id % 16 = 0 THEN 1 WHEN event_id % 4 = 0 THEN 2 ELSE 3 END AS d
   FROM events
 ), pts AS (
-  SELECT point_id, d, raw_x >> (16 - d) AS kx, raw_y >> (16 - d) AS ky, raw_z >> (16 - d) AS kz, raw_x, raw_y, raw_z,
+  SELECT point_id, user_id, d, raw_x >> (16 - d) AS kx, raw_y >> (16 - d) AS ky, raw_z >> (16 - d) AS kz, raw_x, raw_y, raw_z,
     raw_x::DOUBLE * CAST(0.25 AS DOUBLE) + CAST(1000 AS DOUBLE) AS X, raw_y::DOUBLE * CAST(0.25 AS DOUBLE) + CAST(2000 AS DOUBLE) AS Y, raw_z::DOUBLE * CAST(0.25 AS DOUBLE) AS Z,
     raw_z AS intensity, CASE event_type WHEN 'view' THEN 0 WHEN 'signup' THEN 1 WHEN 'error' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 5 END AS classification,
     (point_id % 5 + 1)::INT AS return_number, 5 AS number_of_returns, epoch_us(ts) AS gps_us,

@@ -1,18 +1,22 @@
-"""The encoder of the scheme that sources/coding.py decodes, and of point chunks: a writer, point by point, for tests."""
+"""The encoder of the scheme that coding.py decodes, and of compressed point chunks, which it writes point by point with
+one encoder for each field. Files that Spark writes and reads back need it, and tests of the decoder."""
+
+from __future__ import annotations
 
 import struct
 
 import numpy as np
 
-from voxelweave.sources.coding import BIT_SHIFT, LEAST_RANGE, SYMBOL_SHIFT, IntegerDecoder, RunningMedian, SymbolModel
-from voxelweave.sources.records import POINT
+from .chunk import SPREAD_10, level, spread
+from .coding import BIT_SHIFT, LEAST_RANGE, SYMBOL_SHIFT, BitModel, IntegerDecoder, RunningMedian, SymbolModel
+from .records import POINT, FormatError
 
 
 class Encoder:
-    def __init__(self):
+    def __init__(self) -> None:
         self.out, self.low, self.range, self.used = bytearray(), 0, 0xFFFFFFFF, False
 
-    def narrow(self, low, size):
+    def narrow(self, low: int, size: int) -> None:
         self.used = True
         self.low += low
         if self.low >> 32:  # carry into what is out already
@@ -27,25 +31,25 @@ class Encoder:
             self.out.append(self.low >> 24)
             self.low, self.range = (self.low << 8) & 0xFFFFFFFF, self.range << 8
 
-    def bit(self, m, b):
+    def bit(self, m: BitModel, b: int) -> None:
         x = m.prob * (self.range >> BIT_SHIFT)
         self.narrow(x if b else 0, self.range - x if b else x)
         m.seen(b)
 
-    def symbol(self, m, s):
+    def symbol(self, m: SymbolModel, s: int) -> None:
         unit = self.range >> SYMBOL_SHIFT
         low = m.below[s] * unit
         self.narrow(low, (m.below[s + 1] * unit if s + 1 < len(m.below) else self.range) - low)
         m.seen(s)
 
-    def raw(self, n, v):
+    def raw(self, n: int, v: int) -> None:
         if n > 19:
             self.raw(16, v & 0xFFFF)
             return self.raw(n - 16, v >> 16)
         unit = self.range >> n
         self.narrow(v * unit, unit)
 
-    def integer(self, m, prediction, v, context=0):
+    def integer(self, m: IntegerDecoder, prediction: int, v: int, context: int = 0) -> None:
         """m: an IntegerDecoder whose models are used."""
         c = v - prediction
         half = 1 << (m.bits - 1)
@@ -63,21 +67,12 @@ class Encoder:
         self.symbol(m.within[k - 1], u >> (k - m.HIGH))
         self.raw(k - m.HIGH, u & ((1 << (k - m.HIGH)) - 1))
 
-    def done(self):
+    def done(self) -> bytes:
         return bytes(self.out) + self.low.to_bytes(4, "big")
 
 
-#: Fixed values of the format, written out where the decoder has a rule: number of returns by return number.
-RETURNS = [
-    [0, 1, 2, 3, 4, 5, 3, 4, 4, 5, 5, 5, 5, 5, 5, 5],
-    [1, 0, 1, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3, 3],
-    [2, 1, 2, 4, 4, 4, 4, 4, 4, 4, 4, 3, 3, 3, 3, 3],
-    [3, 3, 4, 5, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4, 4],
-]
-
-
 class _Channel:
-    def __init__(self, p, extra):
+    def __init__(self, p: np.void, extra: list[int]):
         model = lambda n, k: [SymbolModel(k) for _ in range(n)]
         self.changed, self.to, self.nr, self.rn, self.same = model(8, 128), SymbolModel(3), model(16, 16), model(16, 16), SymbolModel(13)
         self.dx, self.dy, self.z = IntegerDecoder(None, 32, 2), IntegerDecoder(None, 32, 22), IntegerDecoder(None, 32, 20)
@@ -92,7 +87,7 @@ class _Channel:
         self.times, self.steps, self.odd, self.at, self.newest = [t, 0, 0, 0], [0] * 4, [0] * 4, 0, 0
 
 
-def _time(e, c, t):
+def _time(e: Encoder, c: _Channel, t: int) -> None:
     """A GPS time: a multiple of the sequence's step, another sequence, or written whole."""
     while True:
         diff, step = t - c.times[c.at], c.steps[c.at]
@@ -135,7 +130,7 @@ def _time(e, c, t):
         return
 
 
-def _rgb(e, c, p):
+def _rgb(e: Encoder, c: _Channel, p: np.void) -> None:
     old, new = ([int(q[k]) for k in ("Red", "Green", "Blue")] for q in (c.last, p))
     colour = new[0] != new[1] or new[0] != new[2]
     s = sum(1 << (2 * k + h) for k in range(3 if colour else 1) for h in (0, 1) if old[k] >> 8 * h & 255 != new[k] >> 8 * h & 255) | 64 * colour
@@ -154,7 +149,7 @@ def _rgb(e, c, p):
                 e.symbol(c.diff[4 + h], (b - clamp(b0 + (abs(lead) // 2) * (1 if lead > 0 else -1))) & 255)
 
 
-def layered_chunk(points, extra=None):
+def layered_chunk(points: np.ndarray, extra: np.ndarray | None = None) -> bytes:
     """A chunk of format 6, 7 or 8 from a structured array and its extra bytes (n, k)."""
     n = len(points)
     extra = np.zeros((n, 0), dtype=np.uint8) if extra is None else extra
@@ -181,13 +176,13 @@ def layered_chunk(points, extra=None):
             place.symbol(c.nr[n0], n1)
         if how == 3:
             place.symbol(c.rn[r0], r1) if timed else place.symbol(c.same, (r1 - r0 - 2) & 15)
-        at = (RETURNS[n1][r1] if n1 < 4 else RETURNS[r1][n1] if r1 < 4 else 5 if n1 == r1 or (min(n1, r1) > 10 and abs(n1 - r1) == 1) else 4) * 2 + timed
+        at = spread(n1, r1) * 2 + timed
         single = int(n1 == 1)
         for axis, ints, medians in (("X", c.dx, c.mx), ("Y", c.dy, c.my)):
             diff = (int(p[axis]) - int(last[axis]) + (1 << 31)) % (1 << 32) - (1 << 31)
             place.integer(ints, medians[at].value, diff, single + (0 if axis == "X" else min(c.dx.k, 20) // 2 * 2))
             medians[at].add(diff)
-        h = min(7, abs(n1 - r1))
+        h = level(n1, r1)
         z.integer(c.z, c.heights[h], int(p["Z"]), single + min((c.dx.k + c.dy.k) // 2, 18) // 2 * 2)
         c.heights[h] = int(p["Z"])
         cls.symbol(c.cls[(int(last["Classification"]) & 31) * 2 + (r1 == 1 and r1 >= n1)], int(p["Classification"]))
@@ -221,10 +216,8 @@ def layered_chunk(points, extra=None):
     return points[:1].tobytes() + extra[0].tobytes() + struct.pack("<I", n) + b"".join(struct.pack("<I", len(d)) for d in data) + b"".join(data)
 
 
-def single_chunk(points):
+def single_chunk(points: np.ndarray) -> bytes:
     """A chunk of format 0."""
-    from voxelweave.sources.chunk import SPREAD_10
-
     e, models = Encoder(), {}
     model = lambda *k: models.setdefault(k, SymbolModel(256))
     changed, dx, dy, z = SymbolModel(64), IntegerDecoder(None, 32, 2), IntegerDecoder(None, 32, 22), IntegerDecoder(None, 32, 20)
@@ -262,30 +255,9 @@ def single_chunk(points):
     return points[:1].tobytes() + (e.done() if len(points) > 1 else b"")
 
 
-def some_points(fmt, n, seed=0, channels=1):
-    """Points along a wandering path, with everything that may change changing now and then."""
-    r = np.random.default_rng(seed)
-    p = np.zeros(n, dtype=POINT[fmt])
-    for k, axis in enumerate("XYZ"):
-        p[axis] = np.cumsum(r.integers(-40, 60, n)) + np.where(r.random(n) < 0.02, r.integers(-(10**6), 10**6, n), 0) + 1000 * k
-    p["Intensity"] = np.where(r.random(n) < 0.7, 500, r.integers(0, 65536, n))
-    some = lambda most, share, start=0: np.where(r.random(n) < share, r.integers(0, most, n), start)
-    p["Classification"], p["UserData"], p["PointSourceId"] = some(256, 0.2, 2), some(256, 0.1), some(65536, 0.05, 7)
-    if fmt == 0:
-        number = r.integers(0, 8, n)
-        p["bits"] = number << 3 | np.minimum(number, r.integers(0, 8, n)) | some(4, 0.3) << 6
-        p["ScanAngle"] = some(180, 0.2) - 90
-        return p
-    number = np.where(r.random(n) < 0.5, 1, r.integers(0, 16, n))
-    p["returns"] = number << 4 | np.where(r.random(n) < 0.6, np.minimum(1, number), r.integers(0, 16, n))
-    p["flags"] = some(16, 0.2) | r.integers(0, channels, n) << 4 | some(4, 0.3) << 6
-    p["ScanAngle"] = some(60000, 0.1) - 30000
-    t = np.cumsum(np.where(r.random(n) < 0.3, 0, 1) * np.where(r.random(n) < 0.9, 64, r.integers(-(10**4), 10**5, n)))
-    t = t + np.where(r.random(n) < 0.03, 1 << 40, 0) + (4_600_000_000 << 30)
-    p["GpsTime"] = t.astype("<i8").view("<f8")
-    if fmt >= 7:
-        for c in ("Red", "Green", "Blue"):
-            p[c] = np.where(r.random(n) < 0.5, p["Intensity"], some(65536, 0.5, 300))
-    if fmt == 8:
-        p["Nir"] = some(65536, 0.5, 77)
-    return p
+def encode_chunk(points: np.ndarray, extra: np.ndarray | None = None) -> bytes:
+    """A compressed chunk of a structured array of format 0, 6, 7 or 8, and of its extra bytes (n, k)."""
+    fmt = next((f for f in (0, 6, 7, 8) if POINT[f] == points.dtype), None)
+    if fmt is None or (fmt == 0 and extra is not None and extra.shape[1]):
+        raise FormatError("only points of formats 0 (without extra bytes), 6, 7 and 8 are compressed")
+    return single_chunk(points) if fmt == 0 else layered_chunk(points, extra)

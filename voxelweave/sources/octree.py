@@ -12,24 +12,37 @@ Comparisons of d, kx, ky, kz, point_count and resolution with literals choose no
 those of X, Y and Z, by the cubes of the nodes; Spark then tests the points. mode=FAILFAST fails on a bad chunk,
 PERMISSIVE leaves it out. streams=core decodes places, returns, colours and extra dimensions only and leaves other
 fields of compressed points as their chunk's first point has them; all is the default.
+
+    points.repartition("d", "kx", "ky", "kz").sortWithinPartitions("d", "kx", "ky", "kz", "ord")
+        .write.format("octree").mode("append").option("center", "0,0,0").option("half", 50).save(folder)
+
+writes a file for each partition that has rows, with the nodes that its rows belong to: rows of one node must come one
+after another. Options: center and half (the cube), spacing, pointFormat (6, 7 or 8), compressed, scale, offset, low
+and high (three numbers each), wkt. Columns that are no field of a point become extra dimensions of 32-bit floats.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import logging
 import operator
 import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions.voxel import Octree
 from .chunk import ALL, CORE, decode_chunk
-from .records import ENTRY, HEADER_BYTES, POINT, Dimension, FormatError, Header, Info, Vlr, find_vlr, parse_dimensions, parse_page, parse_vlrs
+from .encode import encode_chunk
+from .records import DIM_BYTES, ENTRY, HEADER_BYTES, INFO_BYTES, POINT, Dimension, FormatError, Header, Info, Vlr, find_vlr, pack_page, parse_dimensions, parse_page, parse_vlrs
+
+
+log = logging.getLogger(__name__)
 
 
 def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -181,6 +194,9 @@ class OctreeSource(DataSource):
     def reader(self, schema: object) -> "OctreeReader":
         return OctreeReader(dict(self.options))
 
+    def writer(self, schema: object, overwrite: bool) -> "OctreeWriter":
+        return OctreeWriter(dict(self.options), [f.name for f in schema.fields], overwrite)
+
 
 def _flag(options: dict[str, str], name: str) -> bool:
     return str(options.get(name, options.get(name.lower(), "false"))).lower() == "true"
@@ -312,10 +328,12 @@ class OctreeReader(DataSourceReader):
                     if not n or not size:
                         continue
                     cols = points_of(decode(data, n, meta.header, self.streams), meta)
-                except (FormatError, EOFError, NotImplementedError):
+                except (FormatError, EOFError, NotImplementedError) as e:
                     if self.permissive:
+                        log.warning("%s: chunk %d-%d-%d-%d left out: %s", part.path, d, x, y, z, e)
                         continue
                     raise
+                log.debug("%s: %d points of chunk %d-%d-%d-%d", part.path, n, d, x, y, z)
                 yield _batch((d, x, y, z), cols, n, part.path if self.with_file else None)
 
 
@@ -341,6 +359,143 @@ def _batch(key: tuple[int, ...], cols: dict, n: int, path: str | None) -> pa.Rec
     return pa.RecordBatch.from_arrays(out, names=["d", "kx", "ky", "kz", "ord", *names])
 
 
+@dataclass(frozen=True)
+class Config:
+    """What a written file's header says beside its points."""
+
+    point_format: int = 7
+    compressed: bool = True
+    scale: tuple[float, ...] = (0.01,) * 3
+    offset: tuple[float, ...] = (0.0,) * 3
+    center: tuple[float, ...] = (0.0,) * 3
+    half: float = 1.0
+    spacing: float = 1.0
+    low: tuple[float, ...] | None = None
+    high: tuple[float, ...] | None = None
+    wkt: str | None = None
+
+    @classmethod
+    def of(cls, options: dict[str, str]) -> "Config":
+        given = {k.lower(): v for k, v in options.items()}
+        three = lambda name, default: tuple(map(float, given[name].split(","))) if name in given else default
+        out = cls(
+            int(given.get("pointformat", 7)), given.get("compressed", "true").lower() == "true", three("scale", cls.scale), three("offset", cls.offset), three("center", cls.center),
+            float(given.get("half", 1)), float(given.get("spacing", 1)), three("low", None), three("high", None), given.get("wkt"),
+        )
+        if out.point_format not in (6, 7, 8):
+            raise ValueError(f"points of format {out.point_format} aren't written")
+        return out
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    path: str | None
+    points: int
+
+
+class OctreeWriter(DataSourceArrowWriter):
+    """A file a task; a failed job's files are deleted."""
+
+    def __init__(self, options: dict[str, str], names: list[str], overwrite: bool):
+        self.folder, self.config, self.names = options["path"].rstrip("/"), Config.of(options), names
+        missing = {"d", "kx", "ky", "kz", "X", "Y", "Z"} - set(names)
+        if missing:
+            raise ValueError(f"points need columns {sorted(missing)}")
+        self.dims = tuple(Dimension(9, n) for n in names if n not in {*_ORDER, "d", "kx", "ky", "kz", "ord", "file"})
+        fs, inner = filesystem(self.folder)
+        if overwrite and fs.get_file_info(inner).type == pyarrow.fs.FileType.Directory:
+            fs.delete_dir_contents(inner)
+        fs.create_dir(inner, recursive=True)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        path, points = f"{self.folder}/part-{uuid.uuid4().hex}.laz", 0
+        file = None
+        for key, table in self._nodes(iterator):
+            file = file or _FileOfNodes(path, self.config, self.dims)
+            file.add(key, *self._records(table))
+            points += table.num_rows
+        if file:
+            file.close()
+        return Written(path if file else None, points)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            if m is not None and m.path:
+                fs, inner = filesystem(m.path)
+                fs.delete_file(inner)
+
+    def _nodes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(self.names.index(k))) for k in ("d", "kx", "ky", "kz")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                own = tuple(keys[a].tolist())
+                if held and own != key:
+                    yield key, pa.Table.from_batches(held)
+                    held = []
+                key = own
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield key, pa.Table.from_batches(held)
+
+    def _records(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The points of a node as records, and their extra bytes."""
+        c, p = self.config, np.zeros(table.num_rows, dtype=POINT[self.config.point_format])
+        get = lambda name: np.asarray(table.column(name).combine_chunks().fill_null(0) if name in table.column_names else np.zeros(len(p)))
+        for i, axis in enumerate("XYZ"):
+            p[axis] = np.rint((get(axis) - c.offset[i]) / c.scale[i])
+        p["returns"] = get("ReturnNumber").astype(int) & 15 | (get("NumberOfReturns").astype(int) & 15) << 4
+        p["flags"] = get("ScanDirectionFlag").astype(int) << 6 | get("EdgeOfFlightLine").astype(int) << 7
+        p["ScanAngle"] = np.rint(get("ScanAngle") / 0.006)
+        for name in ("Intensity", "Classification", "UserData", "PointSourceId", "GpsTime", "Red", "Green", "Blue", "Nir"):
+            if name in p.dtype.names:
+                p[name] = get(name)
+        extra = np.stack([get(d.name).astype("<f4") for d in self.dims], axis=1).view(np.uint8) if self.dims else np.zeros((len(p), 0), dtype=np.uint8)
+        return p, extra.reshape(len(p), -1)
+
+
+class _FileOfNodes:
+    """A file to which nodes are added one by one; the header comes first, so its place is kept free until the end."""
+
+    def __init__(self, path: str, config: Config, dims: tuple[Dimension, ...]):
+        self.path, self.config, self.dims, self.entries, self.body, self.low, self.high = path, config, dims, [], [], None, None
+        self.returns = np.zeros(15, dtype=np.int64)
+        self.fixed = HEADER_BYTES + 54 + INFO_BYTES + (54 + DIM_BYTES * len(dims) if dims else 0) + (54 + len(config.wkt.encode()) + 1 if config.wkt else 0)
+        self.at = self.fixed
+
+    def add(self, key: tuple[int, ...], p: np.ndarray, extra: np.ndarray) -> None:
+        c = self.config
+        raw = np.concatenate((p.view(np.uint8).reshape(len(p), -1), extra), axis=1).tobytes()
+        data = encode_chunk(p, extra) if c.compressed else raw
+        self.entries.append((*key, self.at, len(data), len(p)))
+        self.body.append(data)
+        self.at += len(data)
+        xyz = np.stack([p[a] * c.scale[i] + c.offset[i] for i, a in enumerate("XYZ")])
+        self.low = xyz.min(1) if self.low is None else np.minimum(self.low, xyz.min(1))
+        self.high = xyz.max(1) if self.high is None else np.maximum(self.high, xyz.max(1))
+        self.returns += np.bincount((p["returns"] & 15).astype(int), minlength=16)[1:16]
+
+    def close(self) -> None:
+        c, page = self.config, pack_page(self.entries)
+        info = Info(c.center, c.half, c.spacing, self.at, len(page))
+        vlrs = [Vlr("copc", 1, info.pack())]
+        if self.dims:
+            vlrs.append(Vlr("LASF_Spec", 4, b"".join(d.pack() for d in self.dims)))
+        if c.wkt:
+            vlrs.append(Vlr("LASF_Projection", 2112, c.wkt.encode() + b"\0"))
+        head = Header(
+            point_offset=self.fixed, n_vlrs=len(vlrs), point_format=c.point_format, compressed=c.compressed, record_length=POINT[c.point_format].itemsize + sum(d.size for d in self.dims),
+            point_count=sum(e[6] for e in self.entries), by_return=tuple(self.returns.tolist()), scale=c.scale, offset=c.offset, low=c.low or tuple(self.low.tolist()), high=c.high or tuple(self.high.tolist()), software="voxelweave",
+        )
+        fs, inner = filesystem(self.path)
+        with fs.open_output_stream(inner) as f:
+            for part in (head.pack(), *(v.pack() for v in vlrs), *self.body, page):
+                f.write(part)
+
+
 def register(spark: object) -> None:
     """Makes the format known and lets Spark hand its filters down to it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
