@@ -30,5 +30,6 @@ def test_oracle(spark, duck, name):
         assert same.all(), c
 
 
-def test_every_query_but_three_has_an_oracle():
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"shuffle_sample", "export_rows", "lru_replay"}
+def test_every_query_but_two_has_an_oracle():
+    """export_rows gives maps, which export_rows_unnested takes apart; lru_replay is a fold, tested against a model."""
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"export_rows", "lru_replay"}

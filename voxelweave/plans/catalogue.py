@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,6 +25,11 @@ SPHERE = Sphere((9000.0, 10000.0, 4000.0), 3000.0)
 ROWS = [1 / 6000, 0, 0, -1.5, 0, 1 / 6000, 0, -1.6, 0, 0, 1 / 7000, -0.9, 0, 0, 1 / 40000, 0.75]
 FRUSTUM = Frustum.from_rows(ROWS, normalize=False)
 CLIP = ClipFrustum.from_columns(orthographic(BOX))
+#: The same frusta for the oracles: sums and differences of the matrix' rows, and the faces of the box as 32-bit planes.
+SQL_FRUSTUM = [tuple(ROWS[12 + k] + s * ROWS[4 * r + k] for k in range(4)) for r in range(3) for s in (1, -1)]
+SQL_CLIP = [
+    (1.0, 0.0, 0.0, -3000.0), (-1.0, 0.0, 0.0, 9000.4990234375), (0.0, -1.0, 0.0, 12000.25), (0.0, 1.0, 0.0, -4000.000244140625), (0.0, 0.0, -1.0, 9000.0), (0.0, 0.0, 1.0, -500.0004577636719),
+]
 EYE, VIEW = (9000.0, 2000.0, 6000.0), (0.0, 1.0, 0.0)
 RINGS = ([500.0, 1500.0, 4000.0, 9000.0], [16.0, 32.0, 64.0, 128.0])
 RADII = [500.0, 1000.0, 2500.0, 5000.0, 10000.0]
@@ -94,18 +100,18 @@ def _squared(c: tuple[float, ...]) -> str:
     return f"({t[0]} * {t[0]} + {t[1]} * {t[1]} + {t[2]} * {t[2]})"
 
 
-def _plane_at(p: Plane, x: str, y: str, z: str) -> str:
-    return f"({_d(p.a)} * {x} + {_d(p.b)} * {y} + {_d(p.c)} * {z} + {_d(p.d)})"
+def _plane_at(p: tuple, x: str, y: str, z: str) -> str:
+    return f"({_d(p[0])} * {x} + {_d(p[1])} * {y} + {_d(p[2])} * {z} + {_d(p[3])})"
 
 
-def _frustum_meets(f: Frustum) -> str:
-    return " AND ".join(_plane_at(p, *[f"{'max' if n >= 0 else 'min'}_{a}" for a, n in zip(AX, (p.a, p.b, p.c))]) + " >= 0" for p in f.planes)
+def _planes_meet(planes: list[tuple]) -> str:
+    return " AND ".join(_plane_at(p, *[f"{'max' if n >= 0 else 'min'}_{a}" for a, n in zip(AX, p)]) + " >= 0" for p in planes)
 
 
-def _clip_meets(f: ClipFrustum) -> str:
+def _clip_meets(planes: list[tuple]) -> str:
     mid = [f"(({_f(f'min_{a}')} + {_f(f'max_{a}')}) * {_f(0.5)})" for a in AX]
     ext = [f"({_f(f'max_{a}')} - {m})" for a, m in zip(AX, mid)]
-    return " AND ".join(f"({' + '.join(f'{m} * {_f(v)}' for m, v in zip(mid, p))}) + ({' + '.join(f'{e} * {_f(abs(v))}' for e, v in zip(ext, p))}) > {_f(-p[3])}" for p in f.planes)
+    return " AND ".join(f"({' + '.join(f'{m} * {_f(v)}' for m, v in zip(mid, p))}) + ({' + '.join(f'{e} * {_f(abs(v))}' for e, v in zip(ext, p))}) > {_f(-p[3])}" for p in planes)
 
 
 NODE = ["d", "kx", "ky", "kz", "point_count"]
@@ -169,14 +175,15 @@ def sphere_relations(s: SparkSession, d: str) -> DataFrame:
 
 
 PLANE = Plane.through((0.5, -0.25, 1.0), (9000.0, 9000.0, 3000.0))
+SQL_PLANE = (0.5, -0.25, 1.0, -5250.0)
 
 
-@query("plane_distance", f"SELECT point_id, {_plane_at(PLANE, 'X', 'Y', 'Z')} AS signed, {_plane_at(PLANE, 'X', 'Y', 'Z')} > 0 AS front FROM pts")
+@query("plane_distance", f"SELECT point_id, {_plane_at(SQL_PLANE, 'X', 'Y', 'Z')} AS signed, {_plane_at(SQL_PLANE, 'X', 'Y', 'Z')} > 0 AS front FROM pts")
 def plane_distance(s: SparkSession, d: str) -> DataFrame:
     return _points(s, d).select("point_id", PLANE.signed_distance(pts.xyz()).alias("signed"), PLANE.in_front(pts.xyz()).alias("front"))
 
 
-@query("plane_box", f"SELECT {_NODE}, {_frustum_meets(Frustum((PLANE,)))} AS meets FROM nodes")
+@query("plane_box", f"SELECT {_NODE}, {_planes_meet([SQL_PLANE])} AS meets FROM nodes")
 def plane_box(s: SparkSession, d: str) -> DataFrame:
     return _nodes(s, d).select(*NODE, PLANE.meets(box_columns()).alias("meets"))
 
@@ -197,8 +204,8 @@ _node_query("nodes_intersect_box_res", f"{_box_meets(BOX)} AND resolution <= {_d
 _node_query("nodes_intersect_box_cumulative", _box_meets(BOX), lambda n: select.meeting(n, BOX, FINE, cumulative=True))
 _node_query("nodes_in_radius", _sphere_meets(SPHERE), lambda n: select.meeting(n, SPHERE))
 _node_query("nodes_in_radius_res", f"{_sphere_meets(SPHERE)} AND resolution <= {_d(FINE)}", lambda n: select.meeting(n, SPHERE, FINE))
-_node_query("nodes_in_frustum", _clip_meets(CLIP), lambda n: select.meeting(n, CLIP))
-_node_query("nodes_in_frustum_planes", _frustum_meets(FRUSTUM), lambda n: select.meeting(n, FRUSTUM))
+_node_query("nodes_in_frustum", _clip_meets(SQL_CLIP), lambda n: select.meeting(n, CLIP))
+_node_query("nodes_in_frustum_planes", _planes_meet(SQL_FRUSTUM), lambda n: select.meeting(n, FRUSTUM))
 _node_query("nodes_at_resolution", f"d = {voxel.depth_at(50.0, OCTREE)}", lambda n: select.at_resolution(n, 50.0, OCTREE))
 _node_query("bbox_lod_nodes", f"d = 3 AND {_box_meets(BOX)}", lambda n: select.meeting(select.layer(n, 3), BOX))
 _node_query("bbox_res_nodes", f"d = {voxel.depth_at(20.0, OCTREE)} AND {_box_meets(BOX)}", lambda n: select.meeting(select.at_resolution(n, 20.0, OCTREE), BOX))
@@ -217,12 +224,17 @@ def depth_at_resolution(s: SparkSession, d: str) -> DataFrame:
     return w.select("wanted", F.get(first, F.lit(0)).alias("depth"))
 
 
-@query("random_box_nodes", f"SELECT {_NODE} FROM nodes WHERE d = 3 AND {_box_meets(Box((4000.0, 5000.0, 1000.0), (5638.4, 6638.4, 2638.4)))}")
+def random_box(seed: int, share: float = 0.1) -> Box:
+    """A box of a share of the extent along each axis, wholly within it, at a place that the seed draws."""
+    draw = random.Random(seed)
+    size = [share * (h - lo) for lo, h in zip(OCTREE.low, OCTREE.high)]
+    low = [lo + draw.random() * (h - lo - w) for lo, h, w in zip(OCTREE.low, OCTREE.high, size)]
+    return Box(tuple(low), tuple(v + w for v, w in zip(low, size)))
+
+
+@query("random_box_nodes", f"SELECT {_NODE} FROM nodes WHERE d = 3 AND {_box_meets(random_box(7))}")
 def random_box_nodes(s: SparkSession, d: str) -> DataFrame:
-    """A box of a tenth of the extent; its place is a parameter instead of an unseeded draw."""
-    low = (4000.0, 5000.0, 1000.0)
-    box = Box(low, tuple(a + 0.1 * (h - b) for a, b, h in zip(low, OCTREE.low, OCTREE.high)))
-    return select.meeting(select.layer(_nodes(s, d), 3), box).select(*NODE)
+    return select.meeting(select.layer(_nodes(s, d), 3), random_box(7)).select(*NODE)
 
 
 # traversal ------------------------------------------------------------------------------------------------------
@@ -255,7 +267,7 @@ _walk("traverse_cache_all_view01", "true", "d <= 1", "true", traverse.to_depth(1
 _walk("traverse_box", f"{_box_meets(BOX)} AND resolution <= 64", f"{_box_meets(BOX)} AND resolution <= 64", _box_meets(BOX), traverse.shape(BOX, 64.0))
 _walk("traverse_box_stop", _box_meets(BOX), _box_meets(BOX), "false", traverse.shape(BOX, 0, go_on=False))
 _walk("traverse_sphere", f"{_sphere_meets(SPHERE)} AND resolution <= 64", f"{_sphere_meets(SPHERE)} AND resolution <= 64", _sphere_meets(SPHERE), traverse.shape(SPHERE, 64.0))
-_walk("traverse_frustum", _clip_meets(CLIP), _clip_meets(CLIP), _clip_meets(CLIP), traverse.shape(CLIP))
+_walk("traverse_frustum", _clip_meets(SQL_CLIP), _clip_meets(SQL_CLIP), _clip_meets(SQL_CLIP), traverse.shape(CLIP))
 _ADAPT = f"{_box_meets(BOX)} AND resolution <= greatest(CAST(8 AS DOUBLE), {_d(1 / 256)} * {_FAR})"
 _walk("traverse_adaptive", _ADAPT, _ADAPT, _box_meets(BOX), traverse.by_distance(BOX, EYE, 1 / 256, 8.0))
 _FIRST = f"{_box_meets(BOX)} AND resolution <= 64"
@@ -284,10 +296,10 @@ def _point_query(name: str, where: str, f: Callable[[DataFrame, DataFrame], Data
 _point_query("points_of_nodes", _semi("d = 2"), lambda p, n: pts.of_nodes(p, select.layer(n, 2)))
 _point_query("points_in_box", f"{_box_point(BOX)}", lambda p, n: pts.in_shape(p, n, BOX))
 _point_query("points_in_radius", f"{_squared(SPHERE.center)} <= {_d(SPHERE.radius**2)}", lambda p, n: pts.in_shape(p, n, SPHERE))
-_point_query("points_in_frustum", " AND ".join(_plane_at(q, "X", "Y", "Z") + " >= 0" for q in FRUSTUM.planes), lambda p, n: pts.in_shape(p, n, FRUSTUM))
+_point_query("points_in_frustum", " AND ".join(_plane_at(q, "X", "Y", "Z") + " >= 0" for q in SQL_FRUSTUM), lambda p, n: pts.in_shape(p, n, FRUSTUM))
 _point_query("points_node_granular", _semi(_box_meets(BOX)), lambda p, n: pts.in_shape(p, n, BOX, granularity="node"))
 _point_query("points_radius_node_granular", _semi(_sphere_meets(SPHERE)), lambda p, n: pts.in_shape(p, n, SPHERE, granularity="node"))
-_point_query("points_frustum_node_granular", _semi(_clip_meets(CLIP)), lambda p, n: pts.of_nodes(p, select.meeting(n, CLIP)))
+_point_query("points_frustum_node_granular", _semi(_clip_meets(SQL_CLIP)), lambda p, n: pts.of_nodes(p, select.meeting(n, CLIP)))
 _point_query("bbox_lod_points", f"d = 3 AND {_box_point(BOX)}", lambda p, n: pts.of_nodes(p, select.meeting(select.layer(n, 3), BOX)).where(BOX.has_point(pts.xyz())))
 
 
@@ -298,7 +310,7 @@ def radius_with_distance(s: SparkSession, d: str) -> DataFrame:
     return near.where(F.col("distance") <= SPHERE.radius).select("point_id", "distance")
 
 
-@query("frustum_theta_points", f"""SELECT p.point_id, n.d, n.kx, n.ky, n.kz FROM pts p JOIN (SELECT * FROM nodes WHERE {_clip_meets(CLIP)}) n
+@query("frustum_theta_points", f"""SELECT p.point_id, n.d, n.kx, n.ky, n.kz FROM pts p JOIN (SELECT * FROM nodes WHERE {_clip_meets(SQL_CLIP)}) n
 ON p.X BETWEEN n.min_x AND n.max_x AND p.Y BETWEEN n.min_y AND n.max_y AND p.Z BETWEEN n.min_z AND n.max_z""")
 def frustum_theta_points(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
@@ -350,11 +362,13 @@ def sphere_relation_class(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("box_vs_radius", f"""SELECT count(*) FILTER (b) AS box_nodes, count(*) FILTER (r) AS sphere_nodes, sum(CASE WHEN b THEN point_count ELSE 0 END)::BIGINT AS box_points,
-  sum(CASE WHEN r THEN point_count ELSE 0 END)::BIGINT AS sphere_points, count(*) FILTER (b AND NOT r) AS extra_nodes FROM (SELECT *, {_box_meets(SPHERE.box)} AS b, {_sphere_meets(SPHERE)} AS r FROM nodes)""")
+  sum(CASE WHEN r THEN point_count ELSE 0 END)::BIGINT AS sphere_points, count(*) FILTER (b AND NOT r) AS extra_nodes,
+  sum(CASE WHEN b THEN point_count ELSE 0 END)::BIGINT - sum(CASE WHEN r THEN point_count ELSE 0 END)::BIGINT AS extra_points, CAST(100 AS DOUBLE) * count(*) FILTER (r) / nullif(count(*) FILTER (b), 0) AS efficiency FROM (SELECT *, {_box_meets(SPHERE.box)} AS b, {_sphere_meets(SPHERE)} AS r FROM nodes)""")
 def box_vs_radius(s: SparkSession, d: str) -> DataFrame:
     n = _nodes(s, d).withColumn("b", SPHERE.box.meets(box_columns())).withColumn("r", SPHERE.meets(box_columns()))
     zero = F.lit(0)
-    return n.agg(F.count_if("b").alias("box_nodes"), F.count_if("r").alias("sphere_nodes"), F.sum(F.when(F.col("b"), F.col("point_count")).otherwise(zero)).alias("box_points"), F.sum(F.when(F.col("r"), F.col("point_count")).otherwise(zero)).alias("sphere_points"), F.count_if(F.col("b") & ~F.col("r")).alias("extra_nodes"))
+    return n.agg(F.count_if("b").alias("box_nodes"), F.count_if("r").alias("sphere_nodes"), F.sum(F.when(F.col("b"), F.col("point_count")).otherwise(zero)).alias("box_points"), F.sum(F.when(F.col("r"), F.col("point_count")).otherwise(zero)).alias("sphere_points"), F.count_if(F.col("b") & ~F.col("r")).alias("extra_nodes")).withColumn(
+        "extra_points", F.col("box_points") - F.col("sphere_points")).withColumn("efficiency", F.lit(100.0) * F.col("sphere_nodes") / F.expr("nullif(box_nodes, 0)"))
 
 
 # sums -----------------------------------------------------------------------------------------------------------
@@ -372,10 +386,22 @@ def lod_distribution(s: SparkSession, d: str) -> DataFrame:
     return pts.by_level(_nodes(s, d))
 
 
-@query("bbox_info_by_lod", f"SELECT d, count(*) AS node_count, sum(point_count)::BIGINT AS points FROM nodes WHERE {_box_meets(BOX)} GROUP BY ROLLUP (d)")
+@query("bbox_info_by_lod", f"""SELECT d, count(*) AS node_count, sum(point_count)::BIGINT AS points, sum(point_count)::DOUBLE / count(*) AS avg_points, CASE WHEN d IS NOT NULL THEN max(resolution) END AS resolution,
+  count(DISTINCT d) AS levels FROM nodes WHERE {_box_meets(BOX)} GROUP BY ROLLUP (d)""")
 def bbox_info_by_lod(s: SparkSession, d: str) -> DataFrame:
     """Levels, and with d null the grand total."""
-    return select.meeting(_nodes(s, d), BOX).rollup("d").agg(F.count("*").alias("node_count"), F.sum("point_count").alias("points"))
+    found = select.meeting(_nodes(s, d), BOX).withColumn("level", F.col("d")).rollup("d").agg(
+        F.count("*").alias("node_count"), F.sum("point_count").alias("points"), (F.sum("point_count") / F.count("*")).alias("avg_points"), F.max("resolution").alias("resolution"), F.countDistinct("level").alias("levels"))
+    return found.withColumn("resolution", F.when(F.col("d").isNotNull(), F.col("resolution")))
+
+
+@query("bbox_info_samples", f"""SELECT {_NODE}, rank FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY seq) AS rank, dense_rank() OVER (ORDER BY d) AS level FROM nodes WHERE {_box_meets(BOX)}) WHERE rank <= 5 AND level <= 3""")
+def bbox_info_samples(s: SparkSession, d: str) -> DataFrame:
+    """Of the three coarsest levels that the box meets, the first five nodes in file order."""
+    n = select.meeting(_nodes(s, d), BOX)
+    levels = n.select("d").distinct().orderBy("d").limit(3)
+    first = n.join(F.broadcast(levels), "d", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("d").orderBy("seq"))).where("rank <= 5")
+    return first.select(*NODE, F.col("rank").cast("long").alias("rank"))
 
 
 @query("layer_stats", """SELECT d, count(*) AS node_count, (CAST(8 AS DOUBLE) ** d)::BIGINT AS possible, avg(max_x - min_x) AS avg_width, avg(max_y - min_y) AS avg_height, avg(max_z - min_z) AS avg_depth,
@@ -427,10 +453,12 @@ def first_root_node(s: SparkSession, d: str) -> DataFrame:
     return select.layer(_nodes(s, d), 0).orderBy(*KEY).limit(1).select(*NODE)
 
 
-@query("shuffle_sample")
+@query("shuffle_sample", f"SELECT {_NODE} FROM nodes ORDER BY ((d::BIGINT * 73856093 + kx * 19349663 + ky * 83492791 + kz * 49979687 + 12345) % 1000003 * 7919::BIGINT) % 1000003, d, kx, ky, kz LIMIT 200")
 def shuffle_sample(s: SparkSession, d: str) -> DataFrame:
     """200 nodes in an order that a seed and a hash fix."""
-    return _nodes(s, d).orderBy(F.xxhash64(*KEY, F.lit(12345)), *KEY).limit(200).select(*NODE)
+    seed = 12345
+    mixed = F.expr(f"((cast(d AS bigint) * 73856093L + kx * 19349663L + ky * 83492791L + kz * 49979687L + {seed}) % 1000003L * 7919L) % 1000003L")
+    return _nodes(s, d).orderBy(mixed, *KEY).limit(200).select(*NODE)
 
 
 @query("node_offsets", "SELECT d, kx, ky, kz, (sum(point_count) OVER (ORDER BY seq) - point_count)::BIGINT AS first FROM nodes")
@@ -499,11 +527,44 @@ def export_rows(s: SparkSession, d: str) -> DataFrame:
     return export.rows(_colored(s, d), {"k": F.col("extra_k"), "rgb": F.array("raw_r", "raw_g", "raw_b")})
 
 
+@query("export_rows_unnested", f"""{_COLOR} SELECT point_id, X::FLOAT::DOUBLE AS px, Y::FLOAT::DOUBLE AS py, Z::FLOAT::DOUBLE AS pz, CAST(1 AS DOUBLE) AS pw, red::DOUBLE AS cr, CAST(1 AS DOUBLE) AS ca, d AS depth, extra_k::DOUBLE AS k, raw_b::DOUBLE AS rgb_2, 2 AS names FROM col""")
+def export_rows_unnested(s: SparkSession, d: str) -> DataFrame:
+    """export_rows with its arrays and map taken apart."""
+    r = export_rows(s, d)
+    at = lambda c, i: F.get(F.col(c), i).cast("double")
+    extra = lambda name, i: F.get(F.col("extra")[name], i).cast("double")
+    return r.select("point_id", at("position", 0).alias("px"), at("position", 1).alias("py"), at("position", 2).alias("pz"), at("position", 3).alias("pw"), at("color", 0).alias("cr"), at("color", 3).alias("ca"), "depth",
+                    extra("k", 0).alias("k"), extra("rgb", 2).alias("rgb_2"), F.size("extra").alias("names"))
+
+
 @query("dims_distinct", "SELECT 'k' AS name, 1 AS components UNION ALL SELECT 'rgb', 3")
 def dims_distinct(s: SparkSession, d: str) -> DataFrame:
     return export.dim_names(export_rows(s, d))
 
 
+def _export_query(name: str, where: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Columns of the points that a shape chooses, as a renderer takes them."""
+    def run(s: SparkSession, d: str) -> DataFrame:
+        out = export.separated(f(_colored(s, d), _nodes(s, d)), {"k": F.col("extra_k")}, ["k"])
+        return out.select("point_id", *[F.col(c).cast("double").alias(c) for c in ("px", "py", "pz", "cr", "cg", "cb", "k")], "depth")
+
+    query(name, f"""{_COLOR} SELECT point_id, X::FLOAT::DOUBLE AS px, Y::FLOAT::DOUBLE AS py, Z::FLOAT::DOUBLE AS pz, red::DOUBLE AS cr, green::DOUBLE AS cg, blue::DOUBLE AS cb, d AS depth,
+      coalesce(extra_k::FLOAT, 0)::DOUBLE AS k FROM col WHERE {where}""")(run)
+
+
+_export_query("export_in_box", _semi(_box_meets(BOX)), lambda p, n: pts.in_shape(p, n, BOX, granularity="node"))
+_export_query("export_in_radius", _semi(_sphere_meets(SPHERE)), lambda p, n: pts.in_shape(p, n, SPHERE, granularity="node"))
+_export_query("export_in_frustum", _semi(_clip_meets(SQL_CLIP)), lambda p, n: pts.of_nodes(p, select.meeting(n, CLIP)))
+_export_query("export_node_set", _semi("d = 2 AND kx = 1"), lambda p, n: pts.of_nodes(p, select.layer(n, 2).where("kx = 1")))
+_export_query("warm_separated", _semi(f"{_sphere_meets(SPHERE)} AND NOT ({_box_meets(BOX)})"), lambda p, n: pts.of_nodes(p, select.meeting(n, SPHERE).join(select.meeting(n, BOX).select(*KEY), KEY, "left_anti")))
+
+
+@query("separated_sizes", f"SELECT d, kx, ky, kz, 2 * (24 + 16 * point_count) + 2 * (24 + 4 * point_count) AS bytes FROM nodes WHERE {_box_meets(BOX)}")
+def separated_sizes(s: SparkSession, d: str) -> DataFrame:
+    """What a cache counts for the columns of each node: positions and colours, depth and one extra dimension."""
+    return select.meeting(_nodes(s, d), BOX).select(*KEY, cache.separated_bytes(F.col("point_count"), 2, 2).alias("bytes"))
+
+
 @query("export_node_order", "SELECT p.point_id, n.seq FROM op p JOIN nodes n USING (d, kx, ky, kz) WHERE d = 2")
 def export_node_order(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
@@ -515,7 +576,24 @@ def export_sizes(s: SparkSession, d: str) -> DataFrame:
     return export.sizes(_points(s, d))
 
 
-@query("attribute_catalogue", attributes.SQL)
+# every name typed anew: which formats have it, type, least, greatest
+_ATTRIBUTES = """, a AS (SELECT * FROM (VALUES
+  ('X', [0,1,2,3,4,5,6,7,8,9,10], 'double', NULL, NULL, 'easting, scaled'), ('Y', [0,1,2,3,4,5,6,7,8,9,10], 'double', NULL, NULL, 'northing, scaled'), ('Z', [0,1,2,3,4,5,6,7,8,9,10], 'double', NULL, NULL, 'height, scaled'),
+  ('Intensity', [0,1,2,3,4,5,6,7,8,9,10], 'uint16', 0, 65535, 'strength of the return'), ('ReturnNumber', [0,1,2,3,4,5,6,7,8,9,10], 'uint8', 1, 15, 'which return of its pulse'),
+  ('NumberOfReturns', [0,1,2,3,4,5,6,7,8,9,10], 'uint8', 1, 15, 'returns of its pulse'), ('Classification', [0,1,2,3,4,5,6,7,8,9,10], 'uint8', 0, 255, 'class of the point'),
+  ('ScanAngle', [0,1,2,3,4,5,6,7,8,9,10], 'float32', -180, 180, 'angle of the scan, degrees'), ('UserData', [0,1,2,3,4,5,6,7,8,9,10], 'uint8', 0, 255, 'free for the user'),
+  ('PointSourceId', [0,1,2,3,4,5,6,7,8,9,10], 'uint16', 0, 65535, 'flight line or file'), ('GpsTime', [1,3,6,7,8], 'double', NULL, NULL, 'time of the pulse'),
+  ('Red', [2,3,7,8], 'uint16', 0, 65535, 'red of the colour'), ('Green', [2,3,7,8], 'uint16', 0, 65535, 'green of the colour'), ('Blue', [2,3,7,8], 'uint16', 0, 65535, 'blue of the colour'), ('NIR', [8], 'uint16', 0, 65535, 'near infrared'),
+  ('ScanDirectionFlag', [6,7,8], 'uint8', 0, 1, 'direction of the mirror'), ('EdgeOfFlightLine', [6,7,8], 'uint8', 0, 1, 'last point of a scan line')) AS v(name, formats, kind, least, greatest, description)
+), t AS (SELECT unnest(formats)::INT AS point_format, name, kind, 1 AS components, least::DOUBLE AS least, greatest::DOUBLE AS greatest, true AS required, description FROM a)"""
+
+
+@query("attribute_lookup", f"{_ATTRIBUTES} SELECT * FROM t WHERE name = 'GpsTime'")
+def attribute_lookup(s: SparkSession, d: str) -> DataFrame:
+    return attributes.attribute(attributes.all_formats(s), "gpstime")
+
+
+@query("attribute_catalogue", f"{_ATTRIBUTES} SELECT * FROM t")
 def attribute_catalogue(s: SparkSession, d: str) -> DataFrame:
     return attributes.all_formats(s)
 
@@ -566,3 +644,6 @@ def warm_missing(s: SparkSession, d: str) -> DataFrame:
 @query("lru_replay")
 def lru_replay(s: SparkSession, d: str) -> DataFrame:
     return cache.replay(access_log(s, d), max_bytes=64 << 10)
+
+
+from . import files  # noqa: E402, F401  registers the queries over files

@@ -5,47 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMATS = (0, 1, 2, 3, 6, 7, 8)
-#: Bytes of a record of each format (fixed values of the file format).
-RECORD_BYTES = {0: 20, 1: 28, 2: 26, 3: 34, 6: 30, 7: 36, 8: 38}
-#: name, type, components, least, greatest (fixed values of the file format)
+#: Formats that a file may have; of 4, 5, 9 and 10 only the common attributes are known.
+FORMATS = tuple(range(11))
+#: name, type, least, greatest, what it is (fixed values of the file format)
 COMMON = (
-    ("X", "double", 1, None, None), ("Y", "double", 1, None, None), ("Z", "double", 1, None, None), ("Intensity", "uint16", 1, 0.0, 65535.0), ("ReturnNumber", "uint8", 1, 0.0, 15.0),
-    ("NumberOfReturns", "uint8", 1, 0.0, 15.0), ("Classification", "uint8", 1, 0.0, 255.0), ("ScanAngle", "double", 1, -180.0, 180.0), ("UserData", "uint8", 1, 0.0, 255.0), ("PointSourceId", "uint16", 1, 0.0, 65535.0),
-)
-GPS = (("GpsTime", "double", 1, None, None),)
-RGB = tuple((c, "float32", 1, 0.0, 1.0) for c in ("Red", "Green", "Blue"))
-NIR = (("Nir", "uint16", 1, 0.0, 65535.0),)
-FLAGS = (("ScanDirectionFlag", "uint8", 1, 0.0, 1.0), ("EdgeOfFlightLine", "uint8", 1, 0.0, 1.0))
+    ("X", "double", None, None, "easting, scaled"),
+    ("Y", "double", None, None, "northing, scaled"),
+    ("Z", "double", None, None, "height, scaled"),
+    ("Intensity", "uint16", 0.0, 65535.0, "strength of the return"),
+    ("ReturnNumber", "uint8", 1.0, 15.0, "which return of its pulse"),
+    ("NumberOfReturns", "uint8", 1.0, 15.0, "returns of its pulse"),
+    ("Classification", "uint8", 0.0, 255.0, "class of the point"),
+    ("ScanAngle", "float32", -180.0, 180.0, "angle of the scan, degrees"),
+    ("UserData", "uint8", 0.0, 255.0, "free for the user"),
+    ("PointSourceId", "uint16", 0.0, 65535.0, "flight line or file"),
+)
+GPS = (("GpsTime", "double", None, None, "time of the pulse"),)
+RGB = tuple((c, "uint16", 0.0, 65535.0, f"{c.lower()} of the colour") for c in ("Red", "Green", "Blue"))
+NIR = (("NIR", "uint16", 0.0, 65535.0, "near infrared"),)
+FLAGS = (("ScanDirectionFlag", "uint8", 0.0, 1.0, "direction of the mirror"), ("EdgeOfFlightLine", "uint8", 0.0, 1.0, "last point of a scan line"))
 
 
 def attributes_of(point_format: int) -> list[tuple]:
+    """(name, type, components, least, greatest, required, description) of a format; every attribute is required."""
     if point_format not in FORMATS:
         raise ValueError(f"unknown point format {point_format}")
     out = list(COMMON)
-    if point_format not in (0, 2):
+    if point_format in (1, 3, 6, 7, 8):
         out += GPS
     if point_format in (2, 3, 7, 8):
         out += RGB
     if point_format == 8:
         out += NIR
-    return out + list(FLAGS if point_format >= 6 else ())
+    if point_format in (6, 7, 8):
+        out += FLAGS
+    return [(name, kind, 1, low, high, True, text) for name, kind, low, high, text in out]
 
 
-def _rows() -> list[tuple]:
-    return [(f, *a) for f in FORMATS for a in attributes_of(f)]
-
-
-def _literal(v: object) -> str:
-    return "CAST(NULL AS DOUBLE)" if v is None else f"'{v}'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
-
-
-_VALUES = ", ".join(f"({', '.join(map(_literal, r))})" for r in _rows())
-SQL = f"SELECT * FROM (VALUES {_VALUES}) AS v(point_format, name, kind, components, least, greatest)"
+SCHEMA = "point_format int, name string, kind string, components int, least double, greatest double, required boolean, description string"
 
 
 def all_formats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_rows(), "point_format int, name string, kind string, components int, least double, greatest double")
+    return spark.createDataFrame([(f, *a) for f in FORMATS for a in attributes_of(f)], SCHEMA)
 
 
 def attribute(table: DataFrame, name: str) -> DataFrame:
