@@ -37,7 +37,8 @@ BATCH = 1 << 20
 
 def _heads(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes at each place as a number, so that numbers order as the bytes do. text ends in 8 spare bytes."""
-    return np.lib.stride_tricks.sliding_window_view(text, 8)[at].view(">u8").ravel().astype(np.uint64)
+    every = np.ndarray((len(text) - 7,), dtype=">u8", buffer=text, strides=(1,))
+    return every[at].astype(np.uint64)
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,29 +85,22 @@ class Level:
         """For the windows of another level: where each would stand in this one, and whether the window there is equal.
 
         Both are in order: one pass over the heads leaves each window a range of this level with its first eight
-        bytes; ranges of several windows are narrowed by the next eight, and a single window is compared whole.
+        bytes, which the next sixteen narrow; what is left is halved by comparing whole windows.
         """
         lo, hi = np.searchsorted(self.head, other.head, "left"), np.searchsorted(self.head, other.head, "right")
         equal = np.zeros(len(lo), dtype=bool)
         open_ = np.flatnonzero(lo < hi)
-        depth = 8
+        for step in range(8, min(24, w - 7), 8):
+            head = _heads(other.text, other.at[open_] + step)
+            lo[open_], hi[open_] = self._bound(lo[open_], hi[open_], step, head, False), self._bound(lo[open_], hi[open_], step, head, True)
+            open_ = open_[lo[open_] < hi[open_]]
         while len(open_):
-            single = hi[open_] - lo[open_] == 1
-            one = open_[single]
-            sign = self._compare(lo[one], other, one, w)
-            equal[one[sign == 0]] = True
-            lo[one[sign < 0]] += 1
-            open_ = open_[~single]
-            if not len(open_):
-                break
-            if depth >= w:  # all bytes are equal; levels hold distinct windows, so this leaves none
-                equal[open_] = True
-                break
-            step = min(depth, w - 8)
-            mine = _heads(other.text, other.at[open_] + step)
-            lo[open_], hi[open_] = self._bound(lo[open_], hi[open_], step, mine, False), self._bound(lo[open_], hi[open_], step, mine, True)
+            mid = (lo[open_] + hi[open_]) // 2
+            sign = self._compare(mid, other, open_, w)
+            equal[open_[sign == 0]] = True
+            lo[open_] = np.where(sign < 0, mid + 1, np.where(sign == 0, mid, lo[open_]))
+            hi[open_] = np.where(sign < 0, hi[open_], mid)
             open_ = open_[lo[open_] < hi[open_]]
-            depth = step + 8
         return lo, equal
 
     def _bound(self, lo: np.ndarray, hi: np.ndarray, step: int, value: np.ndarray, after: bool) -> np.ndarray:
@@ -124,15 +118,14 @@ class Level:
 
     def _compare(self, mine: np.ndarray, other: "Level", its: np.ndarray, w: int) -> np.ndarray:
         """-1, 0, 1: this level's windows `mine` before, equal to, after the other's `its`."""
-        sign = np.zeros(len(mine), dtype=np.int8)
-        open_ = np.arange(len(mine))
-        drop = np.uint64(8 * max(0, 8 - w))
-        for step in [*range(0, w - 7, 8), *([max(0, w - 8)] if w % 8 else [])]:
-            a, b = _heads(self.text, self.at[mine[open_]] + step) >> drop, _heads(other.text, other.at[its[open_]] + step) >> drop
-            sign[open_] = np.where(a < b, -1, np.where(a > b, 1, 0))
-            open_ = open_[a == b]
-            if not len(open_):
-                break
+        sign, open_ = np.zeros(len(mine), dtype=np.int8), np.arange(len(mine))
+        for col in (np.arange(min(w, 48)), np.arange(48, w)):  # most differ early
+            for x in range(0, len(open_) if len(col) else 0, 1024):
+                some = open_[x : x + 1024]
+                a = self.text[self.at[mine[some], None] + col].astype(np.int16)
+                a -= other.text[other.at[its[some], None] + col]
+                sign[some] = np.sign(a[np.arange(len(a)), (a != 0).argmax(1)])
+            open_ = open_[sign[open_] == 0]
         return sign
 
 
