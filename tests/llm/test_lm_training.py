@@ -10,26 +10,22 @@ def test_lanes_learn_every_token_once_with_the_state_carried():
     docs = [r.integers(0, 50, n).astype(np.int32) for n in (1, 31, 32, 33, 64, 1000, *r.integers(1, 200, 300))]
     seen = []
 
-    class Watch:
-        def chunk(self, ids, h):
-            for row, state in zip(ids, h):
-                y = row[1:]
-                n = int((y >= 0).sum())
-                assert (y[n:] < 0).all() and n
-                seen.append((int(row[0]), y[:n].tolist(), state.tolist()))
-            return h + 1
-
-        def update(self):
-            pass
-
-    lanes = lm.Lanes(Watch())
+    def watch(ids, h, numbers):
+        for row, state, k in zip(ids, h, numbers):
+            y = row[1:]
+            n = int((y >= 0).sum())
+            assert (y[n:] < 0).all() and n
+            seen.append((k, int(row[0]), y[:n].tolist(), state.tolist()))
+        return h + 1
+
+    lanes = lm.Lanes(watch)
     for lo in range(0, len(docs), 70):
         lanes.take(docs[lo : lo + 70])
     lanes.take([], last=True)
     want = []
-    for d in docs:
+    for i, d in enumerate(docs):
         for k, t in enumerate(range(0, len(d), lm.CHUNK)):
-            want.append((int(d[t - 1]) if t else 0, d[t : t + lm.CHUNK].tolist(), [float(k)] * lm.HIDDEN + [float(k + 1)]))
+            want.append((i, int(d[t - 1]) if t else 0, d[t : t + lm.CHUNK].tolist(), [float(k)] * lm.HIDDEN + [float(k + 1)]))
     assert sorted(seen) == sorted(want)
 
 
@@ -89,6 +85,14 @@ def test_scores_are_those_of_a_plain_forward_pass():
     ids = r.integers(0, net.size + 1, sum(sizes))
     at = np.concatenate(([0], np.cumsum(sizes)))
     got = lm.document_log_probs(net, ids, at)
+    scorer, parts = lm.Scorer(net), []  # the same, as they come
+    for a, b in zip(at, at[1:]):
+        scorer.take([ids[a:b]])
+    assert scorer.done(len(sizes)) is None
+    scorer.take([], last=True)
+    for _ in sizes:
+        parts += scorer.done(1).tolist()
+    assert np.allclose(parts, got)
     want = [plain(net, ids[a:b]) for a, b in zip(at, at[1:])]
     assert np.allclose(got, want, rtol=1e-4)
 
@@ -124,7 +128,7 @@ def test_training_lowers_the_loss():
     docs = [np.array([(s + 5 * k) % 64 for k in range(200)], dtype=np.int32) for s in range(400)]
     at = np.arange(0, 201, 200)
     before = lm.document_log_probs(net, docs[0].astype(np.int64), at)[0]
-    lanes = lm.Lanes(lm.Trainer(net, 0.01))
+    lanes = lm.Lanes(lm.Trainer(net, 0.01).chunk)
     for _ in range(12):
         lanes.take(docs)
     lanes.take([], last=True)

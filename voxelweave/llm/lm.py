@@ -24,7 +24,7 @@ text is tokenised whole, and its score takes memory for its tokens. No rows: no
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,9 +40,8 @@ VOCAB, CLASS = 4096, 64
 EMBED, HIDDEN = 16, 32
 HEAD = 1 << 16
 WARM = 2500
-CHUNK, BATCH = 32, 256
+CHUNK, BATCH = 32, 512
 LEARN = 8192  # tokens of an update, at least
-COLUMNS = 64  # tokens that scoring steps through at a time
 SLICE = 2 << 20
 FANIN = 16
 
@@ -88,6 +87,16 @@ class Lookup:
         return np.where(self.sorted[at] == th, self.order[at], -1)
 
 
+def _thirds(m: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What belongs to the update, the reset and the new gate."""
+    return m[:, :HIDDEN], m[:, HIDDEN : 2 * HIDDEN], m[:, 2 * HIDDEN :]
+
+
+def _sums(p: np.ndarray) -> np.ndarray:
+    """Sums of rows, as a product with ones, which is faster."""
+    return p @ np.ones(p.shape[1], p.dtype)
+
+
 def _start(n: int) -> np.ndarray:
     """States before a document: zeros, and the one that every state ends in, for biases."""
     h = np.zeros((n, HIDDEN + 1), np.float32)
@@ -118,29 +127,38 @@ class Network:
         self.w["W"][:, :, -1] = np.log(count).reshape(-1, CLASS) - np.log(count.reshape(-1, CLASS).sum(1, keepdims=True))
 
     def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        """States before and after each column of input ids x, from states h; keep: and the gates."""
-        w, table = self.w, self.w["E"] @ self.w["X"]
+        """States before and after each column of input ids x, from states h; keep: and the gates.
+
+        The gates (update, reset, new) are arrays of their own, so that all work on them is on whole arrays.
+        """
+        w = self.w
+        table = [w["E"] @ part for part in _thirds(w["X"])]
+        inner = [np.ascontiguousarray(part) for part in _thirds(w["R"])]
         n, t = x.shape
+        x = np.ascontiguousarray(x.T)
         out = np.empty((t + 1, n, HIDDEN + 1), np.float32)
         out[:, :, -1] = 1
         out[0] = h
-        gates, inner, new = (np.empty((t if keep else 1, n, k * HIDDEN), np.float32) for k in (2, 1, 1))
+        held = np.empty((t if keep else 1, 4, n, HIDDEN), np.float32)
+        state = np.ascontiguousarray(h[:, :HIDDEN])
         for i in range(t):
-            k = i if keep else 0
-            a, u = table.take(x[:, i], axis=0), out[i] @ w["R"]
-            g = np.add(a[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=gates[k])
-            np.negative(g, out=g)
-            np.exp(g, out=g)
-            g += 1
-            np.reciprocal(g, out=g)
-            inner[k] = u[:, 2 * HIDDEN :]
-            c = np.multiply(g[:, HIDDEN:], inner[k], out=new[k])
-            c += a[:, 2 * HIDDEN :]
+            z, r, q, c = held[i if keep else 0]
+            for gate, g in ((0, z), (1, r)):
+                np.matmul(out[i], inner[gate], out=g)
+                g += table[gate].take(x[i], axis=0)
+                np.negative(g, out=g)
+                np.exp(g, out=g)
+                g += 1
+                np.reciprocal(g, out=g)
+            np.matmul(out[i], inner[2], out=q)
+            np.multiply(r, q, out=c)
+            c += table[2].take(x[i], axis=0)
             np.tanh(c, out=c)
-            d = out[i, :, :HIDDEN] - c
-            d *= g[:, :HIDDEN]
-            np.add(d, c, out=out[i + 1, :, :HIDDEN])
-        return out, (gates, inner, new)
+            state -= c
+            state *= z
+            state += c
+            out[i + 1, :, :HIDDEN] = state
+        return out, held
 
     def _classes(self, y: np.ndarray) -> np.ndarray:
         return np.where(y == self.size, self.classes, y // CLASS).astype(np.int16)
@@ -153,7 +171,7 @@ class Network:
             part = slice(lo, lo + 4096)
             s = h[part] @ self.w["C"]
             own = s[np.arange(len(s)), cls[part]]
-            out[part] = own - np.log(np.exp(s, out=s).sum(1))
+            out[part] = own - np.log(_sums(np.exp(s, out=s)))
         order = np.argsort(cls, kind="stable")
         edge, sorted_h, sorted_y = np.searchsorted(cls[order], np.arange(self.classes + 1)), h[order], y[order]
         inside = np.zeros(len(y))
@@ -162,14 +180,14 @@ class Network:
                 part = slice(lo, min(lo + 4096, edge[c + 1]))
                 s = sorted_h[part] @ self.w["W"][c].T
                 own = s[np.arange(len(s)), sorted_y[part] - c * CLASS]
-                inside[part] = own - np.log(np.exp(s, out=s).sum(1))
+                inside[part] = own - np.log(_sums(np.exp(s, out=s)))
         out[order] += inside
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """One chunk: inputs x, targets y (-1: none), carried states h. Gradients of the sum of -log probabilities, and the new states."""
         w = self.w
-        out, (gates, inner, new) = self.steps(x, h, keep=True)
+        out, held = self.steps(x, h, keep=True)
         grad = {k: np.zeros_like(v) for k, v in w.items()}
         target = y.T.ravel()
         real = np.flatnonzero(target >= 0)
@@ -182,7 +200,7 @@ class Network:
             part = slice(lo, lo + 4096)
             p = hs[part] @ w["C"]
             np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
+            p /= _sums(p)[:, None]
             p[np.arange(len(p)), cls[part]] -= 1
             grad["C"] += hs[part].T @ p
             dh[part] = p @ w["C"].T
@@ -191,7 +209,7 @@ class Network:
             part = slice(edge[c], edge[c + 1])
             p = hs[part] @ w["W"][c].T
             np.exp(p, out=p)
-            p /= p.sum(1, keepdims=True)
+            p /= _sums(p)[:, None]
             p[np.arange(len(p)), ys[part] - c * CLASS] -= 1
             grad["W"][c] = p.T @ hs[part]
             dh[part] += p @ w["W"][c]
@@ -200,28 +218,40 @@ class Network:
         d_out[real] = dh[:, :HIDDEN]
         d_out = d_out.reshape(t, n, HIDDEN)
         d = np.zeros((n, HIDDEN), np.float32)
-        da, du = np.empty((2, t, n, 3 * HIDDEN), np.float32)
-        back = np.ascontiguousarray(w["R"][:-1].T)
+        dz_all, dr_all, dn_all, dq_all = np.empty((4, t, n, HIDDEN), np.float32)
+        back = [np.ascontiguousarray(part[:-1].T) for part in _thirds(w["R"])]
+        one = np.empty((n, HIDDEN), np.float32)
         for i in range(t - 1, -1, -1):
-            z, r, q, c = gates[i, :, :HIDDEN], gates[i, :, HIDDEN:], inner[i], new[i]
+            (z, r, q, c), dz, dr, dn, dq = held[i], dz_all[i], dr_all[i], dn_all[i], dq_all[i]
             d += d_out[i]
-            dn = (1 - z) * d
-            dn *= 1 - c * c
-            da[i, :, :HIDDEN] = d * (out[i, :, :HIDDEN] - c) * z * (1 - z)
-            da[i, :, HIDDEN : 2 * HIDDEN] = dn * q * r * (1 - r)
-            da[i, :, 2 * HIDDEN :] = dn
-            du[i, :, : 2 * HIDDEN] = da[i, :, : 2 * HIDDEN]
-            np.multiply(dn, r, out=du[i, :, 2 * HIDDEN :])
+            np.subtract(1, z, out=one)
+            np.multiply(one, d, out=dn)
+            one *= z
+            np.subtract(out[i, :, :HIDDEN], c, out=dz)
+            dz *= d
+            dz *= one
+            np.multiply(c, c, out=one)
+            np.subtract(1, one, out=one)
+            dn *= one
+            np.multiply(dn, r, out=dq)
+            np.subtract(1, r, out=one)
+            np.multiply(dq, q, out=dr)
+            dr *= one
             d *= z
-            d += du[i] @ back
-        grad["R"] = out[:-1].reshape(-1, HIDDEN + 1).T @ du.reshape(-1, 3 * HIDDEN)
-        da = da.reshape(-1, 3 * HIDDEN)
+            for part, m in zip((dz, dr, dq), back):
+                np.matmul(part, m, out=one)
+                d += one
+        before = out[:-1].reshape(-1, HIDDEN + 1)
+        flat = lambda v: v.reshape(-1, HIDDEN)
+        grad["R"] = np.concatenate([before.T @ flat(v) for v in (dz_all, dr_all, dq_all)], axis=1)
         ids = x.T.ravel()
-        grad["X"] = w["E"].take(ids, axis=0).T @ da
+        inputs = w["E"].take(ids, axis=0)
+        grad["X"] = np.concatenate([inputs.T @ flat(v) for v in (dz_all, dr_all, dn_all)], axis=1)
+        to_inputs = sum(flat(v) @ part.T for v, part in zip((dz_all, dr_all, dn_all), _thirds(w["X"])))
         order = np.argsort(ids.astype(np.int16) if self.size < 1 << 15 else ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        grad["E"][ids[first]] = np.add.reduceat((da @ w["X"].T)[order], first, axis=0)
+        grad["E"][ids[first]] = np.add.reduceat(to_inputs[order], first, axis=0)
         return grad, out[-1]
 
     def dump(self) -> bytes:
@@ -242,8 +272,8 @@ class Trainer:
         self.net, self.rate, self.step, self.seen, self.held = net, rate, 0, 0, 0
         self.m, self.v, self.sum = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(3))
 
-    def chunk(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Learns rows of ids (-1: none), the first of which is input only, with carried states; returns the new ones."""
+    def chunk(self, ids: np.ndarray, h: np.ndarray, numbers: list[int]) -> np.ndarray:
+        """Learns rows of ids, as Lanes gives them."""
         x, y = ids[:, :-1], ids[:, 1:]
         n = int((y >= 0).sum())
         if not n:
@@ -280,36 +310,39 @@ class Lanes:
     """Whole documents, BATCH side by side: each lane takes a document from its first token to its last, CHUNK tokens
     at a time, with the state carried on, and then the next document, with a new state."""
 
-    def __init__(self, trainer: Trainer):
-        self.trainer = trainer
-        self.queue: list[np.ndarray] = []
-        self.docs: list[np.ndarray] = [np.zeros(0, np.int32)] * BATCH
+    def __init__(self, chunk: Callable[[np.ndarray, np.ndarray, list[int]], np.ndarray]):
+        """chunk: gets rows of ids (-1: none), the first of which is input only, their states and their documents' numbers; returns the new states."""
+        self.chunk = chunk
+        self.queue: list[tuple[int, np.ndarray]] = []
+        self.docs: list[tuple[int, np.ndarray]] = [(-1, np.zeros(0, np.int32))] * BATCH
         self.at = np.zeros(BATCH, dtype=np.int64)
+        self.size = np.zeros(BATCH, dtype=np.int64)
         self.h = _start(BATCH)
+        self.taken = 0
 
     def take(self, docs: list[np.ndarray], last: bool = False) -> None:
-        """Learns from docs until a lane finds no next one; last: to the end of all."""
-        queue = [*self.queue, *docs][::-1]
+        """Goes through docs until a lane finds no next one; last: to the end of all. Documents are numbered as they come."""
+        queue = [*self.queue, *enumerate(docs, self.taken)][::-1]
+        self.taken += len(docs)
         while True:
-            for i in range(BATCH):
-                if self.at[i] >= len(self.docs[i]) and queue:
-                    self.docs[i], self.at[i] = queue.pop(), 0
-                    self.h[i] = _start(1)
-            busy = [i for i in range(BATCH) if self.at[i] < len(self.docs[i])]
-            if not busy or (len(busy) < BATCH and not last):
+            for i in np.flatnonzero(self.at >= self.size).tolist():
+                if not queue:
+                    break
+                self.docs[i] = queue.pop()
+                self.at[i], self.size[i] = 0, len(self.docs[i][1])
+                self.h[i] = _start(1)
+            busy = np.flatnonzero(self.at < self.size)
+            if not len(busy) or (len(busy) < BATCH and not last):
                 break
             ids = np.full((len(busy), CHUNK + 1), -1, dtype=np.int64)
-            for row, i in enumerate(busy):
-                doc, t = self.docs[i], int(self.at[i])
-                part = doc[max(0, t - 1) : t + CHUNK]
-                ids[row, 0] = 0
+            ids[:, 0] = 0
+            for row, (i, t) in enumerate(zip(busy.tolist(), self.at[busy].tolist())):
+                part = self.docs[i][1][max(0, t - 1) : t + CHUNK]
                 first = 0 if t else 1
                 ids[row, first : first + len(part)] = part
-            self.h[busy] = self.trainer.chunk(ids, self.h[busy])
+            self.h[busy] = self.chunk(ids, self.h[busy], [self.docs[i][0] for i in busy.tolist()])
             self.at[busy] += CHUNK
         self.queue = queue[::-1]
-        if last:
-            self.trainer.update()
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -334,12 +367,13 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, look = blob.value
             local = Trainer(Network(look).load(start), rate)
-            lanes = Lanes(local)
+            lanes = Lanes(local.chunk)
             for batch in slices(batches, most=SLICE):
                 codes, th, at = tokens_of(batch.column(0))
                 rank = look.rank(th)
                 lanes.take(np.split(np.where((rank >= 0) & (rank < look.size), rank, look.size).astype(np.int32)[codes], at[1:-1]))
             lanes.take([], last=True)
+            local.update()
             yield pa.RecordBatch.from_arrays([pa.array([local.seen]), pa.array([local.net.dump()], pa.binary())], names=["n", "w"])
 
         return learn
@@ -374,31 +408,44 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
     return net.load(bytes(last["w"])) if last else net
 
 
+class Scorer:
+    """Natural log probability of documents, the state carried from the first token of each to its last."""
+
+    def __init__(self, net: Network):
+        self.net, self.lanes, self.sums = net, Lanes(self.chunk), []
+        self.first = 0  # number of the document that sums begins with
+        self.left: list[int] = []  # tokens that each still waits for
+
+    def chunk(self, ids: np.ndarray, h: np.ndarray, numbers: list[int]) -> np.ndarray:
+        x, y = ids[:, :-1], ids[:, 1:].T.ravel()
+        out, _ = self.net.steps(np.where(x < 0, self.net.size, x), h)
+        real = np.flatnonzero(y >= 0)
+        p = self.net.log_probs(out[1:].reshape(-1, HIDDEN + 1)[real], y[real])
+        row = real % len(ids)
+        for i, v, n in zip(numbers, np.bincount(row, p, minlength=len(ids)).tolist(), np.bincount(row, minlength=len(ids)).tolist()):
+            self.sums[i - self.first] += v
+            self.left[i - self.first] -= n
+        return out[-1]
+
+    def take(self, docs: list[np.ndarray], last: bool = False) -> None:
+        self.sums += [0.0] * len(docs)
+        self.left += [len(d) for d in docs]
+        self.lanes.take(docs, last)
+
+    def done(self, n: int) -> np.ndarray | None:
+        """The results of the next n documents, if all of them are there."""
+        if any(self.left[:n]):
+            return None
+        out = np.array(self.sums[:n])
+        del self.sums[:n], self.left[:n]
+        self.first += n
+        return out
+
+
 def document_log_probs(net: Network, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log probability of each document's ids, the state carried from its first token to its last."""
-    n = np.diff(at)
-    order = np.argsort(-n, kind="stable")
-    size, first = n[order], at[:-1][order]
-    out = np.zeros(len(n))
-    h = _start(len(n))
-    before = np.zeros(len(n), dtype=np.int64)
-    for t in range(0, int(size[0]) if len(n) else 0, COLUMNS):
-        k = int(np.searchsorted(-size, -t, side="left"))  # documents of more than t tokens
-        whole = int(np.searchsorted(-size, -(t + COLUMNS), side="right"))  # and those that fill all columns
-        col = np.arange(min(COLUMNS, int(size[0]) - t))
-        y = ids[np.minimum(first[:k, None] + (t + col), len(ids) - 1)]
-        hs, _ = net.steps(np.concatenate((before[:k, None], y[:, :-1]), axis=1), h[:k])
-        h, before = hs[-1], y[:, -1]
-        if whole:
-            p = net.log_probs(hs[1:, :whole].reshape(-1, HIDDEN + 1), y[:whole].T.ravel())
-            out[:whole] += p.reshape(len(col), whole).sum(0)
-        if k > whole:
-            there = col[:, None] < (size[whole:k] - t)[None, :]
-            _, row = np.nonzero(there)
-            out[whole:k] += np.bincount(row, net.log_probs(hs[1:, whole:k][there], y[whole:].T[there]), minlength=k - whole)
-    back = np.empty(len(n))
-    back[order] = out
-    return back
+    scorer = Scorer(net)
+    scorer.take(np.split(ids, at[1:-1]), last=True)
+    return scorer.done(len(at) - 1)
 
 
 def score(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -417,20 +464,33 @@ def score(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, blob = shared.value
-        model = Network(look).load(blob)
+        scorer, waiting = Scorer(Network(look).load(blob)), []
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            while waiting and (log_probs := scorer.done(waiting[0][0])) is not None:
+                yield waiting.pop(0)[1](log_probs / np.log(10))
+
         for batch in slices(batches, most=SLICE):
             codes, th, at = tokens_of(batch.column(1))
             rank = look.rank(th)
             seen = np.where(rank >= 0, np.log10(look.count[np.maximum(rank, 0)] + 0.1) if len(look.count) else 0.0, 0.0)
-            ids = np.where((rank >= 0) & (rank < look.size), rank, look.size)[codes]
+            ids = np.where((rank >= 0) & (rank < look.size), rank, look.size).astype(np.int32)[codes]
             log, known, own = seen[codes], (rank >= 0)[codes], ids < look.size
             size = np.diff(at)
-            owner = np.repeat(np.arange(len(size)), size)
-            others = np.bincount(owner[~own], minlength=len(size))
-            neural = document_log_probs(model, ids, at) / np.log(10) + np.bincount(owner[~own], log[~own], minlength=len(size)) - others * np.log10(max(look.rest, 0.1))
-            cols = [np.bincount(owner, log, minlength=len(size)), neural]
-            rare = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner[~known], minlength=len(size))))).astype(np.int32), pa.array(th[codes[~known]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(np.bincount(owner[known], minlength=len(size))), *map(pa.array, cols), rare], names=["key", "doc_id", "n_tokens", "known", "head", "neural", "rare"])
+            n = len(size)
+            owner = np.repeat(np.arange(n), size)
+            beside = np.bincount(owner[~own], log[~own], minlength=n) - np.bincount(owner[~own], minlength=n) * np.log10(max(look.rest, 0.1))
+            rare = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.bincount(owner[~known], minlength=n)))).astype(np.int32), pa.array(th[codes[~known]].view(np.int64)))
+            cols = [batch.column(0), batch.column(2), pa.array(size), pa.array(np.bincount(owner[known], minlength=n)), pa.array(np.bincount(owner, log, minlength=n))]
+
+            def row(neural: np.ndarray, cols: list = cols, beside: np.ndarray = beside, rare: pa.Array = rare) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*cols, pa.array(neural + beside), rare], names=["key", "doc_id", "n_tokens", "known", "head", "neural", "rare"])
+
+            waiting.append((n, row))
+            scorer.take(np.split(ids, at[1:-1]))
+            yield from ready()
+        scorer.take([], last=True)
+        yield from ready()
 
     rows = cut(docs.select("key", "text", "doc_id").mapInArrow(run, f"key {kind}, doc_id long, n_tokens long, known long, head double, neural double, rare array<long>"))
     rare = rows.select("key", F.explode("rare").alias("th"))
