@@ -20,13 +20,23 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+BATCH_BYTES = 4 << 20
+
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # another system's library
     _LIBC = None
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of at most BATCH_BYTES, whatever the number of rows (a longer text alone)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    in_small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     deletes such files.
     """
     spark = df.sparkSession
+    in_small_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local[") and sc.master != "local":
