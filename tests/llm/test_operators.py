@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from voxelweave.llm import bpe, chat, decontaminate, lm, pii, queries, rlz, simhash, suffix_levels, syncmers
 
@@ -168,27 +169,68 @@ def test_op3(spark, sf, docs):
     assert sum(got[i]["near_edited"] > 0.1 for i in long_) / len(long_) > 0.9
 
 
-def test_op3_matches_brute_force(spark, docs):
-    df = spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")
-    for r in syncmers.anchors(df).collect():
-        sym = re.findall(r"[^ \t\n\x0b\f\r]{1,4}", docs[r["doc_id"]])
-        assert r["n_symbols"] == len(sym)
-        pairs = {}
-        for a in zip(sym, sym[1:]):
-            pairs.setdefault(a, len(pairs))
-        assert all(0 <= x["pos"] <= len(sym) - syncmers.K for x in r["anchors"])
-        # context-free: equal k-mers are anchors alike, with one hash
-        at, where = {}, {x["pos"]: x["hash"] for x in r["anchors"]}
-        for p in range(len(sym) - syncmers.K + 1):
-            assert at.setdefault(tuple(sym[p : p + syncmers.K]), where.get(p)) == where.get(p)
+def brute_anchors(text):
+    """{hash: first place} of the closed syncmers of a text, k-mer by k-mer."""
+    def h(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    sym = [h(x.encode()) for x in re.findall(r"[^ \t\n\x0b\f\r]{1,4}", text)]
+    short = lambda x: (x % (1 << 64)) >> 33
+    found = [(short(v), i) for i, v in enumerate(sym)] if len(sym) < syncmers.SHORT else []
+    for i in range(len(sym) - syncmers.K + 1):
+        inner = [h(sym[j], sym[j + 1]) for j in range(i, i + syncmers.K - syncmers.S + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            found.append((short(h(inner[0], sym[i + syncmers.S], inner[-1])), i))
+    out = {}
+    for v, i in sorted(found):
+        out.setdefault(v, i)
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    pairs = sorted((a[v], b[v]) for v in a.keys() & b.keys())
+    goes_on = lambda x, y: x[1] > y[1] and abs((x[0] - y[0]) - (x[1] - y[1])) <= syncmers.SLACK
+    kept = sum((i > 0 and goes_on(p, pairs[i - 1])) or (i + 1 < len(pairs) and goes_on(pairs[i + 1], p)) for i, p in enumerate(pairs))
+    return kept / (len(a) + len(b) - kept) if a or b else 0.0
+
+
+def test_op3_matches_brute_force(spark, sf, docs):
+    got, ids = rows(Q["op3_syncmer_fingerprints"](spark, sf)), sorted(docs, reverse=True)
+    for i, nxt in zip(ids, ids[1:] + ids[:1]):
+        t, half = docs[i], len(docs[i]) // 2
+        own, edited, other = (brute_anchors(x) for x in (t, t[: len(t) - half] + docs[nxt][:half], docs[nxt]))
+        assert got[i]["fingerprint"] == "".join(f"{v:08x}" for v in sorted(own)[: syncmers.SKETCH]), i
+        assert got[i]["edited_fingerprint"] == "".join(f"{v:08x}" for v in sorted(edited)[: syncmers.SKETCH]), i
+        assert math.isclose(got[i]["near_edited"], brute_likeness(own, edited)) and math.isclose(got[i]["near_next"], brute_likeness(own, other)), i
 
 
 def test_op3_positions(spark):
     t = " ".join(f"word{i}" for i in range(60))
-    a = syncmers.anchors(spark.createDataFrame([(1, t), (2, "new start " + t)], "doc_id long, text string")).drop("n_symbols")
-    pair = a.where("doc_id = 1").toDF("i", "l").crossJoin(a.where("doc_id = 2").toDF("j", "r"))
-    m = syncmers.match_positions(pair, "l", "r", "m").first()["m"]
+    docs = spark.createDataFrame([(t, "new start " + t, "To To To To " * 40)], "a string, b string, c string")
+    for x in "abc":
+        docs = syncmers.with_anchors(docs, x, f"{x}_an")
+    m = syncmers.match_positions(docs, "a_an", "b_an", "m").select(syncmers.pairs_of(F.col("m")).alias("m")).first()["m"]
     assert len(m) > 20 and {x["right"] - x["left"] for x in m} == {3}
+    m = syncmers.match_positions(docs, "c_an", "c_an", "m").select(syncmers.pairs_of(F.col("m")).alias("m")).first()["m"]  # repeated anchors: each once
+    assert 0 < len(m) < 10 and all(x["left"] == x["right"] for x in m)
+
+
+def test_op3_buckets_whatever_the_ids(spark):
+    """One far id beside many neighbours doesn't put these in one bucket, and buckets rise with the ids."""
+    ids = [*range(9000), 1 << 62, -(1 << 63), -(1 << 63) + 5]
+    df = spark.createDataFrame([(i,) for i in ids], "key long")
+    got = sorted((r["key"], r["b"]) for r in df.withColumn("b", syncmers._bucket(df, F.col("key"))).collect())
+    assert [b for _, b in got] == sorted(b for _, b in got)
+    assert max(collections.Counter(b for _, b in got).values()) < 6 * syncmers.DENSITY
+    some = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
+    nxt = {int(r["text"]): int(r["next_text"]) for r in syncmers.with_next(some).collect()}
+    order = sorted(ids, reverse=True)
+    assert nxt == dict(zip(order, order[1:] + order[:1]))
 
 
 def test_op4(spark, sf, docs):
