@@ -341,13 +341,13 @@ def test_op7_tail_is_joined(spark, sf, monkeypatch):
 
 
 def test_op7_probabilities_sum_to_one():
-    import numpy as np
-
     look = lm.Lookup(np.arange(300, dtype=np.uint64), np.arange(600, 300, -1), 200_000, 5000)
     net = lm.Network(look)
-    for k in ("C", "W"):
-        net.w[k] = np.random.default_rng(0).normal(0, 0.3, net.w[k].shape).astype(np.float32)
-    h = np.repeat(np.random.default_rng(1).normal(0, 1, (1, lm.HIDDEN)).astype(np.float32), 301, axis=0)
+    r = np.random.default_rng(0)
+    net.w["C"] = r.normal(0, 0.3, net.w["C"].shape).astype(np.float32)
+    net.w["W"][:, :, :-1] = r.normal(0, 0.1, net.w["W"][:, :, :-1].shape)  # biases keep what fills the last class up out of it
+    h = np.repeat(np.random.default_rng(1).normal(0, 1, (1, lm.HIDDEN + 1)).astype(np.float32), 301, axis=0)
+    h[:, -1] = 1
     assert math.isclose(np.exp(net.log_probs(h, np.arange(301))).sum(), 1, rel_tol=1e-4)
 
 
@@ -409,6 +409,15 @@ def test_op9_redaction(spark):
     assert {r["doc_id"]: (r["text"], r["spans"]) for r in pii.redact(df, None).collect()} == {1: ("to [EMAIL] or [IP]!", "x"), 2: (None, "y"), 3: ("", "z")}
 
 
+def test_op10_takes_counted_tokens(spark):
+    """Windows follow a column of counts, such as the encoder gives, instead of the estimate."""
+    rows_ = [(1, t, ("user", "assistant")[t % 2], "word " * 30, 200) for t in range(6)]
+    df = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string, n long")
+    got = {k: chat.format_conversations(df, counted=k).count() for k in (None, "n")}
+    assert got[None] < got["n"] == 3
+    assert [r["n_tokens"] for r in chat.format_conversations(df, budget=100_000, counted="n").collect()] == [6 * (200 + chat.FRAME)]
+
+
 def test_op10(spark, sf):
     convs = collections.defaultdict(list)
     for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():

@@ -8,9 +8,15 @@ and cut into windows: prefix sums of the turns' tokens say where the budget ends
 repeats the system turn and the last few turns before it as far as they fit, and puts the loss on its own
 assistant turns only, so that a repeated target is masked and every target counts once.
 
+A turn's tokens are those of a column that the caller names (bpe.with_ids() counts them exactly), or else an estimate
+that needs no vocabulary: a token for every started TOKEN_BYTES bytes of each word, and FRAME for the marks.
+
+A window takes only its own turns along. A conversation is put in order, and its windows are laid out, by one task, as
+each cut depends on the one before: its cost grows with its turns, and its memory with its text.
+
 Defined cases. Null text and null role: empty. Turns are ordered by (turn, role, text), nulls first; repeated
 rows are turns of their own. A turn over the budget makes a window alone. A null conv_id is one conversation.
-No rows: no windows. Other columns are ignored.
+No rows: no windows. A very long text is one turn, whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from .common import table
 BUDGET = 512  # tokens of a window
 HISTORY = 2  # turns that a later window repeats
 FRAME = 4  # tokens that a turn's marks count for
+TOKEN_BYTES = 4
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Strings that some chat template gives a meaning; a backslash after their first character disarms them.
@@ -49,16 +56,21 @@ def unescape_role(role: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))) + FRAME
+    """The estimate, without the marks."""
+    words = F.regexp_extract_all(text, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.floor((F.octet_length(w) + (TOKEN_BYTES - 1)) / TOKEN_BYTES))
 
 
-def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Rows (conv_id, window, formatted, n_repeated, n_tokens, loss): loss holds (start, length) in code points."""
+def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, counted: str | None = None) -> DataFrame:
+    """Rows (conv_id, window, formatted, n_repeated, n_tokens, loss): loss holds (start, length) in code points.
+
+    counted: the column with the tokens of each turn's text; None: they are estimated.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = (
-        conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+        conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (tokens(F.coalesce("text", F.lit(""))) if counted is None else F.coalesce(F.col(counted).cast("long"), F.lit(0).cast("long"))).alias("tok"))
         .withColumn("rn", F.row_number().over(order))
-        .withColumn("tok", tokens(F.col("text")).cast("long"))
+        .withColumn("tok", F.col("tok") + FRAME)
         .withColumn("body", escape(F.col("text")))
         .withColumn("head", F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n")))
         .withColumn("size", F.length("head") + F.length("body") + len(CLOSE) + 1)
@@ -87,19 +99,24 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
 
     start = F.struct(F.array(F.col("sys")).alias("cuts"), F.lit(budget).cast("long").alias("limit"))
     chats = chats.withColumn("cuts", F.aggregate("t", start, step)["cuts"])
-    windows = chats.select("conv_id", "t", "sys", "sys_tok", "cuts", F.posexplode("cuts").alias("window", "a"))
-    windows = windows.withColumn("b", F.coalesce(F.get(F.col("cuts"), F.col("window") + 1), F.size("t"))).withColumn("h", F.when(F.col("window") == 0, F.col("a")).otherwise(before(F.col("a"))))
-    part = lambda a, b: F.slice(F.col("t"), a + 1, b - a)
-    windows = windows.withColumn("inside", F.concat(part(F.lit(0), F.col("sys")), part(F.col("h"), F.col("b"))))
-    written = F.array_join(F.transform("inside", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE + "\n"))), "")
+    part = lambda a, b: F.slice(t, a + 1, b - a)
     # characters before turn x of this window: the system turn's, then those from turn h on
-    at = lambda i: F.when(i > 0, F.get(F.col("t"), i - 1)["c"]).otherwise(F.lit(0).cast("long"))
-    lead = at(F.col("sys")) - at(F.col("h"))
-    own = F.filter(part(F.col("a"), F.col("b")), lambda x: x["role"] == "assistant")
-    loss = F.transform(own, lambda x: F.struct((lead + x["c"] - x["size"] + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length")))
+    at = lambda i: F.when(i > 0, F.get(t, i - 1)["c"]).otherwise(F.lit(0).cast("long"))
+    system = F.col("sys")
+
+    def window(a: Column, w: Column) -> Column:
+        b = F.coalesce(F.get("cuts", w + 1), F.size(t))
+        h = F.when(w == 0, a).otherwise(before(a))
+        return F.struct(
+            w.cast("int").alias("window"), F.concat(part(F.lit(0), system), part(h, b)).alias("inside"), part(a, b).alias("new"), (at(system) - at(h)).alias("lead"),
+        )
+
+    windows = chats.select("conv_id", F.explode(F.transform("cuts", window)).alias("w")).select("conv_id", "w.*")
+    written = F.array_join(F.transform("inside", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE + "\n"))), "")
+    own = F.filter("new", lambda x: x["role"] == "assistant")
+    loss = F.transform(own, lambda x: F.struct((F.col("lead") + x["c"] - x["size"] + F.length(x["head"])).alias("start"), F.length(x["body"]).cast("long").alias("length")))
     return windows.select(
-        "conv_id", "window", written.alias("formatted"),
-        F.when(F.col("window") == 0, 0).otherwise(F.size("inside") - (F.col("b") - F.col("a"))).alias("n_repeated"),
+        "conv_id", "window", written.alias("formatted"), F.when(F.col("window") == 0, 0).otherwise(F.size("inside") - F.size("new")).alias("n_repeated"),
         F.aggregate("inside", F.lit(0).cast("long"), lambda acc, x: acc + x["tok"]).alias("n_tokens"), loss.alias("loss"),
     )
 
@@ -136,7 +153,7 @@ WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
 ), e AS (
-  SELECT *, row_number() OVER w AS rn, len(regexp_extract_all(text, '{_WORD}')) + {FRAME} AS tok,
+  SELECT *, row_number() OVER w AS rn, coalesce(list_sum([(strlen(w) + {TOKEN_BYTES - 1}) // {TOKEN_BYTES} for w in regexp_extract_all(text, '{_WORD}')]), 0)::BIGINT + {FRAME} AS tok,
     {len(OPEN) + len(CLOSE) + 2} + length(replace(regexp_replace(replace(role, '\', '\\'), '(<)(\||/?s>)|(\[)(/?INST\])', '\1\3' || '\\' || '\2\4', 'g'), chr(10), '<\nl|'))
       + length(regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>)|(\[)(/?INST\])', '\1\3' || '\\' || '\2\4', 'g')) AS size
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
