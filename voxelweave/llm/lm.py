@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, documents, release, slices, word_ids, words_of
+from .common import buffer_of, cut, documents, lowered, slices, word_ids, words_of
 from .repeats import keyed
 
 VOCAB, CLASS = 4096, 64
@@ -53,10 +53,8 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All tokens as numbers among the distinct ones, each document's last being its end; the hashes of these; and
     the offsets of the documents among the tokens."""
     data, offsets = buffer_of(column)
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
     starts, stops, at = words_of(data, offsets)
-    codes, distinct = word_ids(lower[data], starts, stops)
+    codes, distinct = word_ids(lowered(data), starts, stops)
     digest = xxhash.xxh3_64_intdigest
     hashes = np.fromiter((digest(x, _SEED) for x in distinct.to_pylist()), dtype=np.uint64, count=len(distinct))
     out = np.full(len(starts) + len(at) - 1, len(distinct), dtype=np.int32)
