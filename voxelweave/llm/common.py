@@ -15,9 +15,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are what lies between ASCII white space: space and \t \n \v \f \r.
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 BATCH_BYTES = 4 << 20
@@ -125,6 +122,16 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """ASCII white space: space and \\t \\n \\v \\f \\r. Words are what lies between."""
+    return (data == 32) | (data - np.uint8(9) < 5)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A to Z made small."""
+    return data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the n+1 offsets of the documents in the word list.
 
@@ -134,7 +141,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if not n:
         z = np.zeros(0, dtype=np.int64)
         return z, z, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~_SPACE[data]
+    inside = ~is_space(data)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = offsets[:-1][offsets[:-1] < n]
@@ -148,25 +155,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def joined_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All words with one space after each, and the n+1 offsets of the words in it."""
+    """All words of data with one space after each, and the n+1 offsets of the words in it."""
     size = stops - starts + 1
     at = np.concatenate(([0], np.cumsum(size)))
     out = np.full(at[-1], 32, dtype=np.uint8)
     inside = np.ones(at[-1], dtype=bool)
     inside[at[1:] - 1] = False
-    take = np.zeros(len(data) + 1, dtype=np.int8)
-    take[starts] += 1
-    take[stops] -= 1
-    out[inside] = data[np.cumsum(take[:-1], dtype=np.int8).view(bool)]
+    out[inside] = data[~is_space(data)]
     return out, at
 
 
 def word_ids(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The number of each word among the distinct words, and these; words are compared as bytes."""
-    take = np.zeros(len(data) + 1, dtype=np.int8)
-    take[starts] += 1
-    take[stops] -= 1
-    packed = data[np.cumsum(take[:-1], dtype=np.int8).view(bool)]
+    """The number of each word of data among the distinct words, and these; words are compared as bytes."""
+    packed = data[~is_space(data)]
     at = np.concatenate(([0], np.cumsum(stops - starts)))
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(packed)])
     coded = words.dictionary_encode()

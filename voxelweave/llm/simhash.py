@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, documents, joined_words, partitions, release, slices, words_of
+from .common import buffer_of, cut, documents, joined_words, lowered, partitions, release, slices, words_of
 
 SHINGLE = 4
 BITS = 4  # differing bits of a link
@@ -73,11 +73,9 @@ def fuzzy_keys(x: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, th, fp): fp the signed 64-bit value of the fingerprint, th a hash of the text that tells rows of one doc_id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        upper = np.arange(256, dtype=np.uint8)
-        upper[65:91] += 32
         for batch in slices(batches):
             data, offsets = buffer_of(batch.column(1))
-            data = upper[data]
+            data = lowered(data)
             starts, stops, docs_at = words_of(data, offsets)
             joined, at = joined_words(data, starts, stops)
             view = memoryview(joined.tobytes())
