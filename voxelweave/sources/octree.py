@@ -39,7 +39,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..functions.voxel import Octree
 from .chunk import ALL, CORE, decode_chunk
 from .encode import encode_chunk
-from .records import DIM_BYTES, ENTRY, HEADER_BYTES, INFO_BYTES, POINT, Dimension, FormatError, Header, Info, Vlr, find_vlr, pack_page, parse_dimensions, parse_page, parse_vlrs
+from .records import DIM_BYTES, ENTRY, HEADER_BYTES, INFO_BYTES, POINT, Dimension, FormatError, Header, Info, Vlr, find_vlr, kind_of, pack_page, parse_dimensions, parse_page, parse_vlrs
 
 
 log = logging.getLogger(__name__)
@@ -71,6 +71,36 @@ def files_of(path: str) -> list[str]:
     return sorted(f"{base}/{posixpath.basename(f)}" for f in own)
 
 
+class Opened:
+    """A file that is open already, or any seekable stream of bytes, read by offset. leave_open: close() leaves it so."""
+
+    def __init__(self, stream: object, leave_open: bool = True):
+        self.stream, self.leave_open = stream, leave_open
+
+    def read_at(self, n: int, at: int) -> bytes:
+        self.stream.seek(at)
+        return self.stream.read(n)
+
+    def close(self) -> None:
+        if not self.leave_open:
+            self.stream.close()
+
+    def __enter__(self) -> "Opened":
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def read_points(f: "pa.NativeFile | Opened", streams: frozenset = ALL) -> Iterator[tuple[tuple[int, ...], dict[str, np.ndarray | None]]]:
+    """Without Spark: the key of each node of one file and its points as columns, in file order."""
+    meta = read_meta(f)
+    entries, _ = read_entries(f, meta.info)
+    for e in entries[np.argsort(entries["offset"], kind="stable")]:
+        if kind_of(e) == "node":
+            yield tuple(int(e[k]) for k in "dxyz"), points_of(decode(read_at(f, int(e["offset"]), int(e["byte_size"])), int(e["point_count"]), meta.header, streams), meta)
+
+
 def read_at(f: pa.NativeFile, at: int, n: int) -> bytes:
     data = f.read_at(n, at)
     if len(data) < n:

@@ -187,6 +187,29 @@ def parse_dimensions(data: bytes) -> list[Dimension]:
     return out
 
 
+@dataclass(frozen=True)
+class Extents:
+    """Least and greatest value of dimensions, by name."""
+
+    values: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def put(self, name: str, low: float, high: float) -> "Extents":
+        return Extents({**self.values, name: (low, high)})
+
+    def get(self, name: str) -> tuple[bool, float, float]:
+        """Whether the dimension is known, and its extent, 0 to 0 if not."""
+        return (name in self.values, *self.values.get(name, (0.0, 0.0)))
+
+    def __str__(self) -> str:
+        return f"extents of {len(self.values)} dimensions"
+
+
+def kind_of(entry: np.void | tuple) -> str:
+    """"page" for an entry that stands for a further page, "node" for one with points, "empty" for one without."""
+    n = int(entry["point_count"] if isinstance(entry, np.void) else entry[-1])
+    return "page" if n < 0 else "node" if n else "empty"
+
+
 def parse_page(data: bytes) -> np.ndarray:
     """Entries of a hierarchy page: nodes, and with point_count -1 further pages; of equal keys the last counts."""
     if len(data) % ENTRY.itemsize:
