@@ -1,6 +1,7 @@
 """Walking the tree with a verdict for each node: (keep in cache, show, go on to the children).
 
-A node that doesn't go on stops all its descendants. When ancestors come before descendants, as in any
+A node that doesn't go on stops all its descendants; a page of the hierarchy that doesn't, all that is in it, the node of
+its own key included. When ancestors come before descendants, as in any
 well-formed file, that is one anti join of the nodes against their stopped ancestors; with in_order, an ancestor
 stops only what comes after it in the file.
 """
@@ -27,6 +28,7 @@ class Context:
     point_count: Column
     bounds: dict[str, Column]
     key: Column
+    is_node: Column  # false for a page, whose point_count is -1
 
     @property
     def center(self) -> tuple[Column, ...]:
@@ -36,20 +38,28 @@ class Context:
 Verdict = Callable[[Context], tuple[Column, Column, Column]]
 
 
-def traverse(nodes: DataFrame, verdict: Verdict, in_order: bool = False) -> DataFrame:
-    """The reached nodes with columns cached and viewed."""
-    k = voxel.key(F.col("d"), F.col("kx"), F.col("ky"), F.col("kz"))
-    cache, view, more = verdict(Context(F.col("d"), F.col("resolution"), F.col("point_count"), box_columns(), k))
+def _context(point_count: Column, is_node: bool) -> Context:
+    k = voxel.key(*[F.col(c) for c in OWN])
+    return Context(F.col("d"), F.col("resolution"), point_count, box_columns(), k, F.lit(is_node))
+
+
+OWN = ["d", "kx", "ky", "kz"]
+
+
+def traverse(nodes: DataFrame, verdict: Verdict, in_order: bool = False, pages: DataFrame | None = None) -> DataFrame:
+    """The reached nodes with columns cached and viewed. pages: entries of further pages, judged apart, with the nodes' key, bounds and resolution."""
+    here = _context(F.col("point_count"), True)
+    cache, view, more = verdict(here)
     judged = nodes.withColumn("cached", cache).withColumn("viewed", view).withColumn("_more", more)
-    own = ["d", "kx", "ky", "kz"]
     seq = ["seq"] if in_order else []
-    stops = judged.where(~F.col("_more")).select(*[F.col(c).alias(f"_s{c}") for c in own + seq])
-    up = judged.select(*own, *seq, F.explode(voxel.ancestors(k)).alias("a"))
+    stops = judged.where(~F.col("_more")).select(*[F.col(c).alias(f"_s{c}") for c in OWN + seq])
     same = (F.col("a.d") == F.col("_sd")) & (F.col("a.x") == F.col("_skx")) & (F.col("a.y") == F.col("_sky")) & (F.col("a.z") == F.col("_skz"))
-    if in_order:
-        same = same & (F.col("_sseq") < F.col("seq"))
-    hidden = up.join(stops, same, "left_semi").select(*own).distinct()
-    return judged.join(hidden, own, "left_anti").drop("_more")
+    above = lambda keys: judged.select(*OWN, *seq, F.explode(keys).alias("a"))
+    hidden = above(voxel.ancestors(here.key)).join(stops, same & (F.col("_sseq") < F.col("seq")) if in_order else same, "left_semi").select(*OWN)
+    if pages is not None:
+        closed = pages.where(~verdict(_context(F.lit(-1), False))[2]).select(*[F.col(c).alias(f"_s{c}") for c in OWN])
+        hidden = hidden.union(above(F.concat(F.array(here.key), voxel.ancestors(here.key))).join(closed, same, "left_semi").select(*OWN))
+    return judged.join(hidden.distinct(), OWN, "left_anti").drop("_more")
 
 
 def shape(s: Shape, resolution: float = 0, go_on: bool = True) -> Verdict:

@@ -276,6 +276,23 @@ _DEEP = f"{_box_meets(BOX)} AND resolution <= greatest(CAST(8 AS DOUBLE), {_d(1
 _walk("traverse_view_depth", _DEEP, _DEEP, _box_meets(BOX), traverse.view_depth(BOX, EYE, VIEW, 1 / 128, 8.0))
 
 
+_PAGED = f"""v AS (SELECT *, d < 3 AS more FROM nodes), closed AS (SELECT * FROM nodes WHERE d = 1 AND NOT ({_box_meets(BOX)}))
+SELECT d, kx, ky, kz, true AS cached, d = 3 AS viewed FROM v WHERE NOT EXISTS (
+  SELECT 1 FROM v p WHERE NOT p.more AND p.d < v.d AND v.kx >> (v.d - p.d) = p.kx AND v.ky >> (v.d - p.d) = p.ky AND v.kz >> (v.d - p.d) = p.kz)
+AND NOT EXISTS (SELECT 1 FROM closed p WHERE p.d <= v.d AND v.kx >> (v.d - p.d) = p.kx AND v.ky >> (v.d - p.d) = p.ky AND v.kz >> (v.d - p.d) = p.kz)"""
+
+
+@query("traverse_pages", f", {_PAGED}")
+def traverse_pages(s: SparkSession, d: str) -> DataFrame:
+    """A hierarchy with a page for each node of depth 1: pages away from the box aren't opened."""
+    n = _nodes(s, d)
+
+    def verdict(c: traverse.Context) -> tuple[Column, Column, Column]:
+        return F.lit(True), c.depth == 3, F.when(c.is_node, c.depth < 3).otherwise(BOX.meets(c.bounds))
+
+    return traverse.traverse(n, verdict, pages=select.layer(n, 1)).select(*KEY, "cached", "viewed")
+
+
 # points ---------------------------------------------------------------------------------------------------------
 
 POINT = ["point_id", "X", "Y", "Z", "classification"]

@@ -7,6 +7,7 @@ Sequential by nature: a chunk is decoded by one task, and tasks decode chunks si
 from __future__ import annotations
 
 from bisect import bisect_right, insort
+from itertools import accumulate
 
 #: Fixed values of the scheme: least range, and bits of a model's probabilities (bit models, symbol models).
 LEAST_RANGE = 1 << 24
@@ -36,7 +37,7 @@ class SymbolModel:
     """Cumulative frequencies of n symbols, brought up to date in ever longer cycles."""
 
     def __init__(self, n: int):
-        self.counts, self.total, self.cycle, self.longest = [1] * n, 0, n, (n + 6) << 3
+        self.counts, self.total, self.cycle, self.longest, self.last = [1] * n, 0, n, (n + 6) << 3, n - 1
         self._refresh()
         self.cycle = self.left = (n + 6) >> 1
 
@@ -45,10 +46,8 @@ class SymbolModel:
         if self.total > 1 << SYMBOL_SHIFT:
             self.counts = [(c + 1) >> 1 for c in self.counts]
             self.total = sum(self.counts)
-        scale, at, self.below = (1 << 31) // self.total, 0, []
-        for c in self.counts:
-            self.below.append((scale * at) >> (31 - SYMBOL_SHIFT))
-            at += c
+        scale, shift = (1 << 31) // self.total, 31 - SYMBOL_SHIFT
+        self.below = [scale * at >> shift for at in accumulate(self.counts[:-1], initial=0)]
         self.cycle = self.left = min(self.longest, (5 * self.cycle) >> 2)
 
     def seen(self, symbol: int) -> None:
@@ -60,7 +59,7 @@ class SymbolModel:
 
 class RangeDecoder:
     def __init__(self, data: bytes):
-        self.data, self.at = data, 4
+        self.data, self.at, self.end = data, 4, len(data)
         self.value, self.range = int.from_bytes(data[:4].ljust(4, b"\0"), "big"), 0xFFFFFFFF
 
     def _narrow(self, low: int, size: int) -> None:
@@ -68,7 +67,7 @@ class RangeDecoder:
         self.value -= low
         self.range = size
         while self.range < LEAST_RANGE:
-            self.value = (self.value << 8) | (self.data[self.at] if self.at < len(self.data) else 0)
+            self.value = (self.value << 8) | (self.data[self.at] if self.at < self.end else 0)
             self.at += 1
             self.range <<= 8
 
@@ -80,12 +79,21 @@ class RangeDecoder:
         return out
 
     def symbol(self, model: SymbolModel) -> int:
-        unit = self.range >> SYMBOL_SHIFT
-        s = bisect_right(model.below, self.value // unit) - 1
-        low = model.below[s] * unit
-        high = model.below[s + 1] * unit if s + 1 < len(model.below) else self.range
-        self._narrow(low, high - low)
-        model.seen(s)
+        """The innermost loop of decoding, hence written out instead of calling _narrow() and seen()."""
+        below, unit = model.below, self.range >> SYMBOL_SHIFT
+        s = bisect_right(below, self.value // unit) - 1
+        low = below[s] * unit
+        value = self.value - low
+        size = (below[s + 1] * unit if s < model.last else self.range) - low
+        while size < LEAST_RANGE:
+            value = value << 8 | (self.data[self.at] if self.at < self.end else 0)
+            self.at += 1
+            size <<= 8
+        self.value, self.range = value, size
+        model.counts[s] += 1
+        model.left -= 1
+        if not model.left:
+            model._refresh()
         return s
 
     def raw(self, n: int) -> int:
