@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +62,30 @@ def cut(df: DataFrame) -> DataFrame:
     sc._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    for made in _SINCE:
+        made.append(out)
+    return out
+
+
+_SINCE: list[list[DataFrame]] = []
+
+
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """cut(make()), after which all other tables that cut() has written meanwhile are deleted."""
+    _SINCE.append([])
+    try:
+        out = cut(make())
+        release(*(df for df in _SINCE[-1] if df is not out))
+    finally:
+        _SINCE.pop()
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Deletes the tables of cut() that nothing will read any more."""
+    """Deletes those of the tables that cut() wrote; nothing will read them any more."""
     for df in tables:
+        if not hasattr(df, "cut_path"):
+            continue
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

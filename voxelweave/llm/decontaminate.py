@@ -9,7 +9,8 @@ pass the positional and the length bound, and are verified shingle by shingle.
 
 Defined cases. Null or wordless text: no words, no hits. A row is known by doc_id and a hash of its text, so
 repeated rows get equal results, and different texts under one doc_id, or under none, stay apart. Items
-without words match nothing; item_id null matches but is not listed. Other columns are ignored.
+without words match nothing; item_id null matches but is not listed. A very long text is one row of words. No rows: no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def _item_windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     w = w.withColumn("len", F.least(F.size("w"), F.lit(window))).withColumn("g", F.least("len", F.lit(shingle)))
     w = w.select("item_id", "w", "len", "g", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("start"))
     w = w.select("item_id", "len", "g", F.slice("w", F.col("start") + 1, F.col("len")).alias("w"))
-    w = w.select("item_id", "len", "g", F.concat_ws(" ", "w").alias("wid"), "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("g"))).alias("off")).distinct()
+    w = w.select("item_id", "len", "g", F.unhex(F.md5(F.concat_ws(" ", "w"))).alias("wid"), "w", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("g"))).alias("off")).distinct()
     each = [(g, _shingle(F.col("w"), F.col("off"), g), _hash(F.col("w"), F.col("off"), g)) for g in range(1, shingle + 1)]
     sh = F.coalesce(*[F.when(F.col("g") == g, s) for g, s, _ in each])
     h = F.coalesce(*[F.when(F.col("g") == g, x) for g, _, x in each])

@@ -17,7 +17,8 @@ instead of pairs. Components come from rounds of least-neighbour propagation wit
 checkpointed; nothing is collected.
 
 Defined cases. Null text: empty. A text without words has fingerprint zero. A null doc_id keeps its row and
-never names a component (one whose ids are all null has none). Repeated rows link as equal fingerprints.
+never names a component (one whose ids are all null has none). Repeated rows link as equal fingerprints. A very long
+text is hashed whole, its bits unpacked in parts. No rows: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
