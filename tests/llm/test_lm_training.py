@@ -1,17 +1,20 @@
 """What the network of op7 is trained on."""
 
 import numpy as np
+import pytest
 
 from voxelweave.llm import lm
 
 
-def test_lanes_learn_every_token_once_with_the_state_carried():
+@pytest.mark.parametrize("batch", [16, 512])
+def test_lanes_learn_every_token_once_with_the_state_carried(batch, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", batch)
     r = np.random.default_rng(0)
     docs = [r.integers(0, 50, n).astype(np.int32) for n in (1, 31, 32, 33, 64, 1000, *r.integers(1, 200, 300))]
     seen = []
 
     def watch(ids, h, numbers):
-        for row, state, k in zip(ids, h, numbers):
+        for row, state, k in zip(ids, h, numbers.tolist()):
             y = row[1:]
             n = int((y >= 0).sum())
             assert (y[n:] < 0).all() and n

@@ -38,9 +38,9 @@ from .repeats import keyed
 
 VOCAB, CLASS = 4096, 64
 EMBED, HIDDEN = 16, 32
-HEAD = 1 << 16
+HEAD = 1 << 18
 WARM = 2500
-CHUNK, BATCH = 32, 512
+CHUNK, BATCH = 32, 256
 LEARN = 8192  # tokens of an update, at least
 SLICE = 2 << 20
 FANIN = 16
@@ -270,7 +270,7 @@ class Trainer:
         self.net, self.rate, self.step, self.seen, self.held = net, rate, 0, 0, 0
         self.m, self.v, self.sum = ({k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(3))
 
-    def chunk(self, ids: np.ndarray, h: np.ndarray, numbers: list[int]) -> np.ndarray:
+    def chunk(self, ids: np.ndarray, h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         """Learns rows of ids, as Lanes gives them."""
         x, y = ids[:, :-1], ids[:, 1:]
         n = int((y >= 0).sum())
@@ -308,39 +308,52 @@ class Lanes:
     """Whole documents, BATCH side by side: each lane takes a document from its first token to its last, CHUNK tokens
     at a time, with the state carried on, and then the next document, with a new state."""
 
-    def __init__(self, chunk: Callable[[np.ndarray, np.ndarray, list[int]], np.ndarray]):
+    def __init__(self, chunk: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]):
         """chunk: gets rows of ids (-1: none), the first of which is input only, their states and their documents' numbers; returns the new states."""
         self.chunk = chunk
-        self.queue: list[tuple[int, np.ndarray]] = []
-        self.docs: list[tuple[int, np.ndarray]] = [(-1, np.zeros(0, np.int32))] * BATCH
-        self.at = np.zeros(BATCH, dtype=np.int64)
-        self.size = np.zeros(BATCH, dtype=np.int64)
+        self.flat = np.zeros(0, np.int32)  # the tokens that are left, of lanes and queue
+        self.at, self.end, self.number = (np.zeros(BATCH, dtype=np.int64) for _ in range(3))
+        self.fresh = np.zeros(BATCH, dtype=bool)
         self.h = _start(BATCH)
+        self.queue: list[tuple[int, np.ndarray]] = []
         self.taken = 0
 
+    def _gather(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Puts what lanes still have and all waiting documents, the longest first, one after another; numbers, starts and ends of the latter."""
+        waiting = [*self.queue, *enumerate(docs, self.taken)]
+        waiting.sort(key=lambda d: -len(d[1]))
+        self.taken += len(docs)
+        busy = np.flatnonzero(self.at < self.end)
+        parts = [self.flat[max(0, a - 1) : b] for a, b in zip(self.at[busy].tolist(), self.end[busy].tolist())]
+        before = np.minimum(1, self.at[busy])  # the token before, which is an input
+        edge = np.concatenate(([0], np.cumsum([len(p) for p in parts] + [len(d) for _, d in waiting])))
+        self.flat = np.concatenate([*parts, *(d for _, d in waiting), np.zeros(0, np.int32)]).astype(np.int32)
+        self.at[:], self.end[:] = 0, 0
+        self.at[busy], self.end[busy] = edge[: len(busy)] + before, edge[1 : len(busy) + 1]
+        return np.array([i for i, _ in waiting], dtype=np.int64), edge[len(busy) : -1], edge[len(busy) + 1 :]
+
     def take(self, docs: list[np.ndarray], last: bool = False) -> None:
         """Goes through docs until a lane finds no next one; last: to the end of all. Documents are numbered as they come."""
-        queue = [*self.queue, *enumerate(docs, self.taken)][::-1]
-        self.taken += len(docs)
+        number, start, end = self._gather(docs)
+        q, col = 0, np.arange(-1, CHUNK)
         while True:
-            for i in np.flatnonzero(self.at >= self.size).tolist():
-                if not queue:
-                    break
-                self.docs[i] = queue.pop()
-                self.at[i], self.size[i] = 0, len(self.docs[i][1])
-                self.h[i] = _start(1)
-            busy = np.flatnonzero(self.at < self.size)
+            free = np.flatnonzero(self.at >= self.end)[: len(number) - q]
+            if len(free):
+                own = slice(q, q + len(free))
+                self.at[free], self.end[free], self.number[free] = start[own], end[own], number[own]
+                self.h[free], self.fresh[free] = _start(1), True
+                q += len(free)
+            busy = np.flatnonzero(self.at < self.end)
             if not len(busy) or (len(busy) < BATCH and not last):
                 break
-            ids = np.full((len(busy), CHUNK + 1), -1, dtype=np.int64)
-            ids[:, 0] = 0
-            for row, (i, t) in enumerate(zip(busy.tolist(), self.at[busy].tolist())):
-                part = self.docs[i][1][max(0, t - 1) : t + CHUNK]
-                first = 0 if t else 1
-                ids[row, first : first + len(part)] = part
-            self.h[busy] = self.chunk(ids, self.h[busy], [self.docs[i][0] for i in busy.tolist()])
+            place = self.at[busy][:, None] + col
+            ids = self.flat[np.clip(place, 0, len(self.flat) - 1)].astype(np.int64)
+            ids[place >= self.end[busy][:, None]] = -1
+            ids[self.fresh[busy], 0] = 0
+            self.h[busy] = self.chunk(ids, self.h[busy], self.number[busy])
+            self.fresh[busy] = False
             self.at[busy] += CHUNK
-        self.queue = queue[::-1]
+        self.queue = [(int(number[i]), self.flat[start[i] : end[i]]) for i in range(q, len(number))]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -414,13 +427,13 @@ class Scorer:
         self.first = 0  # number of the document that sums begins with
         self.left: list[int] = []  # tokens that each still waits for
 
-    def chunk(self, ids: np.ndarray, h: np.ndarray, numbers: list[int]) -> np.ndarray:
+    def chunk(self, ids: np.ndarray, h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         x, y = ids[:, :-1], ids[:, 1:].T.ravel()
         out, _ = self.net.steps(np.where(x < 0, self.net.size, x), h)
         real = np.flatnonzero(y >= 0)
         p = self.net.log_probs(out[1:].reshape(-1, HIDDEN + 1)[real], y[real])
         row = real % len(ids)
-        for i, v, n in zip(numbers, np.bincount(row, p, minlength=len(ids)).tolist(), np.bincount(row, minlength=len(ids)).tolist()):
+        for i, v, n in zip(numbers.tolist(), np.bincount(row, p, minlength=len(ids)).tolist(), np.bincount(row, minlength=len(ids)).tolist()):
             self.sums[i - self.first] += v
             self.left[i - self.first] -= n
         return out[-1]
