@@ -658,6 +658,18 @@ def warm_missing(s: SparkSession, d: str) -> DataFrame:
     return select.meeting(n, SPHERE).join(select.meeting(n, BOX).select(*KEY), KEY, "left_anti").select(*NODE)
 
 
+_CACHED = "l AS (SELECT key, row_number() OVER (ORDER BY max(seq) DESC) AS rank FROM log WHERE session = 1 GROUP BY key)"
+
+
+@query("export_cached", f"{_LOG}, {_CACHED} SELECT p.point_id, l.rank, p.X::FLOAT::DOUBLE AS px, p.Y::FLOAT::DOUBLE AS py, p.Z::FLOAT::DOUBLE AS pz, p.d AS depth FROM pts p JOIN l ON l.key = p.d || '-' || p.kx || '-' || p.ky || '-' || p.kz")
+def export_cached(s: SparkSession, d: str) -> DataFrame:
+    """Columns of the points of all nodes that a session's cache holds, with the node's rank, most recent first."""
+    held = cache.cached_nodes(access_log(s, d).where("session = 1")).select(F.col("key").alias("held"), F.col("rank").cast("long").alias("rank"))
+    p = _points(s, d).join(select.broadcast_nodes(held), voxel.text(_key()) == F.col("held"))
+    at = lambda c: F.col(c).cast("float").cast("double")
+    return p.select("point_id", "rank", at("X").alias("px"), at("Y").alias("py"), at("Z").alias("pz"), F.col("d").alias("depth"))
+
+
 @query("lru_replay")
 def lru_replay(s: SparkSession, d: str) -> DataFrame:
     return cache.replay(access_log(s, d), max_bytes=64 << 10)
