@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import voxel
 from ..functions.geometry import Sphere, Vec, box_columns
-from ..operators.cache import DEFAULT_BYTES, PER_POINT, PointCache
+from ..operators.cache import DEFAULT_BYTES, PER_POINT, Entry, PointCache
 
 OUT = "session long, seq long, key string, hit boolean, evictions long, used_bytes long"
-STATE = "keys array<string>, sizes array<long>, accesses array<long>, counters array<long>"
+STATE = "keys array<string>, points array<long>, columns array<long>, accesses array<long>, counters array<long>"
 _COUNTERS = ("used", "hits", "misses", "evictions", "version")
 
 
@@ -26,8 +26,8 @@ def replay_stream(log: DataFrame, max_bytes: int = DEFAULT_BYTES, per_point: int
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
         cache = PointCache(max_bytes, per_point)
         if state.exists:
-            keys, sizes, accesses, counters = state.get
-            cache.entries = OrderedDict((k, (int(s), int(n))) for k, s, n in zip(keys, sizes, accesses))
+            keys, *fields, counters = state.get
+            cache.entries = OrderedDict((k, Entry(*map(int, own))) for k, *own in zip(keys, *fields))
             for name, v in zip(_COUNTERS, counters):
                 setattr(cache, name, int(v))
         pdf = pd.concat(list(pdfs)).sort_values("seq")
@@ -35,7 +35,8 @@ def replay_stream(log: DataFrame, max_bytes: int = DEFAULT_BYTES, per_point: int
         for q, k, n in zip(pdf["seq"], pdf["key"], pdf["n_points"]):
             hit = cache.get_or_load(k, int(n))
             rows.append((key[0], q, k, hit, cache.evictions, cache.used))
-        state.update((list(cache.entries), [v[0] for v in cache.entries.values()], [v[1] for v in cache.entries.values()], [getattr(cache, n) for n in _COUNTERS]))
+        held = cache.entries.values()
+        state.update((list(cache.entries), [e.points for e in held], [e.columns for e in held], [e.accesses for e in held], [getattr(cache, n) for n in _COUNTERS]))
         yield pd.DataFrame(rows, columns=["session", "seq", "key", "hit", "evictions", "used_bytes"])
 
     return log.groupBy("session").applyInPandasWithState(fold, OUT, STATE, "append", "NoTimeout")
