@@ -207,3 +207,22 @@ def test_dimension_kinds(kind):
 def test_header_round_trip():
     h = Header(point_offset=999, n_vlrs=3, point_count=1 << 40, scale=(0.1, 0.2, 0.3), low=(-1.0, -2.0, -3.0), high=(4.0, 5.0, 6.0), by_return=tuple(range(15)), system="s", software="w")
     assert Header.parse(h.pack()) == h and len(h.pack()) == 375
+
+
+def test_extended_records(tmp_path):
+    """A projection that lies behind the points is found; one that is cut short is an error."""
+    from dataclasses import replace
+
+    path = build(tmp_path / "e.laz", 6, (), [((0, 0, 0, 0), 1, chunk(6, record(6, 1, 2, 3), 1))], nested=False)
+    data = open(path, "rb").read()
+    one = lambda user, number, body: struct.pack("<H16sHQ32s", 0, user, number, len(body), b"x") + body
+    extended = one(b"other", 7, b"12345") + one(b"LASF_Projection", 2112, b"PROJCS[]\0tail")
+    head = replace(Header.parse(data), evlr_offset=len(data), n_evlrs=2)
+    for whole, n in ((extended, 0), (extended[:-3], 1)):
+        (tmp_path / f"{n}.laz").write_bytes(head.pack() + data[375:] + whole)
+        with octree.open_file(str(tmp_path / f"{n}.laz")) as f:
+            if n:
+                with pytest.raises(EOFError):
+                    octree.read_meta(f)
+            else:
+                assert octree.read_meta(f).wkt == "PROJCS[]"

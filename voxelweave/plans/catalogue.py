@@ -412,6 +412,21 @@ def bbox_info_by_lod(s: SparkSession, d: str) -> DataFrame:
     return found.withColumn("resolution", F.when(F.col("d").isNotNull(), F.col("resolution")))
 
 
+def _info_query(name: str, meets: str, shape: select.Shape) -> None:
+    """By level, and with d null in all: the nodes that a shape meets, their points, and the share of the level's nodes."""
+    def run(s: SparkSession, d: str) -> DataFrame:
+        n = _nodes(s, d).withColumn("hit", shape.meets(box_columns()))
+        sums = n.rollup("d").agg(F.count_if("hit").alias("node_count"), F.sum(F.when(F.col("hit"), F.col("point_count")).otherwise(F.lit(0))).alias("points"), (F.lit(100.0) * F.count_if("hit") / F.count("*")).alias("percent"))
+        return sums.where("node_count > 0")
+
+    query(name, f"""SELECT * FROM (SELECT d, count(*) FILTER (hit) AS node_count, sum(CASE WHEN hit THEN point_count ELSE 0 END)::BIGINT AS points, CAST(100 AS DOUBLE) * count(*) FILTER (hit) / count(*) AS percent
+      FROM (SELECT *, {meets} AS hit FROM nodes) GROUP BY ROLLUP (d)) WHERE node_count > 0""")(run)
+
+
+_info_query("frustum_info_by_lod", _clip_meets(SQL_CLIP), CLIP)
+_info_query("radius_info_by_lod", _sphere_meets(SPHERE), SPHERE)
+
+
 @query("bbox_info_samples", f"""SELECT {_NODE}, rank FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY seq) AS rank, dense_rank() OVER (ORDER BY d) AS level FROM nodes WHERE {_box_meets(BOX)}) WHERE rank <= 5 AND level <= 3""")
 def bbox_info_samples(s: SparkSession, d: str) -> DataFrame:
     """Of the three coarsest levels that the box meets, the first five nodes in file order."""

@@ -39,7 +39,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ..functions.voxel import Octree
 from .chunk import ALL, CORE, decode_chunk
 from .encode import encode_chunk
-from .records import DIM_BYTES, ENTRY, HEADER_BYTES, INFO_BYTES, POINT, Dimension, FormatError, Header, Info, Vlr, find_vlr, kind_of, pack_page, parse_dimensions, parse_page, parse_vlrs
+from .records import DIM_BYTES, ENTRY, EVLR_BYTES, HEADER_BYTES, INFO_BYTES, POINT, Dimension, FormatError, Header, Info, Vlr, evlr_head, find_vlr, kind_of, pack_page, parse_dimensions, parse_page, parse_vlrs
 
 
 log = logging.getLogger(__name__)
@@ -128,8 +128,22 @@ def read_meta(f: pa.NativeFile) -> Meta:
     info = find_vlr(vlrs, "copc", 1)
     if info is None:
         raise FormatError("no octree record")
-    wkt, dims = find_vlr(vlrs, "LASF_Projection", 2112), find_vlr(vlrs, "LASF_Spec", 4)
-    return Meta(header, tuple(vlrs), Info.parse(info.data), tuple(parse_dimensions(dims.data)) if dims else (), wkt.data.split(b"\0")[0].decode("utf-8", "replace") if wkt else None)
+    dims = find_vlr(vlrs, "LASF_Spec", 4)
+    wkt = find_vlr(vlrs, "LASF_Projection", 2112)
+    text = wkt.data if wkt else _extended(f, header, "LASF_Projection", 2112)
+    return Meta(header, tuple(vlrs), Info.parse(info.data), tuple(parse_dimensions(dims.data)) if dims else (), text.split(b"\0")[0].decode("utf-8", "replace") if text is not None else None)
+
+
+def _extended(f: "pa.NativeFile | Opened", header: Header, user_id: str, record_id: int) -> bytes | None:
+    """The data of an extended record, which lie behind the points; others are passed over."""
+    at = header.evlr_offset
+    for _ in range(header.n_evlrs if at else 0):
+        one, length = evlr_head(read_at(f, at, EVLR_BYTES))
+        at += EVLR_BYTES
+        if (one.user_id, one.record_id) == (user_id, record_id):
+            return read_at(f, at, length)
+        at += length
+    return None
 
 
 def read_entries(f: pa.NativeFile, info: Info) -> tuple[np.ndarray, list[str]]:

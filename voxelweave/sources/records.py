@@ -100,6 +100,18 @@ def parse_vlrs(data: bytes, n: int) -> list[Vlr]:
     return out
 
 
+#: Bytes of an extended record before its data, whose length is a 64-bit number.
+EVLR_BYTES = 60
+
+
+def evlr_head(data: bytes) -> tuple[Vlr, int]:
+    """An extended record without its data, and how long that is."""
+    if len(data) < EVLR_BYTES:
+        raise FormatError("an extended record is cut short")
+    _, user, record, length, text = struct.unpack_from("<H16sHQ32s", data)
+    return Vlr(user.split(b"\0")[0].decode("ascii", "replace"), record, b"", text.split(b"\0")[0].decode("ascii", "replace")), length
+
+
 def find_vlr(vlrs: list[Vlr], user_id: str, record_id: int) -> Vlr | None:
     return next((v for v in vlrs if (v.user_id, v.record_id) == (user_id, record_id)), None)
 
