@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import voxel
 from ..functions.voxel import Octree
 from ..operators.order import numbered
-from ..store import once
+from ..store import parquet, table_once
 
 OCTREE = Octree((9192.0, 10192.0, 8192.0), 8192.0, 128.0, (1000.0, 2000.0, 0.0), (17384.0, 18384.0, 16384.0))
 KEY = ["d", "kx", "ky", "kz"]
@@ -19,7 +19,7 @@ KINDS = ("view", "signup", "error", "click", "purchase")
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One point an event; a node's points are those of its key, ord counts them in order of point_id."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = parquet(spark, f"{sf_dir}/events.parquet")
     i = F.col("event_id")
     e = e.select(
         i.alias("point_id"), "user_id", "ts", "event_type", "props",
@@ -56,10 +56,7 @@ def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A hierarchy is stored beside its points: this one is written once for an application, with a row for each chunk.
     """
-    def make(path: str) -> None:
-        numbered(nodes(points(spark, sf_dir)), KEY, "seq", {"first": F.col("point_count")}).write.parquet(path)
-
-    return spark.read.parquet(once(spark, ("nodes", sf_dir), make))
+    return table_once(spark, ("nodes", sf_dir), lambda: numbered(nodes(points(spark, sf_dir)), KEY, "seq", {"first": F.col("point_count")}))
 
 
 POINTS_SQL = """
