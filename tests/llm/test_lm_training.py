@@ -136,3 +136,19 @@ def test_training_lowers_the_loss():
         lanes.take(docs)
     lanes.take([], last=True)
     assert lm.document_log_probs(net, docs[0].astype(np.int64), at)[0] > 0.7 * before
+
+
+def test_weights_are_averaged_in_rounds(spark, monkeypatch):
+    """Groups of two, and so several rounds, give what one round gives."""
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{k}" for k in r.integers(0, 60, 40))) for i in range(200)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 5), "doc_id long, text string")
+    table = lm.counts(docs).orderBy("c", "th").toArrow()
+    look = lm.Lookup(np.asarray(table.column("th")).view(np.uint64).copy(), np.asarray(table.column("c")), int(np.asarray(table.column("c")).sum()), table.num_rows)
+    one = lm.fit(docs, look).w
+    monkeypatch.setattr(lm, "FANIN", 2)
+    two = lm.fit(docs, look).w
+    start = lm.Network(look).w
+    for name in one:
+        assert np.allclose(one[name], two[name], atol=1e-5), name
+    assert any(np.abs(one[name] - start[name]).max() > 1e-3 for name in one)

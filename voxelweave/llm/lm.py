@@ -397,23 +397,25 @@ def fit(docs: DataFrame, lookup: Lookup) -> Network:
         net.load(bytes(warm["w"]))
     go_on = learner(spark.sparkContext.broadcast((net.dump(), lookup)), 0.004)
 
+    fan = FANIN  # goes along to the workers
+
     def average(pdf: pd.DataFrame) -> pd.DataFrame:
         total, n, one = None, int(pdf["n"].sum()), Network(lookup_small)
         for k, blob_ in zip(pdf["n"], pdf["w"]):
             part = {name: a * np.float32(k / max(1, n)) for name, a in one.load(blob_).w.items()}
             total = part if total is None else {name: total[name] + part[name] for name in part}
         one.w = total
-        return pd.DataFrame({"g": [int(pdf["g"].iloc[0]) // FANIN], "n": [n], "w": [one.dump()]})
+        return pd.DataFrame({"g": [int(pdf["g"].iloc[0]) // fan], "n": [n], "w": [one.dump()]})
 
     lookup_small = Lookup(np.zeros(0, dtype=np.int64), np.zeros(0), 0, 0)
     parts = train.select("text").mapInArrow(go_on, "n long, w binary").where("n > 0")
     parts = cut(parts.withColumn("g", F.spark_partition_id().cast("long")))
     left = parts.count()
-    while left > 1:  # in groups of FANIN, so that no task reads more than a fixed number of weights
+    while left > 1:  # in groups of `fan`, so that no task reads more than a fixed number of weights
         order = parts.select("g").distinct().orderBy("g")
         known = {r["g"]: i for i, r in enumerate(order.collect())}  # a number for each partition that is left
         number = spark.createDataFrame([(g, i) for g, i in known.items()], "g long, i long")
-        parts = cut(parts.join(number, "g").select(F.col("i").alias("g"), "n", "w").groupBy(F.expr(f"g div {FANIN}").alias("k")).applyInPandas(average, "g long, n long, w binary"))
+        parts = cut(parts.join(number, "g").select(F.col("i").alias("g"), "n", "w").groupBy(F.expr(f"g div {fan}").alias("k")).applyInPandas(average, "g long, n long, w binary"))
         left = parts.count()
     last = parts.first()
     return net.load(bytes(last["w"])) if last else net
