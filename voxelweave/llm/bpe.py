@@ -12,11 +12,12 @@ encoded on its own, repeated or not; other columns are ignored.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -59,8 +60,8 @@ class Codec:
             self.merge.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, word: str) -> tuple[int, ...]:
         letter, merge = self.letter, self.merge
@@ -98,28 +99,30 @@ class Codec:
                     heappush(queue, (m >> 20) << 32 | h)
         return tuple([i for i in ids if i >= 0])
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        """The ids of a pre-token, four bytes each."""
         ids = self.old.get(word)
         if ids is None:
-            ids = self.merged(word)
+            ids = array("i", self.merged(word)).tobytes()
         if len(word) <= KEPT_SIZE:
             if len(self.new) >= KEPT:
                 self.old, self.new = self.new, {}
             self.new[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text, four bytes each."""
         if self.split is not None and any(t in text for t in self.added):
-            parts = [[self.added[p]] if k % 2 else self._plain(p) for k, p in enumerate(self.split(text))]
-            return list(chain.from_iterable(parts))
+            parts = (array("i", [self.added[p]]).tobytes() if k % 2 else self._plain(p) for k, p in enumerate(self.split(text)))
+            return b"".join(parts)
         return self._plain(text)
 
-    def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        for w in self.find(text):
-            ids = self.new.get(w)
-            out += self._word(w) if ids is None else ids
-        return out
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_bytes(text)).tolist()
+
+    def _plain(self, text: str) -> bytes:
+        known, word = self.new.get, self._word
+        return b"".join([known(w) or word(w) for w in self.find(text)])
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -130,13 +133,21 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _encoded(c: Codec, texts: list[str]) -> tuple[pa.Array, list[str]]:
+    """The ids of texts as a list column, and what decoding them gives."""
+    blobs = [c.encode_bytes(t) for t in texts]
+    ids = np.frombuffer(b"".join(blobs), dtype=np.int32)
+    edges = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), [c.decode(array("i", b).tolist()) for b in blobs]
+
+
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of every row. path: the vocabulary file on every machine; None: the public one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or public_file())
         for batch in slices(batches, most=2 << 20):
-            ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            ids, decoded = _encoded(c, [t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -156,8 +167,8 @@ def with_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path or public_file())
         for batch in slices(batches, most=2 << 20):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            ids = [c.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) == t for x, t in zip(ids, texts)])], names=[*names, *added])
+            ids, decoded = _encoded(c, texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(np.asarray(ids.offsets)).astype(np.int64)), ids, pa.array([x == t for x, t in zip(decoded, texts)])], names=[*names, *added])
 
     return docs.mapInArrow(run, schema)
 
