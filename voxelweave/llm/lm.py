@@ -11,7 +11,7 @@ its first token to its end: first in one task on a sample of WARM documents, the
 there with all of its training documents, and the weights are averaged in a tree by tokens. So the weights depend
 on how the table is dealt over partitions; nothing else does. Scoring carries the state through the whole document.
 
-Tokens are known by XXH3 of their bytes. Counts of the HEAD most frequent ones travel with the scoring tasks (a
+Tokens are known by 64-bit SipHash of their bytes. Counts of the HEAD most frequent ones travel with the scoring tasks (a
 fixed number of them); those of the others are found by a join, whose keys are rare by construction, so that no
 key is hot.
 
@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +43,9 @@ CHUNK, BATCH = 32, 256
 LEARN = 8192  # tokens of an update, at least
 SLICE = 2 << 20
 FANIN = 16
+HELD = 1 << 20  # counts that a task adds up before they leave
 
-_SEED = 51
+_KEY = "tokens of op 7.."  # 16 bytes
 _END = 7  # the end of a document as a token
 
 
@@ -55,8 +55,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = buffer_of(column)
     starts, stops, at = words_of(data, offsets)
     codes, distinct = word_ids(lowered(data), starts, stops)
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(x, _SEED) for x in distinct.to_pylist()), dtype=np.uint64, count=len(distinct))
+    hashes = pd.util.hash_array(np.array([*distinct.to_pylist(), b""], dtype=object), hash_key=_KEY, categorize=False)[:-1]
     out = np.full(len(starts) + len(at) - 1, len(distinct), dtype=np.int32)
     out[np.arange(len(starts)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = codes
     return out, np.append(hashes, np.uint64(_END)), at + np.arange(len(at))
@@ -359,9 +358,29 @@ class Lanes:
 def counts(docs: DataFrame) -> DataFrame:
     """(th, c): every token of the training documents and its count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            th, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+            return th, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            th, c = held.pop()
+            return pa.RecordBatch.from_arrays([pa.array(th.view(np.int64)), pa.array(c)], names=["th", "c"])
+
         for batch in slices(batches, most=SLICE):
             codes, th, _ = tokens_of(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(th.view(np.int64)), pa.array(np.bincount(codes, minlength=len(th)))], names=["th", "c"])
+            held.append((th, np.bincount(codes, minlength=len(th))))
+            size += len(th)
+            if size >= HELD:  # slices are added up here, so that fewer rows leave
+                held[:] = [summed()]
+                size = len(held[0][0])
+                if size >= HELD // 2:
+                    yield out()
+                    size = 0
+        if held:
+            held[:] = [summed()]
+            yield out()
 
     return docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(run, "th long, c long").groupBy("th").agg(F.sum("c").alias("c"))
 
