@@ -57,3 +57,15 @@ def test_edited_copies_at_the_edge_of_the_threshold(spark, monkeypatch, frequent
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {x["doc_id"]: x["component_id"] for x in similar.near_copies(df).collect()}
     assert got == brute(docs)
+
+
+def test_long_texts_meet_about_once_however_many_keys_they_share(spark):
+    """Three texts that share most of 300 keys, two that share one key, and two of one root, which needn't meet."""
+    r = random.Random(1)
+    keys = r.sample(range(-(10**6), 10**6), 300)
+    held = {i: r.sample(keys, 250) for i in (1, 2, 3)} | {4: [10**7, 10**7 + 1], 5: [10**7], 6: [2 * 10**7], 7: [2 * 10**7]}
+    busy = spark.createDataFrame([(k, i, 1300, 6 if i == 7 else i) for i, own in held.items() for k in own], "key long, fp long, n int, root long")
+    reps = spark.createDataFrame([(i, [0] * (similar.ODD // 64)) for i in held], "fp long, odd array<long>")
+    got = [(x["a"], x["b"]) for x in similar.meetings(busy, reps).collect()]
+    assert {tuple(sorted(p)) for p in got} == {(1, 2), (1, 3), (2, 3), (4, 5)}
+    assert len(got) < 12  # about 620 when each shared key was a meeting

@@ -10,7 +10,8 @@ places than the sets may in shingles.
 
 Equal sets are one class first (known by 64 bits). In a bucket every member first meets the bucket's least; of what a
 class meets so, only the likeliest is compared set with set, which links most. Components are formed, and then all
-that share a bucket over different components meet.
+that share a bucket over different components meet. Long texts share hundreds of buckets: a pair meets in one only if
+none of the last BEFORE keys of either is one of the other's, so hardly more than once, and always in the first.
 
 Defined cases. Null text: empty. Texts without words are alike. A null doc_id keeps its row and never names a
 component (one whose ids are all null has none). Repeated rows are one class. A very long text's set is one row. No
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, buffer_of, cut, lowered, mix, release, sized, slices, word_hashes, words_of
@@ -34,6 +35,7 @@ SAMPLE = 8  # one in so many texts is counted for the frequent shingles
 FREQUENT = 1 << 16  # frequent shingles that are told apart
 MOST = 1 << 18  # rows of a broadcast
 ODD = 512  # parities of a set
+BEFORE = 16  # keys that a row of a bucket knows of those before its own
 
 _GRAMS = Rolling(73)
 
@@ -123,6 +125,23 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.where("9 * size(array_intersect(sa, sb)) >= 4 * (size(sa) + size(sb))").drop("sa", "sb")
 
 
+def meetings(busy: DataFrame, reps: DataFrame) -> DataFrame:
+    """A written table (a, b, ra, rb): the pairs of classes of busy, (key, fp, n, root), that share a key over different roots, unless
+    sizes and parities rule them out. Each is there at least once."""
+    # parities go along, so that the join itself leaves few pairs
+    words = range(ODD // 64)
+    parities = reps.select("fp", *[F.get("odd", F.lit(i)).alias(f"o{i}") for i in words])
+    last = F.collect_list("key").over(Window.partitionBy("fp").orderBy("key").rowsBetween(-BEFORE, -1))
+    rows = cut(busy.withColumn("last", last).join(parities, "fp"))
+    left = rows.select("key", F.col("fp").alias("a"), "n", F.col("root").alias("ra"), "last", *[F.col(f"o{i}").alias(f"p{i}") for i in words])
+    right = rows.select(F.col("key").alias("key2"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), F.col("last").alias("last2"), *[F.col(f"o{i}").alias(f"q{i}") for i in words])
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in words), F.lit(0))
+    meets = (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & F.expr("5 * least(n, m) >= 4 * greatest(n, m)") & (9 * differ <= F.col("n") + F.col("m"))
+    pairs = cut(left.join(right, meets & ~F.arrays_overlap("last", "last2")).select("a", "b", "ra", "rb"))
+    release(rows)
+    return pairs
+
+
 def link(reps: DataFrame) -> DataFrame:
     """(fp, root) of classes (fp, n, odd, pre, sh): those that links of similarity 0.8 or more join have one root."""
     # one shuffle serves both the least of a bucket and the join with it; most buckets hold one class
@@ -138,16 +157,9 @@ def link(reps: DataFrame) -> DataFrame:
     others = met.select("a", "b").join(root("a"), "a").join(root("b"), "b").where("ra != rb").select("a", "b", "ra", "rb")
     known = cut(full.join(roots, "fp").where("fp != low"))
     mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    # parities go along, so that the join itself leaves few pairs
-    words = range(ODD // 64)
-    parities = reps.select("fp", *[F.get("odd", F.lit(i)).alias(f"o{i}") for i in words])
-    busy = cut(known.join(mixed, "key", "left_semi").join(parities, "fp").drop("low"))
+    busy = cut(known.join(mixed, "key", "left_semi").select("key", "fp", "n", "root"))
     release(full, known, links)
-    left = busy.select("key", F.col("fp").alias("a"), "n", F.col("root").alias("ra"), *[F.col(f"o{i}").alias(f"p{i}") for i in words])
-    right = busy.select(F.col("key").alias("key2"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"), *[F.col(f"o{i}").alias(f"q{i}") for i in words])
-    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in words), F.lit(0))
-    meets = (F.col("key") == F.col("key2")) & (F.col("ra") < F.col("rb")) & F.expr("5 * least(n, m) >= 4 * greatest(n, m)") & (9 * differ <= F.col("n") + F.col("m"))
-    again = cut(left.join(right, meets).select("a", "b", "ra", "rb").distinct())
+    again = meetings(busy, reps)
     rest = cut(verified(cut(others.unionByName(again).distinct()), reps).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     release(met, busy, again)
     merged = components(rest, roots.select(F.col("root").alias("fp")).distinct())
