@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
@@ -69,3 +70,33 @@ def test_long_texts_meet_about_once_however_many_keys_they_share(spark):
     got = [(x["a"], x["b"]) for x in similar.meetings(busy, reps).collect()]
     assert {tuple(sorted(p)) for p in got} == {(1, 2), (1, 3), (2, 3), (4, 5)}
     assert len(got) < 12  # about 620 when each shared key was a meeting
+
+
+def test_golay_keys_propose_edited_copies(spark):
+    """Of long texts with one word edited, Golay keys alone propose most; of unrelated ones none; equal fingerprints meet."""
+    r = random.Random(2)
+    docs = []
+    for i in range(40):
+        w = [f"w{r.randrange(10**5)}" for _ in range(300)]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:150], "edited", *w[151:]]))]
+    reps = similar.sets(spark.createDataFrame(docs, "doc_id long, text string"))
+    of = {x["fp"]: x["doc_id"] for x in reps.collect()}
+    got = {tuple(sorted((of[x["a"]], of[x["b"]]))) for x in similar.proposed(reps).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got) and len(got) >= 36
+    same = spark.createDataFrame([(1, 9), (2, 9), (3, 9), (4, -1)], "fp long, sk long")
+    assert {(x["a"], x["b"]) for x in similar.proposed(same).collect()} == {(1, 2), (1, 3)}
+
+
+def test_fingerprints_agree_as_sets_do():
+    r = np.random.default_rng(3)
+    bits = {}
+    for n in (5, 40, 2000):
+        for share in (0.8, 0.9):
+            own = round(n * 2 * share / (1 + share))
+            x = [np.sort(r.integers(0, 2**64, 2 * n - own, dtype=np.uint64)) for _ in range(300)]
+            pairs = [(np.sort(v[p[:n]]), np.sort(v[p[n - own :]])) for v, p in ((v, r.permutation(len(v))) for v in x)]
+            h = np.concatenate([a for p in pairs for a in p])
+            s = similar.sketches(h, np.arange(0, len(h) + 1, n))
+            bits[n, share] = np.bitwise_count(s[::2] ^ s[1::2]).mean(), 32 * (1 - own / (2 * n - own))
+    assert all(abs(got - want) < 1.2 for got, want in bits.values()), bits
+    assert similar.sketches(np.zeros(0, np.uint64), np.array([0, 0])).tolist() == [0]

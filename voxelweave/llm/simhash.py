@@ -159,15 +159,23 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def link(fps: DataFrame) -> DataFrame:
-    """(fp, root) of distinct fingerprints (fp): those that links of at most BITS bits join have one root."""
+def buckets(fps: DataFrame) -> DataFrame:
+    """A written table (key, fp, low): the keys that several of the distinct fingerprints (fp) have, with the least of these."""
     # one shuffle serves both the count of a bucket and the join with it; most buckets hold one fingerprint
     keys = _keys(fps.repartition(partitions(fps.sparkSession))).repartition("key")
     least = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-    full = cut(keys.join(least.where("low < high").select("key", "low"), "key"))
-    # stars: every member of a bucket against the bucket's least
-    stars = full.where((F.col("fp") != F.col("low")) & _near(F.col("fp"), F.col("low"))).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
-    roots = cut(components(stars, fps))
+    return cut(keys.join(least.where("low < high").select("key", "low"), "key"))
+
+
+def stars(full: DataFrame) -> DataFrame:
+    """(a, b): links of the least of each bucket with its other members."""
+    return full.where((F.col("fp") != F.col("low")) & _near(F.col("fp"), F.col("low"))).select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def link(fps: DataFrame) -> DataFrame:
+    """(fp, root) of distinct fingerprints (fp): those that links of at most BITS bits join have one root."""
+    full = buckets(fps)
+    roots = cut(components(stars(full), fps))
     # then only what the stars have not joined already
     known = cut(full.select("key", "fp").join(roots, "fp").select("key", "fp", "root"))
     mixed = known.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
@@ -181,7 +189,7 @@ def link(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, fp, component_id) of every row, as the pipeline groups them: by their 5-word shingles' exact similarity."""
+    """(doc_id, th, fp, component_id) of every row, as the pipeline groups them: by Golay keys and the exact similarity of 5-word shingles."""
     from . import similar  # which takes components() from here
 
     return similar.near_copies(docs)

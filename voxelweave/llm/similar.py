@@ -1,7 +1,11 @@
-"""Near copies by the Jaccard similarity of their sets of words' shingles: a prefix-filtered set join, exact.
+"""Near copies by Golay-code fuzzy hashing and the Jaccard similarity of their sets of words' shingles, exact.
 
 A document's set holds the 64-bit hashes of its distinct runs of SHINGLE words (ASCII case ignored; a shorter text
-is one run). Two sets of similarity LEAST share at least LEAST of either, so that in any one order of all shingles
+is one run). Its fingerprint has a bit of the least hash in each of 64 ranges (one-bit MinHash), so that sets of
+similarity s agree in about (1 + s) / 2 of the bits, and fingerprints that share a Golay key (see simhash.py) propose
+links: within 4 bits, the least of each bucket with the others.
+
+What more than 4 bits part is found by a prefix filter. Two sets of similarity LEAST share at least LEAST of either, so that in any one order of all shingles
 their prefixes of n // 5 + 1 shingles have one in common: no pair is missed, whatever the order. The order is by
 hash, but for shingles that are frequent in a sample, which come last, the most frequent at the very end, so that
 passages that many documents share fill no bucket. Documents that share a prefix shingle are compared set with set
@@ -9,7 +13,7 @@ passages that many documents share fill no bucket. Documents that share a prefix
 places than the sets may in shingles.
 
 Equal sets are one class first (known by 64 bits). In a bucket every member first meets the bucket's least; of what a
-class meets so, only the likeliest is compared set with set, which links most. Components are formed, and then all
+class meets so, there and by Golay keys, only the likeliest is compared set with set, which links most. Components are formed, and then all
 that share a bucket over different components meet. Long texts share hundreds of buckets: a pair meets in one only if
 none of the last BEFORE keys of either is one of the other's, so hardly more than once, and always in the first.
 
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, buffer_of, cut, lowered, mix, release, sized, slices, word_hashes, words_of
-from .simhash import components
+from .simhash import buckets, components, stars
 
 SHINGLE = 5
 SAMPLE = 8  # one in so many texts is counted for the frequent shingles
@@ -75,8 +79,25 @@ def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[by], len(keys) - by
 
 
+def sketches(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each set, h[edge[i]:edge[i+1]] being its hashes in order: a bit of the least hash in each 64th
+    of their range, or where that is empty, another bit of the next one's. No hashes: zero."""
+    n = len(edge) - 1
+    cell = np.repeat(np.arange(n), np.diff(edge)) * 64 + (h >> np.uint64(58)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
+    low, there = np.zeros(64 * n, dtype=np.uint64), np.zeros(64 * n, dtype=bool)
+    low[cell[first]], there[cell[first]] = mix(h[first]), True
+    low, there, far = low.reshape(n, 64), there.reshape(n, 64), np.zeros((n, 64), dtype=np.uint64)
+    for k in range(126, -1, -1):  # around once
+        i, j = k % 64, (k + 1) % 64
+        low[:, i] = np.where(there[:, i], low[:, i], low[:, j])
+        far[:, i] = np.where(there[:, i], 0, far[:, j] + np.uint64(1))
+    bits = (low >> (far & np.uint64(63))) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, th, fp, n, odd, pre, sh): of each row the class of its set, its size, its parities, its prefix, and 32 bits of each shingle."""
+    """(doc_id, th, fp, sk, n, odd, pre, sh): of each row the class of its set, its fingerprint, its size, its parities, its prefix, and 32 bits of each shingle."""
     known = docs.sparkSession.sparkContext.broadcast(frequent(docs, shingle))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +118,10 @@ def sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             pick = order[np.arange(len(h)) - np.repeat(edge[:-1], n) <= n[doc] // 5]
             pre = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(doc[pick], minlength=len(n))))).astype(np.int32)), pa.array(h[pick].view(np.int64)))
             sh = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array(n.astype(np.int32)), odd, pre, sh], names=["doc_id", "th", "fp", "n", "odd", "pre", "sh"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), pa.array(sketches(h, edge).view(np.int64)), pa.array(n.astype(np.int32)), odd, pre, sh], names=["doc_id", "th", "fp", "sk", "n", "odd", "pre", "sh"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    return docs.mapInArrow(run, "doc_id long, th long, fp long, n int, odd array<long>, pre array<long>, sh array<int>")
+    return docs.mapInArrow(run, "doc_id long, th long, fp long, sk long, n int, odd array<long>, pre array<long>, sh array<int>")
 
 
 def plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -125,6 +146,18 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.where("9 * size(array_intersect(sa, sb)) >= 4 * (size(sa) + size(sb))").drop("sa", "sb")
 
 
+def proposed(reps: DataFrame) -> DataFrame:
+    """A written table (a, b): pairs of classes whose fingerprints are equal or share a Golay key and lie within 4 bits, as stars."""
+    least = cut(reps.groupBy("sk").agg(F.min("fp").alias("a")))
+    own = reps.select("sk", F.col("fp").alias("b"))
+    full = buckets(least.select(F.col("sk").alias("fp")))
+    near = stars(full).toDF("x", "sk").join(least.withColumnRenamed("sk", "x"), "x").join(own, "sk").select("a", "b")
+    pairs = own.join(least, "sk").where("a != b").select("a", "b").unionByName(near)
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    release(full, least)
+    return pairs
+
+
 def meetings(busy: DataFrame, reps: DataFrame) -> DataFrame:
     """A written table (a, b, ra, rb): the pairs of classes of busy, (key, fp, n, root), that share a key over different roots, unless
     sizes and parities rule them out. Each is there at least once."""
@@ -143,12 +176,14 @@ def meetings(busy: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def link(reps: DataFrame) -> DataFrame:
-    """(fp, root) of classes (fp, n, odd, pre, sh): those that links of similarity 0.8 or more join have one root."""
+    """(fp, root) of classes (fp, sk, n, odd, pre, sh): those that links of similarity 0.8 or more join have one root."""
+    golay = proposed(reps)
     # one shuffle serves both the least of a bucket and the join with it; most buckets hold one class
     keys = reps.select(F.explode("pre").alias("key"), "fp", "n").repartition("key")
     least = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
     full = cut(keys.join(least.where("low < high").select("key", "low"), "key"))
-    met = plausible(full.where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).distinct(), reps)
+    met = plausible(full.where("fp != low").select(F.col("low").alias("a"), F.col("fp").alias("b")).unionByName(golay).distinct(), reps)
+    release(golay)
     likeliest = cut(met.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b"))
     links = cut(verified(likeliest, reps).select("a", "b"))
     release(likeliest)
@@ -171,7 +206,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = cut(sets(docs).withColumn("row", F.monotonically_increasing_id()))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("rep"), F.count("*").alias("rows")))
     copies = rows.select("fp", "row").join(classes.where("rows > 1").select("fp", "rep"), "fp").where("row != rep").select("row")
-    reps = rows.join(sized(cut(copies), "copies", MOST), "row", "left_anti").select("fp", "n", "odd", "pre", "sh")
+    reps = rows.join(sized(cut(copies), "copies", MOST), "row", "left_anti").select("fp", "sk", "n", "odd", "pre", "sh")
     roots = cut(link(reps).join(classes.select("fp", "first"), "fp"))
     ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(ids, "root").select("fp", "component_id")
