@@ -4,9 +4,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from voxelweave.llm import pii
+from voxelweave.llm import common, pii
 
 
 def small(seed):
@@ -101,3 +102,49 @@ def test_a_long_text_is_one_path(tagger):
 def test_redaction_keeps_a_column_of_any_name(spark):
     df = spark.createDataFrame([(1, "to a.b@c.de", "x", "y")], "doc_id long, text string, pii_spans string, pii_spans_ string")
     assert [tuple(r) for r in pii.redact(df, None).collect()] == [(1, "to [EMAIL]", "x", "y")]
+
+
+def test_scores_are_emissions():
+    tagger, r = small(7), np.random.default_rng(8)
+    cells = r.integers(0, pii._PAD + 1, (6, pii.STRIDE))
+    want, _ = tagger.emissions(np.concatenate((cells[:-1], cells[1:]), axis=1))
+    assert np.allclose(tagger.scores(cells).transpose(2, 0, 1), want, atol=1e-4)
+
+
+def test_every_character_is_judged_by_one_path(tagger):
+    """Emissions of all windows of each text, averaged, and one path over all of it, give the spans that are found."""
+    texts = ["", "a", "no trigger in here at all " * 9, "on maria.lo at mail.com er. " * 5, "to 4111  1111  1111  1111 the " * 40]
+    got, side = pii.tagged_spans(tagger, texts), (pii.WIDTH - pii.STRIDE) // 2
+    for text, found in zip(texts, got):
+        k = np.arange(-(-len(text) // pii.STRIDE))
+        e, times = np.zeros((len(text), pii.K)), np.zeros(len(text))
+        for own, part in zip(k.tolist(), tagger.emissions(pii.cut_windows(pii.codes(text), k, pii._PAD))[0] if len(k) else ()):
+            at = np.arange(pii.WIDTH) + own * pii.STRIDE - side
+            inside = (at >= 0) & (at < len(text))
+            e[at[inside]] += part[inside]
+            times[at[inside]] += 1
+        if not text:
+            assert found == []
+            continue
+        e /= times[:, None]
+        spans = pii._read(tagger.paths(e[None], np.array([len(text)]))[0], e, 0)
+        whole = dict.fromkeys((*pii._whole(c, text, a, b), c) for a, b, c in spans)
+        assert found == [s for s in whole if pii._reads_as(s[2], text[s[0] : s[1]])]
+
+
+def test_a_span_without_a_trigger_is_found():
+    """A tagger that takes everything for an address sees a text without digit, @, bracketed "at" or "dot"."""
+    tagger = pii.Tagger()
+    tagger.w["o"][2] = 50
+    text = "maria.lo at mail.com"
+    assert not pii._TRIGGER.search(text) and pii.tagged_spans(tagger, [text]) == [[(0, len(text), 0)]]
+
+
+def test_tasks_use_one_thread(spark):
+    def run(batches):
+        common.one_thread()
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([get() for get in common.blas("get_num_threads")], pa.int64())], names=["n"])
+
+    got = [r["n"] for r in spark.range(1).mapInArrow(run, "n long").collect()]
+    assert got and set(got) == {1}
