@@ -148,3 +148,17 @@ def test_tasks_use_one_thread(spark):
 
     got = [r["n"] for r in spark.range(1).mapInArrow(run, "n long").collect()]
     assert got and set(got) == {1}
+
+
+def test_what_is_certain_is_o_on_the_path():
+    r, some = np.random.default_rng(9), 0
+    for seed in range(60):
+        tagger, n = small(seed), 30
+        e = r.normal(0, 1.5, (1, n, pii.K)).astype(np.float32)
+        e[:, :, 0] += 4
+        path = tagger.paths(e, np.array([n]))[0]
+        for x, y in ((0, n), (7, 19)):  # whole, and a part between places that aren't known
+            sure = pii.certain(tagger.w["A"], np.arange(x, y), e[0, x:y], x > 0, y < n)
+            assert not path[x:y][sure].any()
+            some += sure.sum()
+    assert some > 100

@@ -345,6 +345,43 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
 PART = 2048  # windows that are run at a time
 
 
+ROUNDS = 2  # that places beside each other are judged by
+NEAR = 8192  # places that are judged at a time
+
+
+def certain(a: np.ndarray, pos: np.ndarray, e: np.ndarray, before: bool, after: bool) -> np.ndarray:
+    """Which of the places pos, all others being O, are O on the best path; a: transitions, e: emissions; before, after:
+    whether there are more places, of which nothing is known here.
+
+    Bounds on how much better than O's a tag's best path before and after can be, carried on to the neighbours.
+    """
+    a, n = a.astype(np.float32), len(pos)
+    d = np.ascontiguousarray((e - e[:, :1]).T)
+    beside = np.concatenate(([False], pos[1:] == pos[:-1] + 1, [False]))
+    out = []
+    for m, follows in ((a, True), (a.T, False)):
+        cap = (m - m[:, :1]).max(0)[:, None]
+        best = np.broadcast_to(cap, (K, n)).copy()
+        for _ in range(2):
+            prev = np.full((K, n), -np.inf, np.float32)
+            prev[0] = 0
+            if n and (before if follows else after):
+                prev[1:, 0 if follows else -1] = np.inf
+            if follows:
+                prev[:, 1:] = np.where(beside[1:-1], (best + d)[:, :-1], prev[:, 1:])
+            else:
+                prev[:, :-1] = np.where(beside[1:-1], (best + d)[:, 1:], prev[:, :-1])
+            new = best.copy()
+            for k in range(1, K):
+                x = prev[0] + m[0, k]
+                for p in range(1, K):
+                    np.maximum(x, prev[p] + m[p, k], out=x)
+                np.minimum(best[k], x - m[0, 0], out=new[k])
+            best = new
+        out.append(best)
+    return (out[0] + out[1] + d)[1:].max(0) < -1e-3
+
+
 def undecided(tagger: Tagger, xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, place in it and emissions of each character, of all texts in turn, that isn't O whatever is beside it."""
     side = (WIDTH - STRIDE) // 2
@@ -375,6 +412,9 @@ def undecided(tagger: Tagger, xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
         cell, place = np.nonzero(open_)
         found.append(((cell + lo) * STRIDE + place, total[place, :, cell]))
     pos, e = (np.concatenate(x) for x in zip(*found))
+    for _ in range(ROUNDS):  # the more is decided, the more its neighbours are
+        left = ~np.concatenate([certain(a, pos[x : x + NEAR], e[x : x + NEAR], x > 0, x + NEAR < len(pos)) for x in range(0, max(1, len(pos)), NEAR)])
+        pos, e = pos[left], e[left]
     text = np.searchsorted(at, pos // STRIDE, side="right") - 1
     return text, pos - at[text] * STRIDE - side, e
 
