@@ -162,3 +162,16 @@ def test_what_is_certain_is_o_on_the_path():
             assert not path[x:y][sure].any()
             some += sure.sum()
     assert some > 100
+
+
+def test_windows_run_at_a_time_fit_the_quick_product():
+    h, d = pii.Tagger.H, pii.Tagger.D
+    assert 4 * h * (h + d + 1) * pii.PART <= 1_000_000
+
+
+def test_spans_of_several_paths_are_read_at_once():
+    tags = np.array([0, 1, 2, 2, 2, 4, 0, 3, 3, 0, 5])  # the second path begins at 4, the third at 8
+    e = np.zeros((len(tags), pii.K), dtype=np.float32)
+    e[np.arange(len(tags)), tags] = 2
+    e[7, 3] = 0.5  # too little
+    assert pii._read(tags, e, np.array([0, 4, 8])) == [(1, 4, 0), (4, 5, 0), (5, 6, 1), (8, 9, 1), (10, 11, 2)]

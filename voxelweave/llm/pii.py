@@ -170,35 +170,31 @@ class Tagger:
     def scores(self, cells: np.ndarray) -> np.ndarray:
         """Emissions (2 * STRIDE, K, n) of the n windows that neighbouring cells of codes, (n + 1, STRIDE), make up.
 
-        As emissions(), but on arrays by feature, in 32 bits, and with all gates made by one logistic function:
-        tanh(x) = 2 / (1 + exp(-2x)) - 1.
+        As emissions(), but on arrays by feature, in 32 bits, and with all gates made by one function: the logistic one of x is
+        (1 + tanh(x / 2)) / 2. The state is held twice as large, which the weights that it meets make up for.
         """
         w, h, n, f = self.w, self.H, len(cells) - 1, np.float32
-        ids = np.ascontiguousarray(cells.T)
-        column = lambda i: ids[i % STRIDE, i // STRIDE : i // STRIDE + n]
-        times = np.repeat([-1.0, -2.0], [3 * h, h])
+        embed = np.ascontiguousarray(w["E"].T.astype(f))
+        known = [np.take(embed, x, axis=1, mode="clip") for x in np.ascontiguousarray(cells.T)]
+        half = np.repeat(f([0.5, 1]), [3 * h, h])
         out = np.empty((WIDTH, K, n), f)
-        z, both = np.empty((4 * h, n), f), np.empty((h + self.D + 1, n), f)
+        z, both, q = np.empty((4 * h, n), f), np.empty((h + self.D + 1, n), f), np.empty((h, n), f)
+        s, x, open_, keep, take, give, u = both[:h], both[h:-1], z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
         for side, steps in (("f", range(WIDTH)), ("b", range(WIDTH - 1, -1, -1))):
-            m = np.ascontiguousarray((np.concatenate((w[f"R{side}"], w[f"X{side}"], w[f"c{side}"][None])) * times).T.astype(f))
-            embed = np.ascontiguousarray(w["E"].T.astype(f))
-            top = np.ascontiguousarray((w["O"][:h] if side == "f" else w["O"][h:]).T.astype(f))
-            both[:h], both[-1], c = 0, 1, np.zeros((h, n), f)
-            s, q = both[:h], np.empty((h, n), f)
+            m = np.ascontiguousarray((np.concatenate((w[f"R{side}"] / 2, w[f"X{side}"], w[f"c{side}"][None])) * half).T.astype(f))
+            top = np.ascontiguousarray((w["O"][:h] if side == "f" else w["O"][h:]).T.astype(f) / 2)
+            s[:], both[-1], c = 0, 1, np.zeros((h, n), f)
             for i in steps:
-                np.take(embed, column(i), axis=1, out=both[h:-1], mode="clip")
+                x[:] = known[i % STRIDE][:, i // STRIDE : i // STRIDE + n]
                 np.matmul(m, both, out=z)
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                u = z[3 * h :]
-                u *= 2
-                u -= 1
-                c *= z[:h]
-                u *= z[h : 2 * h]
+                np.tanh(z, out=z)
+                open_ += 1
+                c *= keep
+                u *= take
                 c += u
+                c *= 0.5
                 np.tanh(c, out=q)
-                np.multiply(q, z[2 * h : 3 * h], out=s)
+                np.multiply(q, give, out=s)
                 if side == "f":
                     np.matmul(top, s, out=out[i])
                 else:
@@ -342,7 +338,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     return train(x, tags) if tags.any() else None
 
 
-PART = 2048  # windows that are run at a time
+PART = 640  # windows that are run at a time: few enough for OpenBLAS to multiply without packing, up to a million products
 
 
 ROUNDS = 2  # that places beside each other are judged by
@@ -402,7 +398,7 @@ def undecided(tagger: Tagger, xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     for lo in range(0, len(real), PART):
         hi = min(lo + PART, len(real))
         e = tagger.scores(cells[lo : hi + 1])
-        e *= real[lo:hi]
+        e[:, :, real[lo:hi] == 0] = 0
         total = e[:STRIDE]
         total[:, :, 1:] += e[STRIDE:, :, :-1]
         total[:, :, 0] += carry
@@ -438,28 +434,27 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int,
         at = np.where(there, base[some][:, None] + t, 0)
         tags[at[there]] = tagger.paths(e[at], size[some])[there]
         lo += len(some)
-    for r in np.flatnonzero(np.add.reduceat(tags, first)).tolist() if len(first) else ():
-        own = slice(base[r], base[r + 1])
-        out[doc[base[r]]] += _read(tags[own], e[own], int(place[base[r]]))
+    for begin, end, kind in _read(tags, e, first):
+        out[doc[begin]].append((int(place[begin]), int(place[end - 1]) + 1, kind))
     whole = [[(*_whole(k, text, a, b), k) for a, b, k in found] for text, found in zip(texts, out)]
     return [[s for s in dict.fromkeys(found) if _reads_as(s[2], text[s[0] : s[1]])] for text, found in zip(texts, whole)]
 
 
-def _read(tags: np.ndarray, e: np.ndarray, begin: int) -> list[tuple[int, int, int]]:
-    """The spans of a path with enough margin over O."""
-    if not tags.any():
+def _read(tags: np.ndarray, e: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the spans with enough margin over O, of paths that begin at the places `first` of tags, in order."""
+    some = np.flatnonzero(tags)
+    if not len(some):
         return []
-    margin = np.concatenate(([0], np.cumsum(e[np.arange(len(e)), tags] - e[:, 0])))
-    kind = np.where(tags > 0, (tags - 1) // 2, -1)
-    start = np.flatnonzero((kind >= 0) & ((tags % 2 == 1) | (np.concatenate(([-1], kind[:-1])) != kind)))
-    out = []
-    for a in start.tolist():
-        b = a + 1
-        while b < len(tags) and kind[b] == kind[a] and tags[b] % 2 == 0:
-            b += 1
-        if margin[b] - margin[a] >= MARGIN * (b - a):
-            out.append((begin + a, begin + b, int(kind[a])))
-    return out
+    tag = tags[some]
+    kind = (tag - 1) // 2
+    goes_on = np.concatenate(([False], (some[1:] == some[:-1] + 1) & (tag[1:] % 2 == 0) & (kind[1:] == kind[:-1])))
+    goes_on &= ~np.isin(some, first)
+    start = np.flatnonzero(~goes_on)
+    size = np.diff(np.append(start, len(some)))
+    margin = np.add.reduceat((e[some, tag] - e[some, 0]).astype(np.float64), start)
+    keep = margin >= MARGIN * size
+    begin = some[start[keep]]
+    return list(zip(begin.tolist(), (begin + size[keep]).tolist(), kind[start[keep]].tolist()))
 
 
 _AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+|\s*@\s*", re.I)
