@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from voxelweave.sources.coding import BitModel, IntegerDecoder, RangeDecoder, RunningMedian, SymbolModel
+from voxelweave.sources.coding import BitModel, IntegerDecoder, Models, RangeDecoder, RunningMedian, SymbolModel
 from voxelweave.sources.encode import Encoder
 
 
@@ -53,3 +53,25 @@ def test_running_median():
     assert abs(m.value - 1000) <= 3
     m.add(10**6)
     assert abs(m.value - 1000) <= 3  # one outlier doesn't move it
+
+
+def test_runs_of_symbols_are_read_as_one_by_one():
+    r, e, s = random.Random(3), Encoder(), SymbolModel(64)
+    want = [min(63, int(r.expovariate(0.2))) for _ in range(3000)]
+    for v in want:
+        e.symbol(s, v)
+    by_last, also = Models(64), [r.randrange(2) for _ in range(3000)]
+    last = 5
+    for v, more in zip(want, also):
+        e.symbol(by_last[last & 12 | more], v)
+        last = v
+    d, s, out = RangeDecoder(e.done()), SymbolModel(64), []
+    assert d.symbols(s, 1234) + d.symbols(s, 1766) == want
+    models, of = Models(64), [v & 12 for v in range(64)]
+    last = d.chain(models, of, also[:700], 5, out)
+    assert d.chain(models, of, also[700:], last, out) == want[-1] and out == want
+
+
+def test_models_are_made_when_they_are_asked_for():
+    """A chunk of a few points took most of its time for models that no point needed."""
+    assert len(IntegerDecoder(None, 32, 2).within) == 0
